@@ -18,6 +18,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import toxicity_report
+
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.licenses import license_report
 
@@ -50,14 +56,22 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secrets": op2_secrets,
+        "op3_toxicity": op3_toxicity,
         "op4_licenses": op4_licenses,
         "op5_packing": op5_packing,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_mixing": op8_mixing,
         "op9_quality": op9_quality,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
