@@ -44,6 +44,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import archived_pages
+
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix_documents
 
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_licenses": op4_licenses,
         "op5_packing": op5_packing,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_warc": op7_warc,
         "op8_mixing": op8_mixing,
         "op9_quality": op9_quality,
         "op10_ngram_join": op10_ngram_join,
@@ -98,6 +105,10 @@ EXACT_SQL = r"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
 SELECT n.doc_id, keep_id, group_size, n.doc_id = keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g ON n.t = g.t"""
 
+WARC_SQL = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id < keep THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < keep THEN keep END AS refers_to FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND payload_bytes >= 1000"""
+
 MIX_SQL = r"""WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size, md5(CAST(doc_id AS VARCHAR)) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM s),
@@ -109,4 +120,4 @@ SELECT doc_id, size, source_size, target, (greatest(0, least(size, floor(target)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": _secret_sql(), "op6_exact_dedup": EXACT_SQL, "op8_mixing": MIX_SQL}
+    return {"op2_secrets": _secret_sql(), "op6_exact_dedup": EXACT_SQL, "op7_warc": WARC_SQL, "op8_mixing": MIX_SQL}
