@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.hpylm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.secrets import secret_report
 
@@ -70,6 +76,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hpylm": op1_hpylm,
         "op2_secrets": op2_secrets,
         "op3_toxicity": op3_toxicity,
         "op4_licenses": op4_licenses,
