@@ -193,7 +193,7 @@ def _verified(blocks: DataFrame, n: int, threshold: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, n_links.
+    """One row per row of ``docs``: doc_id, class_id, n_links, digest (MD5 of the text).
 
     Texts are linked when the Jaccard similarity of their sets of n-grams (lower-cased words between
     ASCII white space; a shorter text is one n-gram) is at least ``threshold``. ``n_links`` is the
@@ -231,8 +231,8 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = nodes.join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = joined.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    of_node = joined.join(named, "root").select("f1", "f2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.lit(True).alias("_some"))
+    of_node = joined.join(named, "root").select("f1", "f2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     of_node = written(of_node, "classes")
-    out = sig.select("doc_id", "f1", "f2", "n_grams").join(of_node, ["f1", "f2"], "left")
+    out = sig.select("doc_id", "digest", "f1", "f2", "n_grams").join(of_node, ["f1", "f2"], "left")
     blank = F.col("n_grams") == 0
-    return out.select("doc_id", F.when(blank, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(blank, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    return out.select("doc_id", F.when(blank, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(blank, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), "digest")
