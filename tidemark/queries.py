@@ -1,15 +1,212 @@
-"""Queries over the reference's operators, and the same in DuckDB's SQL."""
+"""Queries over the reference's operators, and the same in DuckDB's SQL.
+
+Lists are joined to texts, and times come as numbers of microseconds, so that both sides compare.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators.anomalydetection import anomalydetection
+from tidemark.operators.filldown import filldown
+from tidemark.registry import call
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def addtotals_lineitem(spark, sf_dir):
+    columns = ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return call("addtotals", table(spark, sf_dir, "lineitem").select(*columns))
+
+
+def addtotals_integers(spark, sf_dir):
+    return call("addtotals", table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand"), ["sum_of_row"])
+
+
+def addtotals_no_numbers(spark, sf_dir):
+    return call("addtotals", table(spark, sf_dir, "part").select("p_name", "p_brand"))
+
+
+def _gappy(spark, sf_dir):
+    big = F.col("value") > 50
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", F.when(big, F.col("value")).alias("value"), F.when(big, F.col("event_type")).alias("value_kind"), F.when(~big, F.col("event_type")).alias("other"))
+
+
+def filldown_all(spark, sf_dir):
+    return call("filldown", _gappy(spark, sf_dir), order_by=["ts", "event_id"])
+
+
+def filldown_prefix(spark, sf_dir):
+    return call("filldown", _gappy(spark, sf_dir), ["value*"], order_by=["ts", "event_id"])
+
+
+def filldown_by_user(spark, sf_dir):
+    return filldown(_gappy(spark, sf_dir), "value, other", order_by=["ts", "event_id"], partition_by=["user_id"])
+
+
+def _lists(spark, sf_dir):
+    words = F.split("p_name", " ")
+    sizes = F.when(F.col("p_size") % 5 == 0, F.array().cast("array<int>")).when(F.col("p_size") % 5 != 1, F.array(F.col("p_size"), F.col("p_size") + 1))
+    return table(spark, sf_dir, "part").select("p_partkey", words.alias("word"), sizes.alias("size"))
+
+
+def flatten_one(spark, sf_dir):
+    return call("flatten", _lists(spark, sf_dir), ["word"]).drop("size")
+
+
+def flatten_two(spark, sf_dir):
+    return call("flatten", _lists(spark, sf_dir), ["word, size"])
+
+
+def flatten_missing(spark, sf_dir):
+    return call("flatten", _lists(spark, sf_dir).drop("size"), ["word, absent"])
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("_time"), F.col("event_type").alias("_message"), "user_id", F.col("event_id").cast("string").alias("event_id"))
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("user_id", F.unix_micros("_time").alias("start_us"), F.array_join("_message", ">").alias("messages"), F.col("_duration").alias("duration"), F.col("_event_count").alias("events"), F.col("_is_closed").alias("closed"), F.array_join("event_id", ",").alias("ids"))
+
+
+def _tx(**named):
+    return lambda spark, sf_dir: _shown(call("transaction", _events(spark, sf_dir), ["user_id"], named))
+
+
+def anomaly(**kw):
+    def run(spark, sf_dir):
+        cols = kw.get("columns", ("event_type", "user_id", "value"))
+        name = kw.get("table", "events")
+        ids = {"events": "event_id", "orders": "o_orderkey"}[name]
+        rest = {k: v for k, v in kw.items() if k not in ("columns", "table")}
+        df = table(spark, sf_dir, name).select(F.col(ids).alias("id"), *cols)
+        return anomalydetection(df, fields=",".join(cols), **rest)
+
+    return run
+
+
+def count_columns(spark, sf_dir):
+    return call("count_column", table(spark, sf_dir, "customer"))
+
+
+def output_csv_status(spark, sf_dir):
+    import tempfile
+
+    return call("output_csv", table(spark, sf_dir, "nation"), [f"{tempfile.mkdtemp()}/nation.csv"]).select("status", "rows_written")
+
+
+def predict_hourly(algorithm: str, **named):
+    def run(spark, sf_dir):
+        hourly = table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp").alias("_time")).agg(F.sum("value").alias("total"))
+        return call("predict", hourly, ["total"], {"algorithm": algorithm, "group_by_fields": "event_type", **named})
+
+    return run
+
+
+def predict_times(spark, sf_dir):
+    """Only what SQL can say too: the times of the rows ahead."""
+    out = predict_hourly("LL", future_timespan=3)(spark, sf_dir)
+    return out.filter("total IS NULL").select("event_type", F.unix_micros("_time").alias("time_us"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "addtotals_lineitem": addtotals_lineitem,
+        "addtotals_integers": addtotals_integers,
+        "addtotals_no_numbers": addtotals_no_numbers,
+        "filldown_all": filldown_all,
+        "filldown_prefix": filldown_prefix,
+        "filldown_by_user": filldown_by_user,
+        "flatten_one": flatten_one,
+        "flatten_two": flatten_two,
+        "flatten_missing": flatten_missing,
+        "transaction_grouping": _tx(max_events=-1),
+        "transaction_max_events": _tx(max_events=7),
+        "transaction_max_span": _tx(max_span="6h", max_events=-1),
+        "transaction_starts": _tx(starts_with="view", max_events=-1),
+        "transaction_ends": _tx(ends_with="purchase", max_events=-1),
+        "transaction_brackets": _tx(starts_with="view", ends_with="purchase", max_events=-1),
+        "anomaly_categorical_annotate": anomaly(columns=("event_type",), action="annotate"),
+        "anomaly_filter": anomaly(columns=("o_orderstatus", "o_orderpriority"), table="orders", sensitivity="lenient"),
+        "anomaly_summary": anomaly(columns=("o_orderstatus", "o_orderpriority"), table="orders", action="summary"),
+        "anomaly_bins_annotate": anomaly(columns=("value",), action="annotate"),
+        "anomaly_zscore": anomaly(columns=("event_type", "user_id"), method="zscore", action="annotate", pthresh=0.1),
+        "anomaly_iqr_remove": anomaly(columns=("event_type", "user_id"), method="iqr", action="remove", param=0.5),
+        "anomaly_iqr_transform": anomaly(columns=("o_totalprice",), table="orders", method="iqr", action="transform", param=0.2, uselower=True),
+        "count_column": count_columns,
+        "output_csv_status": output_csv_status,
+        "predict_llp5": predict_hourly("LLP5"),
+        "predict_llt": predict_hourly("LLT"),
+        "predict_llp": predict_hourly("LLP", period=24),
+        "predict_times": predict_times,
+    }
+
+
+_GAPPY = "WITH g AS (SELECT event_id, ts, user_id, CASE WHEN value > 50 THEN value END AS value, CASE WHEN value > 50 THEN event_type END AS value_kind, CASE WHEN NOT value > 50 THEN event_type END AS other FROM events)"
+
+
+def _filled(name: str, over: str) -> str:
+    return f"last_value({name} IGNORE NULLS) OVER ({over}ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {name}"
+
+
+_EVENTS = "e AS (SELECT user_id::VARCHAR AS user_id, epoch_us(ts) AS t, event_type AS m, event_id FROM events)"
+_TX = "SELECT user_id, min(t) AS start_us, string_agg(m, '>' ORDER BY t) AS messages, (max(t) - min(t)) / 1e6 AS duration, count(*) AS events, {closed} AS closed, string_agg(event_id::VARCHAR, ',' ORDER BY event_id::VARCHAR) AS ids FROM {source} GROUP BY user_id{group}"
+
+
+def _span_sql(hours: int) -> str:
+    span = hours * 3600 * 1_000_000
+    return f"""WITH RECURSIVE {_EVENTS}, heads AS (SELECT user_id, max(t) AS head FROM e GROUP BY user_id
+UNION ALL SELECT h.user_id, (SELECT max(t) FROM e WHERE e.user_id = h.user_id AND e.t < h.head - {span}) FROM heads h WHERE EXISTS (SELECT 1 FROM e WHERE e.user_id = h.user_id AND e.t < h.head - {span})),
+last AS (SELECT min(t) AS t FROM e),
+d AS (SELECT e.*, (SELECT min(head) FROM heads h WHERE h.user_id = e.user_id AND h.head >= e.t) AS g FROM e)
+SELECT user_id, min(d.t) AS start_us, string_agg(m, '>' ORDER BY d.t) AS messages, (max(d.t) - min(d.t)) / 1e6 AS duration, count(*) AS events,
+(EXISTS (SELECT 1 FROM heads h WHERE h.user_id = d.user_id AND h.head < d.g) OR (SELECT t FROM last) < d.g - {span} OR max(d.t) - min(d.t) >= {span}) AS closed, string_agg(event_id::VARCHAR, ',' ORDER BY event_id::VARCHAR) AS ids FROM d GROUP BY user_id, g"""
+
+
+def _categorical(fields: tuple[str, ...], source: str, ident: str, threshold: str) -> str:
+    """CTEs n (scored rows with lp, cause, cf), s (threshold th, least flagged low, mf)."""
+    freq = ", ".join(f"count(*) OVER (PARTITION BY {f}) / (count(*) OVER ())::DOUBLE AS f{i}" for i, f in enumerate(fields))
+    prob = " * ".join(f"f{i}" for i in range(len(fields)))
+    least = f"least({', '.join(f'f{i}' for i in range(len(fields)))})"
+    cause = "CASE " + " ".join(f"WHEN f{i} = {least} THEN '{f}'" for i, f in enumerate(fields)) + " END"
+    best = f"greatest({', '.join(f'max(f{i})' for i in range(len(fields)))})"
+    return f"""WITH f AS (SELECT {ident} AS id, {', '.join(fields)}, {freq} FROM {source}), n AS (SELECT *, ln(greatest({prob}, 1e-50)) AS lp, {cause} AS cause, {least} AS cf FROM f),
+q AS (SELECT {threshold} AS th FROM n), s AS (SELECT th, (SELECT min(lp) FROM n WHERE lp < th) AS low, (SELECT {best} FROM n) AS mf FROM q)"""
+
+
+_SHOWN = "CASE WHEN lp < th THEN low ELSE lp END"
+_TAIL = f"{_SHOWN} AS log_event_prob, mf AS max_freq, cause AS probable_cause, cf AS probable_cause_freq"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    status = ("o_orderstatus", "o_orderpriority")
+    lenient = "min(lp) + 0.001 + CASE WHEN quantile_cont(lp, 0.75) - quantile_cont(lp, 0.25) > 0 THEN 0.5 * (quantile_cont(lp, 0.75) - quantile_cont(lp, 0.25)) ELSE 1.0 END"
+    size_list = "CASE WHEN p_size % 5 = 0 THEN []::INTEGER[] WHEN p_size % 5 <> 1 THEN [p_size, p_size + 1]::INTEGER[] END"
+    return {
+        "addtotals_lineitem": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, 0::DOUBLE + l_orderkey::DOUBLE + l_linenumber::DOUBLE + l_quantity + l_extendedprice + l_discount + l_tax AS total FROM lineitem",
+        "addtotals_integers": "SELECT p_partkey, p_size, p_brand, 0::BIGINT + p_partkey + p_size::BIGINT AS sum_of_row FROM part",
+        "addtotals_no_numbers": "SELECT p_name, p_brand FROM part",
+        "filldown_all": f"{_GAPPY} SELECT event_id, ts, user_id, {_filled('value', '')}, {_filled('value_kind', '')}, {_filled('other', '')} FROM g",
+        "filldown_prefix": f"{_GAPPY} SELECT event_id, ts, user_id, {_filled('value', '')}, {_filled('value_kind', '')}, other FROM g",
+        "filldown_by_user": f"{_GAPPY} SELECT event_id, ts, user_id, {_filled('value', 'PARTITION BY user_id ')}, value_kind, {_filled('other', 'PARTITION BY user_id ')} FROM g",
+        "flatten_one": "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part",
+        "flatten_two": f"SELECT p_partkey, word, unnest(coalesce(size, [NULL])) AS size FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, {size_list} AS size FROM part)",
+        "flatten_missing": "SELECT p_partkey, '' AS word FROM part WHERE false",
+        "transaction_grouping": f"WITH {_EVENTS} " + _TX.format(closed="false", source="e", group=""),
+        "transaction_max_events": f"WITH {_EVENTS}, n AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY t DESC) - 1) // 7 AS g FROM e) " + _TX.format(closed="count(*) = 7", source="n", group=", g"),
+        "transaction_max_span": _span_sql(6),
+        "transaction_starts": f"WITH {_EVENTS}, n AS (SELECT *, sum(CASE WHEN contains(m, 'view') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS g FROM e) " + _TX.format(closed="max(g) > 0", source="n", group=", g"),
+        "transaction_ends": f"WITH {_EVENTS}, n AS (SELECT *, sum(CASE WHEN contains(m, 'purchase') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t DESC) AS g FROM e) " + _TX.format(closed="max(g) > 0", source="n", group=", g"),
+        "anomaly_categorical_annotate": _categorical(("event_type",), "events", "event_id", "min(lp) + 0.001") + f" SELECT id, event_type, lp < th AS is_anomaly, {_TAIL} FROM n, s",
+        "anomaly_filter": _categorical(status, "orders", "o_orderkey", lenient) + f" SELECT id, o_orderstatus, o_orderpriority, {_TAIL} FROM n, s WHERE lp < th",
+        "anomaly_summary": _categorical(status, "orders", "o_orderkey", "min(lp) + 0.001") + f' SELECT count(*) FILTER (lp < th) AS num_anomalies, max(th) AS thresh, max({_SHOWN}) AS max_logprob, min({_SHOWN}) AS min_logprob, quantile_cont({_SHOWN}, 0.25) AS "1st_quartile", quantile_cont({_SHOWN}, 0.75) AS "3rd_quartile" FROM n, s',
+        "count_column": "SELECT 'total_columns' AS metric, count(*) AS column_count FROM (SELECT unnest(range(0, (SELECT count(*) FROM (DESCRIBE customer)))))",
+        "output_csv_status": "SELECT 'completed' AS status, count(*) AS rows_written FROM nation",
+        "predict_times": "WITH h AS (SELECT event_type, date_trunc('hour', ts) AS t FROM events GROUP BY ALL), f AS (SELECT event_type, max(t) AS last, (list(t ORDER BY t))[1:2] AS two FROM h GROUP BY event_type) SELECT event_type, epoch_us(last) + i * (epoch_us(two[2]) - epoch_us(two[1])) AS time_us FROM f, range(1, 4) r(i)",
+    }
