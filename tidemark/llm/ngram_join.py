@@ -30,9 +30,9 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashe
     best = (max_hashes, 1)
     for rows in range(1, max_hashes + 1):
         miss = 1 - threshold**rows
-        bands = 1 if miss <= 0 else int(np.ceil(np.log(1 - recall) / np.log(miss)))
+        bands = np.ceil(np.log(1 - recall) / np.log(miss)) if 0 < miss < 1 else 1 if miss <= 0 else np.inf
         if bands * rows <= max_hashes:
-            best = (max(1, bands), rows)
+            best = (max(1, int(bands)), rows)
     return best
 
 
