@@ -43,7 +43,10 @@ def test_filldown(spark):
     assert [r["v"] for r in call("filldown", texts, order_by=["k"]).orderBy("k").collect()] == [None, "x", "x"]
 
 
-def test_filldown_over_many_stretches(spark):
+def test_filldown_over_many_stretches(spark, monkeypatch):
+    from tidemark.operators import filldown as module
+
+    monkeypatch.setattr(module, "STRETCH_ROWS", 50)
     df = spark.range(3000).select(F.col("id").cast("int").alias("t"), F.when(F.col("id") % 701 == 5, F.col("id")).alias("v"))
     got = [r["v"] for r in call("filldown", df, order_by=["t"]).orderBy("t").collect()]
     last, want = None, []

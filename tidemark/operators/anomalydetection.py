@@ -30,7 +30,11 @@ def _text(c: Column, kind: T.DataType) -> Column:
     return F.coalesce(c.cast("string"), F.lit("null"))
 
 
-def _number(text: Column) -> Column:
+def _number(text: Column, c: Column, kind: T.DataType) -> Column:
+    """The finite number a value is or spells."""
+    if isinstance(kind, _NUMERIC):
+        x = c.cast("double")
+        return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
     bare = F.lower(F.regexp_replace(F.regexp_replace(F.trim(text), r'^"+|"+$', ""), r"^'+|'+$", ""))
     return F.when(bare.rlike(_NUMBER), bare.try_cast("double"))
 
@@ -59,22 +63,21 @@ def anomalydetection(df: DataFrame, *, method: str = "histogram", action: str |
         if n not in kinds:
             raise ArgumentError(f"field '{n}' not found")
     rows = df.select("*", *[_text(F.col(f"`{n}`"), kinds[n]).alias(f"_t{i}") for i, n in enumerate(names)])
-    numbers = [_number(F.col(f"_t{i}")) for i in range(len(names))]
+    numbers = [_number(F.col(f"_t{i}"), F.col(f"`{n}`"), kinds[n]) for i, n in enumerate(names)]
     facts = rows.agg(F.count("*").alias("n"), *[F.count(x).alias(f"c{i}") for i, x in enumerate(numbers)]).first()
     n = facts["n"]
     share = [facts[f"c{i}"] / n if n else 0.0 for i in range(len(names))]
     types = ["numerical" if s > 0.8 else "categorical" if s < 0.2 else "mixed" for s in share]
-    scored, tables = _frequencies(rows, names, numbers, types, bins)
+    scored, tables = _frequencies(rows, names, numbers, types, bins, n, [facts[f"c{i}"] for i in range(len(names))])
     freq = [F.col(f"_f{i}") for i in range(len(names))]
     kept = [i for i in range(len(names)) if types[i] != "numerical" or facts[f"c{i}"]]
     prob = reduce(mul, [F.coalesce(freq[i], F.lit(UNSEEN)) for i in kept], F.lit(1.0))
     scored = scored.withColumn("_lp", F.log(F.greatest(prob, F.lit(LEAST))))
     cause, cause_freq = _cause(names, types, kept, freq)
     max_freq = _max_freq(tables, sum(t == "categorical" for t in types) >= len(names) // 2)
-    threshold = _threshold(scored, method, types, cutoff, pthresh, param, sensitivity, n)
+    threshold, least = _threshold(scored, method, types, cutoff, pthresh, param, sensitivity, n)
     flag = F.col("_lp") < F.lit(threshold)
-    least = scored.filter(flag).agg(F.min("_lp")).first()[0]
-    shown = F.when(flag, F.lit(least).cast("double")).otherwise(F.col("_lp"))
+    shown = F.when(flag, F.lit(least).cast("double")).otherwise(F.col("_lp"))  # the least of all is the least flagged one
     columns = [F.col(f"`{c}`") for c in df.columns]
     extra = [shown.alias("log_event_prob"), F.lit(max_freq).alias("max_freq"), cause.alias("probable_cause"), cause_freq.alias("probable_cause_freq")]
     if action == "filter":
@@ -89,14 +92,12 @@ def anomalydetection(df: DataFrame, *, method: str = "histogram", action: str |
     return _clamped(scored, df, flag, param, uselower)
 
 
-def _frequencies(rows: DataFrame, names, numbers, types, bins: int):
+def _frequencies(rows: DataFrame, names, numbers, types, bins: int, total: int, present: list[int]):
     """Rows with _f0, _f1, ... and one table (value, frequency) per field."""
-    tables = []
     numeric = [i for i, t in enumerate(types) if t == "numerical"]
-    distinct = rows.agg(*[F.count_distinct(numbers[i]).alias(f"d{i}") for i in numeric]).first() if numeric else {}
-    wide = [i for i in numeric if distinct[f"d{i}"] > bins]
+    wide = [i for i in numeric if rows.select(numbers[i].alias("x")).filter("x IS NOT NULL").distinct().limit(bins + 1).count() > bins]
     edges = rows.agg(*[F.percentile(numbers[i], [k / bins for k in range(bins + 1)]).alias(f"e{i}") for i in wide]).first() if wide else {}
-    out = rows
+    keyed = rows
     for i in range(len(names)):
         key = F.col(f"_t{i}")
         if i in wide:
@@ -106,10 +107,13 @@ def _frequencies(rows: DataFrame, names, numbers, types, bins: int):
             key = F.when(numbers[i].isNotNull(), bin_of.cast("string"))
         elif types[i] == "numerical":
             key = F.when(numbers[i].isNotNull(), key)
-        out = out.withColumn(f"_k{i}", key)
-        counts = out.filter(F.col(f"_k{i}").isNotNull()).groupBy(F.col(f"_k{i}").alias("_key")).agg(F.count("*").alias("_n"), F.count_distinct(f"_t{i}").alias("_values"))
-        total = counts.agg(F.sum("_n").alias("_all"))
-        table = counts.crossJoin(F.broadcast(total)).select("_key", (F.col("_n") / F.col("_all")).alias("_freq"), "_values")  # the total is one row
+        keyed = keyed.withColumn(f"_k{i}", key)
+    out, tables = keyed, []
+    for i in range(len(names)):
+        values = keyed.filter(F.col(f"_k{i}").isNotNull()).groupBy(F.col(f"_k{i}").alias("_key"), f"_t{i}").agg(F.count("*").alias("_n"))
+        counts = values.groupBy("_key").agg(F.sum("_n").alias("_n"), F.count("*").alias("_values"))
+        known = present[i] if types[i] == "numerical" else total
+        table = counts.select("_key", (F.col("_n") / F.lit(max(known, 1))).alias("_freq"), "_values")
         tables.append(table)
         own = table.select(F.col("_key").alias(f"_j{i}"), F.col("_freq").alias(f"_f{i}"))
         out = out.join(own, F.col(f"_k{i}") == F.col(f"_j{i}"), "left").drop(f"_j{i}")
@@ -146,9 +150,10 @@ def _max_freq(tables: list[DataFrame], categorical: bool) -> float:
     return total or 1.0
 
 
-def _threshold(scored: DataFrame, method, types, cutoff, pthresh, param, sensitivity, n) -> float:
+def _threshold(scored: DataFrame, method, types, cutoff, pthresh, param, sensitivity, n) -> tuple[float, float | None]:
+    """(threshold, the least log probability)."""
     if not n:
-        return 0.0
+        return 0.0, None
     s = scored.agg(F.percentile("_lp", [0.25, 0.5, 0.75]).alias("q"), F.avg("_lp").alias("mean"), F.stddev_pop("_lp").alias("std"), F.min("_lp").alias("min"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _lp)").alias("disc")).first()
     (q1, median, q3), mean, std = s["q"], s["mean"], s["std"]
     iqr = q3 - q1
@@ -172,7 +177,7 @@ def _threshold(scored: DataFrame, method, types, cutoff, pthresh, param, sensiti
     if sensitivity in SHIFT:
         times, fixed = SHIFT[sensitivity]
         out += times * iqr if iqr > 0 else fixed
-    return float(out)
+    return float(out), float(s["min"])
 
 
 def _kth(scored: DataFrame, k: int) -> float:

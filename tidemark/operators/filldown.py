@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.args import names_of
 
-#: Stretches of the global order that are filled apart.
-STRETCHES = 256
+#: Stretches of the global order that are filled apart: one per so many rows, up to the most.
+STRETCH_ROWS, STRETCHES = 200_000, 256
 _RANGED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -21,6 +21,14 @@ def matching(columns: list[str], wanted: str) -> list[str]:
     return [c for c in columns if any(c.startswith(n.rstrip("*")) if n.endswith("*") else c == n for n in names)]
 
 
+def _number_below(value: Column, cuts: list, lo: int, hi: int) -> Column:
+    """How many of the sorted cuts are below the value, by halving."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(value <= F.lit(cuts[mid]), _number_below(value, cuts, lo, mid)).otherwise(_number_below(value, cuts, mid + 1, hi))
+
+
 def filldown(df: DataFrame, columns: str = "", *, order_by: list[str], partition_by: list[str] | None = None) -> DataFrame:
     """Give nulls of the matching columns the last value before them in the order (leading ones stay).
 
@@ -40,11 +48,12 @@ def filldown(df: DataFrame, columns: str = "", *, order_by: list[str], partition
     if partition_by or not isinstance(kind, _RANGED):
         return df.select(*filled(upto(Window.partitionBy(*partition_by).orderBy(*order))))
     first = F.unix_micros(F.col(f"`{order_by[0]}`").cast("timestamp")) if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.col(f"`{order_by[0]}`").cast("double")
-    cuts = df.agg(F.percentile_approx(first, [i / STRETCHES for i in range(1, STRETCHES)], 10 * STRETCHES)).first()[0]
+    facts = df.agg(F.count("*").alias("n"), F.percentile_approx(first, [i / STRETCHES for i in range(1, STRETCHES)], 10 * STRETCHES).alias("cuts")).first()
+    wanted = min(STRETCHES, facts["n"] // STRETCH_ROWS + 1)
+    cuts = sorted({facts["cuts"][i * STRETCHES // wanted - 1] for i in range(1, wanted)}) if facts["cuts"] else []
     if not cuts:
         return df.select(*filled(upto(Window.partitionBy().orderBy(*order))))
-    edges = F.array(*[F.lit(x) for x in sorted(set(cuts))])
-    stretch = F.when(first.isNull(), F.lit(-1)).otherwise(F.size(F.filter(edges, lambda e: e < first)))
+    stretch = F.when(first.isNull(), F.lit(-1)).otherwise(_number_below(first, cuts, 0, len(cuts)))
     cut = df.withColumn("_stretch", stretch)
     own = [F.last(f"`{c}`", ignorenulls=True).over(upto(Window.partitionBy("_stretch").orderBy(*order))).alias(c) if c in fill else F.col(f"`{c}`") for c in df.columns]
     place = F.struct(*[F.col(f"`{c}`") for c in order_by])
