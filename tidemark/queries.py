@@ -136,8 +136,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "anomaly_filter": anomaly(columns=("o_orderstatus", "o_orderpriority"), table="orders", sensitivity="lenient"),
         "anomaly_summary": anomaly(columns=("o_orderstatus", "o_orderpriority"), table="orders", action="summary"),
         "anomaly_bins_annotate": anomaly(columns=("value",), action="annotate"),
-        "anomaly_zscore": anomaly(columns=("event_type", "user_id"), method="zscore", action="annotate", pthresh=0.1),
-        "anomaly_iqr_remove": anomaly(columns=("event_type", "user_id"), method="iqr", action="remove", param=0.5),
+        "anomaly_zscore": anomaly(columns=("o_orderstatus", "o_orderpriority"), table="orders", method="zscore", action="annotate", pthresh=0.3),
+        "anomaly_iqr_remove": anomaly(columns=("o_orderstatus", "o_orderpriority"), table="orders", method="iqr", action="remove", param=0.1),
         "anomaly_iqr_transform": anomaly(columns=("o_totalprice",), table="orders", method="iqr", action="transform", param=0.2, uselower=True),
         "count_column": count_columns,
         "output_csv_status": output_csv_status,
@@ -180,6 +180,18 @@ def _categorical(fields: tuple[str, ...], source: str, ident: str, threshold: st
 q AS (SELECT {threshold} AS th FROM n), s AS (SELECT th, (SELECT min(lp) FROM n WHERE lp < th) AS low, (SELECT {best} FROM n) AS mf FROM q)"""
 
 
+def _binned(field: str, source: str, ident: str, threshold: str) -> str:
+    """The same CTEs for one number in ten bins of equal counts."""
+    return f"""WITH e AS (SELECT quantile_cont({field}::DOUBLE, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS edges FROM {source}),
+b AS (SELECT {ident} AS id, {field}, least(len(list_filter(edges[2:], lambda c: c <= {field})), 9) AS bin FROM {source}, e),
+f AS (SELECT *, count(*) OVER (PARTITION BY bin) / (count(*) OVER ())::DOUBLE AS f0 FROM b), n AS (SELECT *, ln(greatest(f0, 1e-50)) AS lp, '{field}' AS cause, f0 AS cf FROM f),
+m AS (SELECT quantile_cont(lp, 0.25) AS q1, quantile_cont(lp, 0.75) AS q3, median(lp) AS med, quantile_disc(lp, 0.5) AS disc, avg(lp) AS mean, stddev_pop(lp) AS std FROM n),
+q AS (SELECT {threshold} AS th FROM m),
+s AS (SELECT th, (SELECT min(lp) FROM n WHERE lp < th) AS low, (SELECT max(f0) FROM n) AS mf FROM q)"""
+
+
+_NUMERIC_CUT = "least(q1 - 1.5 * (q3 - q1), CASE WHEN med - disc > 0 THEN med - 3 * (med - disc) ELSE q1 - 1.5 * (q3 - q1) END, CASE WHEN std > 0 THEN mean - 3 * std ELSE q1 - 1.5 * (q3 - q1) END)"
+
 _SHOWN = "CASE WHEN lp < th THEN low ELSE lp END"
 _TAIL = f"{_SHOWN} AS log_event_prob, mf AS max_freq, cause AS probable_cause, cf AS probable_cause_freq"
 
@@ -206,6 +218,10 @@ def oracle_sql() -> dict[str, str]:
         "anomaly_categorical_annotate": _categorical(("event_type",), "events", "event_id", "min(lp) + 0.001") + f" SELECT id, event_type, lp < th AS is_anomaly, {_TAIL} FROM n, s",
         "anomaly_filter": _categorical(status, "orders", "o_orderkey", lenient) + f" SELECT id, o_orderstatus, o_orderpriority, {_TAIL} FROM n, s WHERE lp < th",
         "anomaly_summary": _categorical(status, "orders", "o_orderkey", "min(lp) + 0.001") + f' SELECT count(*) FILTER (lp < th) AS num_anomalies, max(th) AS thresh, max({_SHOWN}) AS max_logprob, min({_SHOWN}) AS min_logprob, quantile_cont({_SHOWN}, 0.25) AS "1st_quartile", quantile_cont({_SHOWN}, 0.75) AS "3rd_quartile" FROM n, s',
+        "anomaly_zscore": _categorical(status, "orders", "o_orderkey", "CASE WHEN stddev_pop(lp) > 0 THEN avg(lp) + ln(0.3) * stddev_pop(lp) ELSE avg(lp) - 3 END") + f" SELECT id, o_orderstatus, o_orderpriority, lp < th AS is_anomaly, {_TAIL} FROM n, s",
+        "anomaly_iqr_remove": _categorical(status, "orders", "o_orderkey", "quantile_cont(lp, 0.25) - 0.1 * (quantile_cont(lp, 0.75) - quantile_cont(lp, 0.25))") + f" SELECT id, o_orderstatus, o_orderpriority, {_TAIL} FROM n, s WHERE NOT lp < th",
+        "anomaly_iqr_transform": _binned("o_totalprice", "orders", "o_orderkey", "q1 - 0.2 * (q3 - q1)") + ", r AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS z FROM orders), i AS (SELECT quantile_cont(o_orderkey::DOUBLE, 0.25) AS a, quantile_cont(o_orderkey::DOUBLE, 0.75) AS z FROM orders) SELECT CASE WHEN NOT lp < th THEN id WHEN id > trunc(i.z + 0.2 * (i.z - i.a)) THEN trunc(i.z + 0.2 * (i.z - i.a))::BIGINT WHEN id < trunc(i.a - 0.2 * (i.z - i.a)) THEN trunc(i.a - 0.2 * (i.z - i.a))::BIGINT ELSE id END AS id, CASE WHEN NOT lp < th THEN o_totalprice WHEN o_totalprice > r.z + 0.2 * (r.z - r.a) THEN r.z + 0.2 * (r.z - r.a) WHEN o_totalprice < r.a - 0.2 * (r.z - r.a) THEN r.a - 0.2 * (r.z - r.a) ELSE o_totalprice END AS o_totalprice FROM n, s, r, i",
+        "anomaly_bins_annotate": _binned("value", "events", "event_id", _NUMERIC_CUT) + f" SELECT id, value, lp < th AS is_anomaly, {_TAIL} FROM n, s",
         "count_column": "SELECT 'total_columns' AS metric, count(*) AS column_count FROM (SELECT unnest(range(0, (SELECT count(*) FROM (DESCRIBE customer)))))",
         "output_csv_status": "SELECT 'completed' AS status, count(*) AS rows_written FROM nation",
         "predict_times": "WITH h AS (SELECT event_type, date_trunc('hour', ts) AS t FROM events GROUP BY ALL), f AS (SELECT event_type, max(t) AS last, (list(t ORDER BY t))[1:2] AS two FROM h GROUP BY event_type) SELECT event_type, epoch_us(last) + i * (epoch_us(two[2]) - epoch_us(two[1])) AS time_us FROM f, range(1, 4) r(i)",
