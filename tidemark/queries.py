@@ -169,6 +169,19 @@ SELECT user_id, min(d.t) AS start_us, string_agg(m, '>' ORDER BY d.t) AS message
 (EXISTS (SELECT 1 FROM heads h WHERE h.user_id = d.user_id AND h.head < d.g) OR (SELECT t FROM last) < d.g - {span} OR max(d.t) - min(d.t) >= {span}) AS closed, string_agg(event_id::VARCHAR, ',' ORDER BY event_id::VARCHAR) AS ids FROM d GROUP BY user_id, g"""
 
 
+def _bracket_sql() -> str:
+    """Each user's events, newest first, one step a row: open ends on a stack, else one waiting group."""
+    return f"""WITH RECURSIVE {_EVENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC) AS n, contains(m, 'view') AS s, contains(m, 'purchase') AS x FROM e),
+r AS (SELECT user_id, 0::BIGINT AS n, []::BIGINT[] AS stack, 0::BIGINT AS live, false AS started, 0::BIGINT AS g FROM (SELECT DISTINCT user_id FROM o)
+UNION ALL SELECT r.user_id, o.n,
+CASE WHEN o.x THEN list_append(r.stack, o.n) WHEN o.s AND len(r.stack) > 0 THEN r.stack[1:len(r.stack) - 1] ELSE r.stack END,
+CASE WHEN o.x OR len(r.stack) > 0 OR r.live > 0 AND NOT r.started THEN r.live ELSE o.n END,
+CASE WHEN o.x OR len(r.stack) > 0 THEN r.started ELSE o.s END,
+CASE WHEN o.x THEN o.n WHEN len(r.stack) > 0 THEN r.stack[len(r.stack)] WHEN r.live > 0 AND NOT r.started THEN r.live ELSE o.n END
+FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1),
+d AS (SELECT o.*, r.g FROM o JOIN r ON o.user_id = r.user_id AND o.n = r.n) """ + _TX.format(closed="bool_or(s) AND bool_or(x)", source="d", group=", g")
+
+
 def _categorical(fields: tuple[str, ...], source: str, ident: str, threshold: str) -> str:
     """CTEs n (scored rows with lp, cause, cf), s (threshold th, least flagged low, mf)."""
     freq = ", ".join(f"count(*) OVER (PARTITION BY {f}) / (count(*) OVER ())::DOUBLE AS f{i}" for i, f in enumerate(fields))
@@ -215,6 +228,7 @@ def oracle_sql() -> dict[str, str]:
         "transaction_max_span": _span_sql(6),
         "transaction_starts": f"WITH {_EVENTS}, n AS (SELECT *, sum(CASE WHEN contains(m, 'view') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS g FROM e) " + _TX.format(closed="max(g) > 0", source="n", group=", g"),
         "transaction_ends": f"WITH {_EVENTS}, n AS (SELECT *, sum(CASE WHEN contains(m, 'purchase') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t DESC) AS g FROM e) " + _TX.format(closed="max(g) > 0", source="n", group=", g"),
+        "transaction_brackets": _bracket_sql(),
         "anomaly_categorical_annotate": _categorical(("event_type",), "events", "event_id", "min(lp) + 0.001") + f" SELECT id, event_type, lp < th AS is_anomaly, {_TAIL} FROM n, s",
         "anomaly_filter": _categorical(status, "orders", "o_orderkey", lenient) + f" SELECT id, o_orderstatus, o_orderpriority, {_TAIL} FROM n, s WHERE lp < th",
         "anomaly_summary": _categorical(status, "orders", "o_orderkey", "min(lp) + 0.001") + f' SELECT count(*) FILTER (lp < th) AS num_anomalies, max(th) AS thresh, max({_SHOWN}) AS max_logprob, min({_SHOWN}) AS min_logprob, quantile_cont({_SHOWN}, 0.25) AS "1st_quartile", quantile_cont({_SHOWN}, 0.75) AS "3rd_quartile" FROM n, s',
