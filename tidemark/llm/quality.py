@@ -133,8 +133,9 @@ def _gain(p0: float, n0: float, p1: float, n1: float) -> float:
 def learn_rules(labelled: DataFrame, *, max_rules: int = MAX_RULES, max_tests: int = MAX_TESTS, cuts: int = CUTS) -> list[Rule]:
     """Sequential covering over rows of statistics with ``bad`` (0/1) and ``grow`` (boolean).
 
-    Each rule grows test by test by FOIL gain on the rows marked ``grow``, loses its last tests as
-    long as that raises (p - n) / (p + n) on the others, and takes what it covers away. Counts come
+    Each rule grows test by test by FOIL gain on the rows marked ``grow`` (a cut stands halfway between
+    the values it parts), loses its last tests as
+    long as that raises its precision on the others, and takes what it covers away. Counts come
     from one grouped aggregate a step over (feature, bin): what reaches the driver is features x
     bins, whatever the rows. No labelled rows, or only one class: no rules.
     """
@@ -167,6 +168,10 @@ def learn_rules(labelled: DataFrame, *, max_rules: int = MAX_RULES, max_tests: i
                             best, choice = g, Test(name, above, cut)
             if choice is None:
                 break
+            value = feature(choice.feature)
+            near = growing.filter(Rule(tests).column()).agg(F.max(F.when(value <= choice.cut, value)).alias("low"), F.min(F.when(value > choice.cut, value)).alias("high")).first()
+            if near["low"] is not None and near["high"] is not None:
+                choice = Test(choice.feature, choice.above, (near["low"] + near["high"]) / 2)
             tests = (*tests, choice)
         if not tests:
             break
