@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import shared_path
 
 LEAST_REVISIT = 1000
-#: Records of an archive file, and groups of copies that are broadcast (60 bytes each) at most.
-RECORDS_PER_FILE = 2000
+#: Records of an archive file, bytes of one (by its largest payload), and groups of copies that are
+#: broadcast (60 bytes each), at most.
+RECORDS_PER_FILE, FILE_BYTES = 2000, 128 << 20
 BROADCAST_GROUPS = 500_000
 DATE = "2024-01-01T00:00:00Z"
 RECORD_SCHEMA = "file string, start bigint, stop bigint, problem string, record_type string, record_id string, target_uri string, refers_to string, payload_bytes bigint, payload_digest string, payload binary"
@@ -64,7 +65,9 @@ def write_warc(pages: DataFrame, path: str, *, id_column: str = "page_id", least
         http,
         body,
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    per_file = max(1, min(RECORDS_PER_FILE, FILE_BYTES // (largest + 1024)))
+    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
 
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
