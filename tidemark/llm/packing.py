@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,23 @@ END_ID = 1
 #: Characters of text that are tokenised and turned into arrays at a time.
 BATCH_CHARS = 2_000_000
 #: The word cache starts anew beyond so many words or characters.
-CACHE_WORDS, CACHE_CHARS = 300_000, 6_000_000
+CACHE_WORDS, CACHE_CHARS = 900_000, 12_000_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-_BLANK = re.compile(r"[\t\n\x0b\x0c\r]")
+_BLANKS = "\n\t\r\x0b\x0c"
+_MARK = "\x01"
+
+
+class _Numbers(dict):
+    """Numbers words as they come; ``new`` lists those that are new."""
+
+    def __init__(self, *a):
+        super().__init__(*a)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
 
 
 class WordIds:
@@ -30,47 +45,81 @@ class WordIds:
     word is encoded once while it is in the cache."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share out the cores
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        rules = parts.get("normalizer") or {}
+        rules = rules.get("normalizers", [rules] if rules else [])
+        self.lowers = any(r["type"] == "Lowercase" for r in rules)
         self.tokenizer = Tokenizer.from_file(path)
+        # Where the text is normal already, the same tokenizer without its rules gives the same ids sooner.
+        plain = all(r["type"] in ("NFC", "Lowercase") or r["type"] == "Replace" and r["content"] == " " for r in rules)
+        self.bare = Tokenizer.from_str(json.dumps(parts | {"normalizer": None})) if plain else self.tokenizer
+        (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self._clear()
 
     def _clear(self) -> None:
-        self.words: dict[str, int] = {"": 0}
-        self.counts, self.starts, self.flat, self.chars = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.empty(0, np.uint32)], 0
-        self.n_flat = 0
+        self.words = _Numbers({"": 0})
+        self.counts, self.starts, self.flat, self.chars = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint32), 0
 
     def _learn(self, new: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        self.counts.append(counts)
-        self.starts.append(self.n_flat + np.cumsum(counts) - counts)
-        self.flat.append(np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())))
-        self.n_flat += int(counts.sum())
-        self.counts, self.starts, self.flat = ([np.concatenate(x)] for x in (self.counts, self.starts, self.flat))
+        """Encode the words joined by a mark that is a token of its own; words that hold the mark go alone."""
+        odd = {i for i, w in enumerate(new) if _MARK in w}
+        plain = [w for i, w in enumerate(new) if i not in odd] if odd else new
+        joined = [f" {_MARK} ".join(plain[i : i + 64]) + f" {_MARK}" for i in range(0, len(plain), 64)]
+        normal = [self.lowers and (t.isascii() or is_normalized("NFC", t)) and t == t.lower() for t in joined]
+        found: list = [None] * len(joined)
+        for tokenizer, kind in ((self.bare, True), (self.tokenizer, False)):
+            own = [i for i, n in enumerate(normal) if n == kind]
+            for i, e in zip(own, tokenizer.encode_batch_fast([joined[i] for i in own], add_special_tokens=False), strict=True):
+                found[i] = np.array(e.ids, np.uint32)
+        ids = np.concatenate([np.empty(0, np.uint32), *found])
+        alone = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([new[i] for i in sorted(odd)], add_special_tokens=False)]
+        mark = ids == self.mark
+        n_plain = np.diff(np.concatenate([[-1], np.flatnonzero(mark)])) - 1
+        n_odd = np.fromiter(map(len, alone), np.int64, len(alone))
+        is_odd = np.zeros(len(new), bool)
+        is_odd[list(odd)] = True
+        order = np.argsort(is_odd, kind="stable")  # where each word of (plain, odd) stands in new
+        n = np.concatenate([n_plain, n_odd]).astype(np.int64)
+        counts, starts = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        counts[order], starts[order] = n, len(self.flat) + np.cumsum(n) - n
+        self.counts, self.starts = np.concatenate([self.counts, counts]), np.concatenate([self.starts, starts])
+        self.flat = np.concatenate([self.flat, ids[~mark], *alone])
+        self.chars += sum(map(len, new))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each text's number of ids)."""
         if len(self.words) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self._clear()
-        split = [_BLANK.sub(" ", t).split(" ") for t in texts]
-        known, new = self.words, []
-        for words in split:
-            for w in set(words).difference(known):
-                known[w] = len(known)
-                new.append(w)
-                self.chars += len(w)
-        if new:
-            self._learn(new)
-        n_words = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((known[w] for words in split for w in words), np.int64, int(n_words.sum()))
-        counts, starts, flat = self.counts[0][at], self.starts[0][at], self.flat[0]
+        parts = [_spread(t, self.lowers) for t in texts]
+        words = " ".join(parts).split(" ")
+        n_words = np.fromiter((t.count(" ") + 1 for t in parts), np.int64, len(parts))
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if self.words.new:
+            self._learn(self.words.new)
+            self.words.new = []
+        counts = self.counts[at]
         ends = np.cumsum(counts)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)]
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - (ends - counts), counts)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_words)])]
         return ids, np.diff(bounds)
 
 
+def _spread(text: str, lowers: bool) -> str:
+    """A text with the same ids that repeats more words: the tokenizer lowers letters and parts words
+    at white space anyway. Letters whose lower case depends on what stands around them are left to it."""
+    if lowers and (text.isascii() or "\u03a3" not in text and "\u0130" not in text and is_normalized("NFC", text)):
+        text = text.lower()
+    for blank in _BLANKS:
+        text = text.replace(blank, " ")
+    return text
+
+
 class LevelPacker:
     """Open windows by fill level, counted in an array; one stream of pieces.
 
@@ -154,7 +203,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_column: str = "do
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), text_of(text_column).alias("text"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = _words(tokenizer_path), LevelPacker(window)
+        encode, packer = WordIds(tokenizer_path), LevelPacker(window)
         base = TaskContext.get().partitionId() << 40
         kept: dict[int, tuple] = {}  # tails in open windows: document -> ids from their first on
         docs_of: dict[int, tuple] = {}
@@ -211,15 +260,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_column: str = "do
     return rows.mapInArrow(packed, SCHEMA)
 
 
-_encoders: dict[str, WordIds] = {}
-
-
-def _words(path: str) -> WordIds:
-    if path not in _encoders:
-        _encoders[path] = WordIds(path)
-    return _encoders[path]
-
-
 def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Stretches of rows with about ``most`` bytes of text, one row at least."""
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
