@@ -61,6 +61,8 @@ def test_awkward_and_empty(spark):
     rows = T.toxicity_report(awkward(spark), labels).collect()
     assert len(rows) == awkward(spark).count() and all(0 <= r["score"] <= 1 for r in rows)
     assert T.toxicity_report(empty(spark), labels).count() == 0
+    apart = labels.select((labels.doc_id + 10_000).alias("doc_id"), "toxic")  # labels of no document at hand
+    assert {r["predicted"] for r in T.toxicity_report(awkward(spark), apart).collect()} == {0}
     one_class = labels.filter("toxic = 0")
     assert {r["predicted"] for r in T.toxicity_report(awkward(spark), one_class).collect()} == {0}
     assert pytest

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,16 +212,21 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
                     swapped[i] = other[1][other[0] == k].tolist()
                 yield pd.DataFrame({"toxic": pdf["toxic"].to_numpy()[lo:hi], "length": _length(part), "own": lists, "swapped": swapped})
 
-    sample = rows.mapInPandas(numbered, "toxic bigint, length double, own array<int>, swapped array<int>").collect()
-    owner = np.array([i for i, r in enumerate(sample) for _ in r["own"]], np.int64)
-    at = np.array([f for r in sample for f in r["own"]], np.int64)
+    sample = rows.mapInPandas(numbered, "toxic bigint, length double, own array<int>, swapped array<int>").toArrow().combine_chunks()
+    if not sample.num_rows:
+        return ToxicityModel(np.empty(0, np.uint64), np.empty(0), -4.0, 0.0)
+    lists = sample.column("own").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    changed = sample.filter(pc.is_valid(sample.column("swapped"))).select(["own", "swapped"]).to_pylist()
     pairs: list[tuple[int, int, float]] = []
-    for k, r in enumerate(r for r in sample if r["swapped"] is not None):
+    for k, r in enumerate(changed):
         own, other = set(r["own"]), set(r["swapped"])
         pairs += [(k, f, 1.0) for f in own - other] + [(k, f, -1.0) for f in other - own]
     p = tuple(np.array([x[i] for x in pairs], kind) for i, kind in enumerate((np.int64, np.int64, float)))
-    y = np.array([r["toxic"] for r in sample], float)
-    w, b, c = _fit(owner, at, np.array([r["length"] for r in sample]), y, p, len(names), l2, penalty)
+    y = sample.column("toxic").to_numpy().astype(float)
+    w, b, c = _fit(owner, at, sample.column("length").to_numpy(), y, p, len(names), l2, penalty)
     return ToxicityModel(names, w, b, c)
 
 
