@@ -1,4 +1,5 @@
 import math
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,6 +190,9 @@ def test_sql_functions(spark):
     assert sorted(rows(spark.sql("SELECT i, v, s FROM filldown(TABLE(t_sql), 'v,s', 'i')"))) == [(1, None, "x"), (2, 5, "x"), (3, 5, "x")]
     assert rows(spark.sql("SELECT * FROM count_column(TABLE(t_sql))")) == [("total_columns", 3)]
     assert sorted(r[-1] for r in rows(spark.sql("SELECT * FROM addtotals(TABLE(SELECT i, i * 2 AS j FROM t_sql))"))) == [3, 6, 9]
+    assert rows(spark.sql("SELECT * FROM addtotals(TABLE(SELECT CAST(1.5 AS DECIMAL(5,2)) AS d, CAST(NULL AS STRING) AS s, 2 AS i), 'sum')")) == [(Decimal("1.50"), None, 2, 3.5)]
+    assert rows(spark.sql("SELECT * FROM flatten_table(TABLE(SELECT array(1, 2) AS a, 'x' AS s, array(3, 4) AS b), 'a,b')")) == [(1, "x", 3), (1, "x", 4), (2, "x", 3), (2, "x", 4)]
+    assert rows(spark.sql("SELECT * FROM flatten_table(TABLE(SELECT array(1, 2) AS a), 'a,none')")) == []
     with pytest.raises(Exception, match="always fails"):
         spark.sql("SELECT * FROM error_producer(TABLE(t_sql))").collect()
     assert run_sql(spark, "addtotals", "SELECT i FROM t_sql").count() == 3

@@ -8,6 +8,9 @@ those that are whole plans (transaction, anomalydetection, predict, output_csv)
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from itertools import product
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
@@ -21,25 +24,70 @@ _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _REAL = (T.FloatType, T.DoubleType, T.DecimalType)
 
 
+@dataclass
+class _Found(AnalyzeResult):
+    """What analyze() found out for eval(): positions of columns, and whether totals are real."""
+
+    at: tuple = field(default=())
+    real: bool = False
+
+
 class _AddTotals:
+    def __init__(self, analyze_result: _Found):
+        self.at, self.kind = analyze_result.at, float if analyze_result.real else int
+
     @staticmethod
     def analyze(row: AnalyzeArgument, name: AnalyzeArgument | None = None) -> AnalyzeResult:
         title = "total" if name is None else name.value
         if not isinstance(title, str):
             raise ArgumentError("`output_column_name` must be a string.")
         fields = row.dataType.fields
-        numeric = [f for f in fields if isinstance(f.dataType, _WHOLE + _REAL)]
-        if not numeric:
-            return AnalyzeResult(schema=T.StructType(fields))
-        kind = T.DoubleType() if any(isinstance(f.dataType, _REAL) for f in numeric) else T.LongType()
-        return AnalyzeResult(schema=T.StructType([*fields, T.StructField(title, kind)]))
+        at = tuple(i for i, f in enumerate(fields) if isinstance(f.dataType, _WHOLE + _REAL))
+        real = any(isinstance(fields[i].dataType, _REAL) for i in at)
+        added = [T.StructField(title, T.DoubleType() if real else T.LongType())] if at else []
+        return _Found(schema=T.StructType([*fields, *added]), at=at, real=real)
 
     def eval(self, row, name=None):
-        numbers = [v for v, f in zip(row, row.__fields__, strict=True) if isinstance(v, (int, float)) and not isinstance(v, bool)] if hasattr(row, "__fields__") else []
-        if not numbers:
+        if not self.at:
             yield tuple(row)
             return
-        yield (*row, None if len(numbers) < sum(v is None or isinstance(v, (int, float)) and not isinstance(v, bool) for v in row) else sum(numbers))
+        values = [row[i] for i in self.at]
+        total = None
+        if None not in values:
+            total = self.kind(0)
+            for v in values:
+                total += self.kind(v)
+            if self.kind is int and not -(2**63) <= total < 2**63:
+                raise OverflowError("Overflowed")
+        yield (*row, total)
+
+
+class _Flatten:
+    def __init__(self, analyze_result: _Found):
+        self.at = analyze_result.at
+
+    @staticmethod
+    def analyze(row: AnalyzeArgument, columns: AnalyzeArgument) -> AnalyzeResult:
+        names = list(dict.fromkeys(names_of(columns.value or "")))
+        fields = {f.name: f for f in row.dataType.fields}
+        if not names:
+            raise ArgumentError("flatten needs a column name")
+        for n in names:
+            if n in fields and not isinstance(fields[n].dataType, (T.ArrayType, T.NullType)):
+                raise ArgumentError(f"Column '{n}' is not a list type or null type")
+        order = list(fields)
+        at = tuple(order.index(n) for n in names) if all(n in fields and isinstance(fields[n].dataType, T.ArrayType) for n in names) else None
+        out = [T.StructField(f.name, f.dataType.elementType if f.name in names and isinstance(f.dataType, T.ArrayType) else f.dataType) for f in fields.values()]
+        return _Found(schema=T.StructType(out), at=at)
+
+    def eval(self, row, columns: str):
+        if self.at is None:  # a column is missing or void
+            return
+        for items in product(*([None] if row[i] is None else row[i] for i in self.at)):
+            out = list(row)
+            for i, v in zip(self.at, items, strict=True):
+                out[i] = v
+            yield tuple(out)
 
 
 class _Filldown:
@@ -91,8 +139,8 @@ class _ErrorProducer:
 
 
 def register(spark: SparkSession) -> None:
-    for name, cls in (("addtotals", _AddTotals), ("filldown", _Filldown), ("count_column", _CountColumn), ("error_producer", _ErrorProducer)):
-        spark.udtf.register(name, udtf(cls))
+    for name, cls in (("addtotals", _AddTotals), ("flatten", _Flatten), ("filldown", _Filldown), ("count_column", _CountColumn), ("error_producer", _ErrorProducer)):
+        spark.udtf.register(f"{name}_table" if name == "flatten" else name, udtf(cls))  # flatten is a built-in of Spark
 
 
 def run_sql(spark: SparkSession, name: str, relation: str, args=None, named=None, **options) -> DataFrame:
