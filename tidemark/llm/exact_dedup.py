@@ -16,6 +16,8 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 998244353)
 #: Bytes of a chunk; with 8-bit bytes and 31-bit powers the sums stay under 2**53, so float64 is exact.
 CHUNK = 8192
+#: Chunks that are turned into floats at a time, so that a huge text costs no more memory than a small one.
+SPAN = 128
 #: Characters of a chunk in the streaming comparison.
 COMPARE = 65536
 #: Up to so many groups their fingerprints are broadcast (16 bytes each); beyond, the texts are shuffled.
@@ -50,9 +52,10 @@ def fingerprint(data: np.ndarray, powers: list[np.ndarray], primes=PRIMES, bases
     """One hash a prime; chunks may be hashed anywhere and in any grouping before they are combined."""
     out = []
     for prime, base, p in zip(primes, bases, powers, strict=True):
-        total = (0, 0)
-        for part in chunk_hashes(data, prime, base, p):
-            total = combine(total, part, prime, base)
+        total, step = (0, 0), SPAN * len(p)
+        for lo in range(0, len(data), step):
+            for part in chunk_hashes(data[lo : lo + step], prime, base, p):
+                total = combine(total, part, prime, base)
         out.append(total[0])
     return out
 
