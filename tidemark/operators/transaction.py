@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -364,16 +364,49 @@ def _replayed(events: DataFrame, p: Params, keys: list[str]) -> DataFrame:
     last = events.agg(F.min("_t")).first()[0] if p.span is not None else 0
     schema = T.StructType([*events.schema.fields, T.StructField("_g", T.LongType()), T.StructField("_closed", T.BooleanType()), T.StructField("_only", T.BooleanType()), T.StructField("_plain", T.BooleanType()), T.StructField("_seq", T.LongType())])
 
-    def assign(table: pa.Table) -> pa.Table:
-        table = table.take(pa.array(np.argsort(-table.column("_t").to_numpy(), kind="stable")))
-        tuples = list(zip(*(table.column(k).to_pylist() for k in keys), strict=True)) if whole else [()] * table.num_rows
-        group, only, closed, plain = replay(p, table.column("_t").to_pylist(), table.column("_s").to_pylist(), table.column("_e").to_pylist(), tuples, last if last is not None else 0)
-        added = {"_g": pa.array(group, pa.int64()), "_closed": pa.array([g >= 0 and bool(closed[g]) for g in group], pa.bool_()), "_only": pa.array(only, pa.bool_()), "_plain": pa.array([g in plain for g in group], pa.bool_()), "_seq": pa.array(range(len(group), 0, -1), pa.int64())}
-        for name, column in added.items():
-            table = table.append_column(name, column)
-        return table.filter(pa.array([g >= 0 for g in group]))
+    names = [f.name for f in schema.fields]
 
-    dealt = events.groupBy(*deal).applyInArrow(assign, schema)
+    def assigned(table: pa.Table, owners: list[tuple]) -> list[pa.RecordBatch]:
+        """Whole keys, one after the other, each newest first."""
+        times, starts, ends = (table.column(c).to_pylist() for c in ("_t", "_s", "_e"))
+        tuples = list(zip(*(table.column(k).to_pylist() for k in keys), strict=True)) if whole else [()] * table.num_rows
+        added: list[list] = [[], [], [], [], []]
+        lo = 0
+        for hi in range(1, len(owners) + 1):
+            if hi < len(owners) and owners[hi] == owners[lo]:
+                continue
+            group, only, closed, plain = replay(p, times[lo:hi], starts[lo:hi], ends[lo:hi], tuples[lo:hi], last if last is not None else 0)
+            for column, values in zip(added, (group, [g >= 0 and bool(closed[g]) for g in group], only, [g in plain for g in group], range(hi - lo, 0, -1)), strict=True):
+                column.extend(values)
+            lo = hi
+        for name, values, kind in zip(names[-5:], added, (pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64()), strict=True):
+            table = table.append_column(name, pa.array(values, kind))
+        return table.filter(pa.array([g >= 0 for g in added[0]], pa.bool_())).to_batches()
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # of the key that may go on in the next batch
+        owner, n_held = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            owners = list(zip(*(table.column(k).to_pylist() for k in deal), strict=True)) if deal else [()] * table.num_rows
+            if held and owners[0] == owner == owners[-1]:
+                held.append(table)
+                n_held += table.num_rows
+                continue
+            owners = [owner] * n_held + owners
+            table = pa.concat_tables([*held, table])
+            cut = len(owners) - 1
+            while cut and owners[cut - 1] == owners[-1]:
+                cut -= 1
+            if cut:
+                yield from assigned(table.slice(0, cut), owners[:cut])
+            held, owner, n_held = [table.slice(cut)], owners[-1], len(owners) - cut
+        if held:
+            yield from assigned(pa.concat_tables(held), [owner] * n_held)
+
+    dealt = (events.repartition(*deal) if deal else events.repartition(1)).sortWithinPartitions(*deal, F.desc("_t")).mapInArrow(assign, schema)
     if whole and deal != keys:  # groups hold rows of several keys: they are named by what dealt them
         return dealt.withColumn("_deal", F.array(*[F.col(k) for k in deal]) if deal else F.array().cast("array<string>"))
     return dealt
