@@ -86,7 +86,8 @@ def anomaly(**kw):
         ids = {"events": "event_id", "orders": "o_orderkey"}[name]
         rest = {k: v for k, v in kw.items() if k not in ("columns", "table")}
         df = table(spark, sf_dir, name).select(F.col(ids).alias("id"), *cols)
-        return anomalydetection(df, fields=",".join(cols), **rest)
+        out = anomalydetection(df, fields=",".join(cols), **rest)
+        return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])  # logarithms may differ in the last bit
 
     return run
 
@@ -206,7 +207,7 @@ s AS (SELECT th, (SELECT min(lp) FROM n WHERE lp < th) AS low, (SELECT max(f0) F
 _NUMERIC_CUT = "least(q1 - 1.5 * (q3 - q1), CASE WHEN med - disc > 0 THEN med - 3 * (med - disc) ELSE q1 - 1.5 * (q3 - q1) END, CASE WHEN std > 0 THEN mean - 3 * std ELSE q1 - 1.5 * (q3 - q1) END)"
 
 _SHOWN = "CASE WHEN lp < th THEN low ELSE lp END"
-_TAIL = f"{_SHOWN} AS log_event_prob, mf AS max_freq, cause AS probable_cause, cf AS probable_cause_freq"
+_TAIL = f"round({_SHOWN}, 6) AS log_event_prob, round(mf, 6) AS max_freq, cause AS probable_cause, round(cf, 6) AS probable_cause_freq"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -231,11 +232,11 @@ def oracle_sql() -> dict[str, str]:
         "transaction_brackets": _bracket_sql(),
         "anomaly_categorical_annotate": _categorical(("event_type",), "events", "event_id", "min(lp) + 0.001") + f" SELECT id, event_type, lp < th AS is_anomaly, {_TAIL} FROM n, s",
         "anomaly_filter": _categorical(status, "orders", "o_orderkey", lenient) + f" SELECT id, o_orderstatus, o_orderpriority, {_TAIL} FROM n, s WHERE lp < th",
-        "anomaly_summary": _categorical(status, "orders", "o_orderkey", "min(lp) + 0.001") + f' SELECT count(*) FILTER (lp < th) AS num_anomalies, max(th) AS thresh, max({_SHOWN}) AS max_logprob, min({_SHOWN}) AS min_logprob, quantile_cont({_SHOWN}, 0.25) AS "1st_quartile", quantile_cont({_SHOWN}, 0.75) AS "3rd_quartile" FROM n, s',
+        "anomaly_summary": _categorical(status, "orders", "o_orderkey", "min(lp) + 0.001") + f' SELECT count(*) FILTER (lp < th) AS num_anomalies, round(max(th), 6) AS thresh, round(max({_SHOWN}), 6) AS max_logprob, round(min({_SHOWN}), 6) AS min_logprob, round(quantile_cont({_SHOWN}, 0.25), 6) AS "1st_quartile", round(quantile_cont({_SHOWN}, 0.75), 6) AS "3rd_quartile" FROM n, s',
         "anomaly_zscore": _categorical(status, "orders", "o_orderkey", "CASE WHEN stddev_pop(lp) > 0 THEN avg(lp) + ln(0.3) * stddev_pop(lp) ELSE avg(lp) - 3 END") + f" SELECT id, o_orderstatus, o_orderpriority, lp < th AS is_anomaly, {_TAIL} FROM n, s",
         "anomaly_iqr_remove": _categorical(status, "orders", "o_orderkey", "quantile_cont(lp, 0.25) - 0.1 * (quantile_cont(lp, 0.75) - quantile_cont(lp, 0.25))") + f" SELECT id, o_orderstatus, o_orderpriority, {_TAIL} FROM n, s WHERE NOT lp < th",
-        "anomaly_iqr_transform": _binned("o_totalprice", "orders", "o_orderkey", "q1 - 0.2 * (q3 - q1)") + ", r AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS z FROM orders), i AS (SELECT quantile_cont(o_orderkey::DOUBLE, 0.25) AS a, quantile_cont(o_orderkey::DOUBLE, 0.75) AS z FROM orders) SELECT CASE WHEN NOT lp < th THEN id WHEN id > trunc(i.z + 0.2 * (i.z - i.a)) THEN trunc(i.z + 0.2 * (i.z - i.a))::BIGINT WHEN id < trunc(i.a - 0.2 * (i.z - i.a)) THEN trunc(i.a - 0.2 * (i.z - i.a))::BIGINT ELSE id END AS id, CASE WHEN NOT lp < th THEN o_totalprice WHEN o_totalprice > r.z + 0.2 * (r.z - r.a) THEN r.z + 0.2 * (r.z - r.a) WHEN o_totalprice < r.a - 0.2 * (r.z - r.a) THEN r.a - 0.2 * (r.z - r.a) ELSE o_totalprice END AS o_totalprice FROM n, s, r, i",
-        "anomaly_bins_annotate": _binned("value", "events", "event_id", _NUMERIC_CUT) + f" SELECT id, value, lp < th AS is_anomaly, {_TAIL} FROM n, s",
+        "anomaly_iqr_transform": _binned("o_totalprice", "orders", "o_orderkey", "q1 - 0.2 * (q3 - q1)") + ", r AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS z FROM orders), i AS (SELECT quantile_cont(o_orderkey::DOUBLE, 0.25) AS a, quantile_cont(o_orderkey::DOUBLE, 0.75) AS z FROM orders) SELECT CASE WHEN NOT lp < th THEN id WHEN id > trunc(i.z + 0.2 * (i.z - i.a)) THEN trunc(i.z + 0.2 * (i.z - i.a))::BIGINT WHEN id < trunc(i.a - 0.2 * (i.z - i.a)) THEN trunc(i.a - 0.2 * (i.z - i.a))::BIGINT ELSE id END AS id, round(CASE WHEN NOT lp < th THEN o_totalprice WHEN o_totalprice > r.z + 0.2 * (r.z - r.a) THEN r.z + 0.2 * (r.z - r.a) WHEN o_totalprice < r.a - 0.2 * (r.z - r.a) THEN r.a - 0.2 * (r.z - r.a) ELSE o_totalprice END, 6) AS o_totalprice FROM n, s, r, i",
+        "anomaly_bins_annotate": _binned("value", "events", "event_id", _NUMERIC_CUT) + f" SELECT id, round(value, 6) AS value, lp < th AS is_anomaly, {_TAIL} FROM n, s",
         "count_column": "SELECT 'total_columns' AS metric, count(*) AS column_count FROM (SELECT unnest(range(0, (SELECT count(*) FROM (DESCRIBE customer)))))",
         "output_csv_status": "SELECT 'completed' AS status, count(*) AS rows_written FROM nation",
         "predict_times": "WITH h AS (SELECT event_type, date_trunc('hour', ts) AS t FROM events GROUP BY ALL), f AS (SELECT event_type, max(t) AS last, (list(t ORDER BY t))[1:2] AS two FROM h GROUP BY event_type) SELECT event_type, epoch_us(last) + i * (epoch_us(two[2]) - epoch_us(two[1])) AS time_us FROM f, range(1, 4) r(i)",
