@@ -123,3 +123,27 @@ def test_parameters():
     with pytest.raises(ValueError):
         span_micros("soon")
     _ = F
+
+
+# Thirty events (milliseconds, id, action or none) and the groups they make.
+THREE_NULLS = [(344, 9687, None), (461, 9687, "download"), (653, 5319, None), (1043, 5319, None), (2448, 5319, None), (2897, 9687, None), (3157, 5319, None), (3558, 9687, None), (4290, 2941, "download"), (5252, 2941, None), (5398, 9687, None), (5906, 9687, None), (6725, 5319, "login"), (6994, 5319, None), (7233, 2941, "play"), (7805, 2941, None), (8837, 9687, "upload"), (9522, 9687, None), (10484, 5319, None), (10875, 5319, None), (11761, 2941, "login"), (12504, 2941, None), (13501, 9687, None), (14428, 9687, None), (14785, 5319, None), (15138, 5319, None), (15233, 2941, None), (16040, 2941, None), (17122, 2941, "download"), (17922, 2941, None)]
+THREE_NULL_GROUPS = {(2941, "login"): {15, 20}, (2941, "play"): {14, 9}, (2941, "download"): {21, 26, 27, 28, 29, 8}, (9687, "upload"): {10, 11, 16, 17, 22, 23, 5, 7}, (5319, "login"): {12, 13, 18, 19, 2, 24, 25, 3, 4, 6}, (9687, "download"): {0, 1}}
+
+
+def test_consecutive_null_keys(spark):
+    rows = [(1_600_000_000_000_000 + ms * 1000, str(i), f"s{i}", a, str(n)) for n, (ms, i, a) in enumerate(THREE_NULLS)]
+    df = frame(spark, rows, "_time long, id string, session string, action string, _message string")
+    got = {(int(r["id"]), r["action"]): set(map(int, r["_message"])) for r in transaction(df, "id,session,action").collect()}
+    assert got == THREE_NULL_GROUPS
+
+
+def test_three_nullable_keys_and_many_batches(spark):
+    """Keys that never are null deal the rows; batches of a few rows cut through the keys."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        test_consecutive_null_keys(spark)
+        rows = [(t * 1_000_000, f"k{t % 4}", "end" if t % 8 > 3 else "start") for t in range(64)]
+        out = transaction(frame(spark, rows, "_time long, k string, _message string"), "k", starts_with="start", ends_with="end").collect()
+        assert len(out) == 32 and all(r["_is_closed"] and r["_message"] == ["start", "end"] for r in out)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
