@@ -86,6 +86,8 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
+#: Each line that is taken for a copyright line has one of these.
+_SIGNS = ("copyright", "(c)", "©", "all rights reserved")
 #: Lines that may be a notice of their own mention a licence.
 MENTION = r"(?i)licen[sc]e"
 #: A spelling changes a text's length by less than this factor.
@@ -96,7 +98,11 @@ BROADCAST_KNOWN = 100_000
 
 def plain(text: Column) -> Column:
     """Lower case, without copyright lines, punctuation and spare white space."""
-    lines = F.regexp_replace(F.lower(text), r"(?m)^[^\n]*(?:\bcopyright\s*(?:\(c\)|©|\d)|\(c\)\s*\d|©|all rights reserved)[^\n]*$", " ")
+    low = F.lower(text)
+    told = F.lit(False)
+    for sign in _SIGNS:  # plain searches cost far less than the pattern, which few texts need
+        told = told | low.contains(sign)
+    lines = F.when(told, F.regexp_replace(low, r"(?m)^[^\n]*(?:\bcopyright\s*(?:\(c\)|©|\d)|\(c\)\s*\d|©|all rights reserved)[^\n]*$", " ")).otherwise(low)
     return F.trim(F.regexp_replace(lines, r"[^\p{L}\p{N}]+", " "))
 
 
