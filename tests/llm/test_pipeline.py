@@ -1,7 +1,15 @@
+"""The pipeline's stages against brute force, each on what its predecessor kept."""
+
+import hashlib
 import os
 import sys
+from collections import Counter
 
-from helpers import BLANK
+import public_tokenizers
+from helpers import BLANK, words
+from test_mixing import targets
+from test_ngram_join import brute
+from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 import corpus_pipeline as C  # noqa: E402
@@ -9,19 +17,58 @@ import corpus_pipeline as C  # noqa: E402
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages_keep_columns_and_take_effect(spark):
+def mixed(rows):
+    """Copies of each document: its source's order is that of the ids' digests, three times over."""
+    sizes, by_source = Counter(), {}
+    for r in rows:
+        sizes[r["source"]] += len(words(r["text"]))
+        by_source.setdefault(r["source"], []).append(r)
+    out = Counter()
+    for source, target in targets(dict(sizes)).items():
+        left = int(target)
+        own = sorted(by_source[source], key=lambda r: hashlib.md5(str(r["doc_id"]).encode()).hexdigest())
+        taken = Counter()
+        for r in own * 3:
+            n = min(left, len(words(r["text"])))
+            taken[r["doc_id"]] += n
+            left -= n
+        for r in own:
+            if taken[r["doc_id"]]:
+                out[r["doc_id"]] = -(-taken[r["doc_id"]] // len(words(r["text"])))
+    return out
+
+
+def test_stages(spark):
+    stages = dict(C.STAGES)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, seen = docs.columns, [docs.count()]
-    for name, stage in C.STAGES[:-1]:
-        docs = C.written(stage(spark, docs, SF), name)
-        assert docs.columns == columns, name
-        seen.append(docs.count())
-        if name == "exact_dedup":
-            texts = [BLANK.sub(" ", r["text"] or "") for r in docs.collect()]
-            assert len(texts) == len(set(texts))
-    assert seen[0] > seen[1] > seen[2] >= seen[3]
-    packed = C.STAGES[-1][1](spark, docs, SF).collect()
-    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()}
+    columns = docs.columns
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+
+    def after(name, before):
+        out = C.written(stages[name](spark, before, SF), name)
+        assert out.columns == columns, name
+        return out, out.collect()
+
+    clean, rows = after("toxicity", docs)
+    kept = {r["doc_id"] for r in rows}
+    judged = [(d, t) for d, t in labels.items()]
+    assert sum((d not in kept) == bool(t) for d, t in judged) / len(judged) > 0.9
+    first = {}
+    for r in rows:
+        key = BLANK.sub(" ", r["text"] or "")
+        first[key] = min(first.get(key, r["doc_id"]), r["doc_id"])
+    exact, rows = after("exact_dedup", clean)
+    assert sorted(r["doc_id"] for r in rows) == sorted(first.values())
+    want = sorted(d for d, c, _ in brute([(r["doc_id"], r["text"]) for r in rows]) if d == c)
+    near, rows = after("ngram_join", exact)
+    assert sorted(r["doc_id"] for r in rows) == want
+    copies = mixed(rows)
+    mix, rows = after("mixing", near)
+    assert Counter(r["doc_id"] for r in rows) == copies
+    packed = stages["packing"](spark, mix, SF).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(C.TOKENIZER))
+    assert sum(r["length"] for r in packed) == sum(len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1 for r in rows)
+    assert len(C.run(spark, SF).columns) == 7
 
 
 def test_empty_documents(spark):
