@@ -115,6 +115,33 @@ string_agg(span, ',' ORDER BY s, rank) FILTER ({base}) AS base, string_agg(span,
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_pem, 0) AS n_pem, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.doc_id = g.doc_id"""
 
 
+def _license_sql() -> str:
+    """Known texts as VALUES; words stand between double spaces while spellings are changed."""
+    from tidemark.llm.licenses import KNOWN, SPELLINGS, STRETCH
+
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def plain(c: str) -> str:
+        lines = rf"regexp_replace(lower({c}), '(?m)^[^\n]*(?:\bcopyright\s*(?:\(c\)|©|\d)|\(c\)\s*\d|©|all rights reserved)[^\n]*$', ' ', 'g')"
+        return rf"trim(regexp_replace({lines}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+    def digest(c: str) -> str:
+        out = f"' ' || replace({c}, ' ', '  ') || ' '"
+        for a, b in SPELLINGS:
+            a, b = (" " + x.replace("-", " ").replace(" ", "  ") + " " for x in (a, b))
+            out = f"replace({out}, {text(a)}, {text(b)})"
+        return f"sha256(trim(replace({out}, '  ', ' ')))"
+
+    known = ", ".join(f"({i}, {text(a)}, {text(b)})" for i, (a, b) in enumerate(KNOWN))
+    return f"""WITH v(no, license, t) AS (VALUES {known}), w AS (SELECT no, license, {plain("t")} AS words FROM v),
+k AS (SELECT {digest("words")} AS digest, arg_min(license, no) AS license FROM w GROUP BY 1), m AS (SELECT max(length(words)) AS longest FROM w),
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, {plain("t")} AS words FROM d),
+g AS (SELECT doc_id, CASE WHEN length(words) <= {STRETCH} * longest THEN {digest("words")} END AS text_digest FROM p, m),
+l AS (SELECT doc_id, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '(?i)licen[sc]e'))) AS line FROM d),
+n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT doc_id, {plain("line")} AS words FROM l) x JOIN k ON {digest("words")} = k.digest GROUP BY doc_id)
+SELECT g.doc_id, text_digest, k.license, coalesce(notices, '') AS notices FROM g LEFT JOIN k ON text_digest = digest LEFT JOIN n ON g.doc_id = n.doc_id"""
+
+
 EXACT_SQL = r"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
 SELECT n.doc_id, keep_id, group_size, n.doc_id = keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g ON n.t = g.t"""
@@ -134,4 +161,4 @@ SELECT doc_id, size, source_size, target, (greatest(0, least(size, floor(target)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": _secret_sql(), "op6_exact_dedup": EXACT_SQL, "op7_warc": WARC_SQL, "op8_mixing": MIX_SQL}
+    return {"op2_secrets": _secret_sql(), "op4_licenses": _license_sql(), "op6_exact_dedup": EXACT_SQL, "op7_warc": WARC_SQL, "op8_mixing": MIX_SQL}
