@@ -18,7 +18,7 @@ THRESHOLD = 0.8
 RECALL = 0.999
 MAX_HASHES = 128
 #: A block of a candidate component: so many n-grams or texts at most, on average.
-BLOCK_GRAMS, BLOCK_TEXTS = 400_000, 1_500
+BLOCK_GRAMS, BLOCK_TEXTS = 400_000, 600
 #: Up to so many candidate texts their keys are broadcast (with their bands under 1 KB each); beyond, texts are shuffled.
 BROADCAST_TEXTS = 50_000
 BATCH_CHARS = 1_000_000
