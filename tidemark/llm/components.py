@@ -9,10 +9,14 @@ from tidemark.llm.common import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the least of the node and its neighbours."""
+    """Link every larger neighbour of a node to the least of the node and its neighbours.
+
+    The join is by the node's complement: both sides then get exchanges of their own, so that Spark may
+    split the edges of a node with a great many neighbours.
+    """
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.bitwise_not("a").alias("u"), F.least("a", "m").alias("m"))
+    return both.filter("b > a").join(least, F.bitwise_not("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

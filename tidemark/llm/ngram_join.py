@@ -215,8 +215,9 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     nodes = written(some.groupBy("f1", "f2").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id")), "nodes")
     first = sig.join(nodes.select("node", "copies"), F.col("row") == F.col("node"))
     keys = first.select("node", F.explode("bands").alias("key"))
-    full = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select("key", "lead")
-    star = keys.join(full, "key").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    full = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select(F.bitwise_not("key").alias("other"), "lead")
+    # By the complement, as in components(): a bucket with most of the texts may be split.
+    star = keys.join(full, F.bitwise_not("key") == F.col("other")).select(F.col("node").alias("a"), F.col("lead").alias("b"))
     candidates = components(star)
     members = written(candidates.join(first.select("node", "copies", "doc_id", "digest", "n_grams", "bands"), "node"), "members")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n_grams") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("n_blocks"))
