@@ -61,6 +61,24 @@ def test_held_out_perplexity_beats_the_base(spark, kw):
     assert sum(r["score"] for r in held) / n > sum(r["base_score"] for r in held) / n + 0.5
 
 
+@pytest.mark.parametrize("kw", [{}, {"shard_words": 3000, "block_chars": 200_000}])
+def test_rare_contexts_keep_their_restaurants(spark, kw):
+    """A word seen a few times, in different blocks, is a context however large the corpus is."""
+    rng = np.random.default_rng(4)
+    ids = [i for i in range(200) if trained(i)]
+    texts = {i: " ".join(f"w{k}" for k in rng.integers(0, 2000, 3000)) for i in ids[:100]}
+    texts |= {i: "rare next" for i in (ids[101], ids[110], ids[119])}
+    for i in (ids[101], ids[110], ids[119]):
+        texts[i] = texts[i] + " " + texts[ids[0]][:40].rsplit(" ", 1)[0]
+    held = next(i for i in range(200) if not trained(i))
+    texts[held] = "rare next"
+    rows = [(i, t, *[None] * (len(DOCS.split(", ")) - 2)) for i, t in texts.items()]
+    got = {r["doc_id"]: r for r in H.score_texts(spark.createDataFrame(rows, DOCS), **kw).collect()}
+    assert got[held]["train_tokens"] > 3 / 1e-5
+    # some 3 for rare after the beginning; the rest for next after rare
+    assert got[held]["score"] > got[held]["base_score"] + 6
+
+
 def test_probabilities_add_up():
     """One shard: predictive probabilities over all known words and the unknown one sum to 1 in every context."""
     rng = np.random.default_rng(0)

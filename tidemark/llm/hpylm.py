@@ -1,15 +1,16 @@
 """Hierarchical Pitman-Yor language model over words, seated by Gibbs sampling.
 
-The root restaurant holds the words, on a uniform base. Each word that makes up at least CONTEXT_SHARE
-of the training tokens is a context with a restaurant of its own (at most 1 / CONTEXT_SHARE of them,
-whatever the corpus); they all share the root as their parent. Tokens after other words sit in the
-root directly. A restaurant's table sends one customer to its parent.
+The root restaurant holds the words, on a uniform base. Each word (and the beginning of texts) is a
+context with a restaurant of its own, however rare; they all share the root as their parent. A
+restaurant's table sends one customer to its parent.
 
 The corpus is cut into blocks of texts. Blocks send their distinct words and (context, word) pairs
 with counts to shards by word hash; a shard seats all restaurants' customers of its words and returns,
-to each block that asked, what its words and pairs are worth. Totals of a restaurant that lie in other
-shards are taken as that many times the shard's own while sampling; the predictive probabilities use
-the exact totals.
+to each block that asked, what its words and pairs are worth. Its sums of each context go to the shard
+of the context's own hash, which adds them up and answers the blocks that have the word. While
+sampling, a shard takes a restaurant's tables in other shards as its own there, times the context's
+count in the blocks that ask over its customers here; the predictive probabilities use the exact
+totals.
 """
 
 from __future__ import annotations
@@ -25,9 +26,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import crc_mod, text_of, written
 from tidemark.llm.shingles import span_hashes
 
-CONTEXT_SHARE = 2e-5
-#: Numbers of contexts fit in so many bits.
-CONTEXT_BITS = 16
+#: A pair's key is the word's number above so many bits of its context's.
+CONTEXT_BITS = 32
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 6, 4
 BLOCK_CHARS = 6_000_000
@@ -56,12 +56,10 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _block(ids: list, train: np.ndarray, texts: list[bytes], number: int) -> dict:
     """A block's row: its distinct words in order of hash, and its texts as numbers of those words."""
     tokens, lengths = _tokens(texts)
-    words, at = np.unique(tokens, return_inverse=True)
+    words, at = np.unique(np.append(tokens, START), return_inverse=True)  # the beginning: a context with count 0
+    at, start = at[:-1], int(at[-1])
     counts = np.bincount(at, np.repeat(train, lengths), len(words)).astype(np.uint32)
     n_train = int(lengths[train].sum())
-    often = np.flatnonzero(counts >= max(1, CONTEXT_SHARE * n_train))
-    heads = [(START, int(train.sum()))] + [(words[i], int(counts[i])) for i in often if words[i] != END]
-    at = at.astype(np.uint32).view(np.uint8).reshape(-1, 4)
     return {
         "block": number,
         "n_train": n_train,
@@ -69,16 +67,15 @@ def _block(ids: list, train: np.ndarray, texts: list[bytes], number: int) -> dic
         "ids": ids,
         "train": train.tolist(),
         "lengths": lengths.astype(np.int32).tolist(),
-        "tokens": np.ascontiguousarray(at.T).tobytes(),  # byte by byte: compresses better
+        "tokens": _planes(at),
         "words": words.tobytes(),
         "counts": counts.tobytes(),
-        "heads": [int(np.array(h).view(np.int64)) for h, _ in heads],
-        "head_counts": [c for _, c in heads],
+        "start": start,
     }
 
 
-_BLOCK_FIELDS = [("block", pa.int64()), ("n_train", pa.int64()), ("n_words", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("heads", pa.list_(pa.int64())), ("head_counts", pa.list_(pa.int64()))]
-_BLOCK_DDL = "block bigint, n_train bigint, n_words bigint, ids array<bigint>, train array<boolean>, lengths array<int>, tokens binary, words binary, counts binary, heads array<bigint>, head_counts array<bigint>"
+_BLOCK_FIELDS = [("block", pa.int64()), ("n_train", pa.int64()), ("n_words", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("start", pa.int64())]
+_BLOCK_DDL = "block bigint, n_train bigint, n_words bigint, ids array<bigint>, train array<boolean>, lengths array<int>, tokens binary, words binary, counts binary, start bigint"
 
 
 def blocks_of(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -106,20 +103,29 @@ def blocks_of(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     return docs.select("doc_id", "train", "text").mapInArrow(cut, _BLOCK_DDL)
 
 
-def _numbers(row_tokens: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(row_tokens, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, byte by byte: compresses better."""
+    return np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _pairs(tokens: np.ndarray, lengths: np.ndarray, context_of: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key of each token that stands after a context: word number and context, where those tokens are).
+def _float_planes(x: np.ndarray) -> bytes:
+    return _planes(np.ascontiguousarray(x, np.float32).view(np.uint32))
 
-    ``context_of``: context of each word number, -1 for none; ``start``: that of a text's beginning.
-    """
+
+def _floats(planes: bytes) -> np.ndarray:
+    return _numbers(planes).astype(np.uint32).view(np.float32)
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+def _pairs(tokens: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
+    """Key of each token: its word's number and that of the word before; ``start``: of a text's beginning."""
     before = np.empty(len(tokens), np.int64)
-    before[1:] = context_of[tokens[:-1]]
+    before[1:] = tokens[:-1]
     before[np.cumsum(lengths) - lengths] = start
-    at = np.flatnonzero(before >= 0)
-    return tokens[at] << CONTEXT_BITS | before[at], at
+    return tokens << CONTEXT_BITS | before
 
 
 def _shard_bounds(words: np.ndarray, shards: int) -> np.ndarray:
@@ -128,51 +134,46 @@ def _shard_bounds(words: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(words, edges), [len(words)]])
 
 
-def _context_numbers(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Number of each word among the sorted contexts, -1 for the others."""
-    if not len(contexts):
-        return np.full(len(words), -1)
-    at = np.minimum(np.searchsorted(contexts, words), len(contexts) - 1)
-    return np.where(contexts[at] == words, at, -1)
-
-
-def _start_number(contexts: np.ndarray) -> int:
-    return int(_context_numbers(np.array([START]), contexts)[0])
-
-
-def _asked(blocks: DataFrame, contexts: np.ndarray, shards: int) -> DataFrame:
-    """Blocks -> what each asks of each shard: words, their training counts, pairs and theirs."""
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("pair_word", pa.binary()), ("pair_context", pa.binary()), ("pair_count", pa.binary())])
-    start = _start_number(contexts)
+def _asked(blocks: DataFrame, shards: int) -> DataFrame:
+    """Blocks -> what each asks of each shard: words, their training counts and numbers of pairs, pairs
+    in order of words, their training counts, and the contexts of these pairs with their counts."""
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), *[(x, pa.binary()) for x in ("words", "counts", "n_pairs", "pair_context", "pair_count", "contexts", "context_count")]])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                words, counts = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.uint32)
-                lengths = np.array(r["lengths"], np.int64)
-                keys, at = _pairs(_numbers(r["tokens"]), lengths, _context_numbers(words, contexts), start)
-                train = np.repeat(np.array(r["train"], bool), lengths)[at]
+                words, counts = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.uint32).copy()
+                lengths, train = np.array(r["lengths"], np.int64), np.array(r["train"], bool)
+                keys = _pairs(_numbers(r["tokens"]), lengths, r["start"])
                 pairs, inverse = np.unique(keys, return_inverse=True)
-                times = np.bincount(inverse, train, len(pairs)).astype(np.uint32)
+                times = np.bincount(inverse, np.repeat(train, lengths), len(pairs))
+                n_pairs = np.bincount(pairs >> CONTEXT_BITS, minlength=len(words))
+                before = pairs & ((1 << CONTEXT_BITS) - 1)
+                as_context = counts.copy()
+                as_context[r["start"]] = train.sum()
                 w = _shard_bounds(words, shards)
                 p = np.searchsorted(pairs, w << CONTEXT_BITS)
-                rows = [
-                    {
-                        "shard": s,
-                        "block": r["block"],
-                        "words": words[w[s] : w[s + 1]].tobytes(),
-                        "counts": counts[w[s] : w[s + 1]].tobytes(),
-                        "pair_word": ((pairs[p[s] : p[s + 1]] >> CONTEXT_BITS) - w[s]).astype(np.uint32).tobytes(),
-                        "pair_context": (pairs[p[s] : p[s + 1]] & ((1 << CONTEXT_BITS) - 1)).astype(np.uint16).tobytes(),
-                        "pair_count": times[p[s] : p[s + 1]].tobytes(),
-                    }
-                    for s in range(shards)
-                    if w[s] < w[s + 1]
-                ]
+                rows = []
+                for s in range(shards):
+                    if w[s] < w[s + 1]:
+                        used, at = np.unique(before[p[s] : p[s + 1]], return_inverse=True)
+                        rows.append(
+                            {
+                                "shard": s,
+                                "block": r["block"],
+                                "words": words[w[s] : w[s + 1]].tobytes(),
+                                "counts": counts[w[s] : w[s + 1]].tobytes(),
+                                "n_pairs": _planes(n_pairs[w[s] : w[s + 1]]),
+                                "pair_context": _planes(at),
+                                "pair_count": _planes(times[p[s] : p[s + 1]]),
+                                "contexts": words[used].tobytes(),
+                                "context_count": _planes(as_context[used]),
+                            }
+                        )
                 for lo in range(0, len(rows), 16):
                     yield pa.RecordBatch.from_pylist(rows[lo : lo + 16], schema)
 
-    return blocks.select("block", "words", "counts", "lengths", "train", "tokens").mapInArrow(ask, "shard int, block bigint, words binary, counts binary, pair_word binary, pair_context binary, pair_count binary")
+    return blocks.select("block", "words", "counts", "lengths", "train", "tokens", "start").mapInArrow(ask, "shard int, block bigint, words binary, counts binary, n_pairs binary, pair_context binary, pair_count binary, contexts binary, context_count binary")
 
 
 # -- seating --------------------------------------------------------------------------------------
@@ -243,18 +244,19 @@ def _discount(counts: np.ndarray) -> float:
     return float(np.clip(n1 / (n1 + 2 * n2), 0.1, 0.95)) if n1 + n2 else 0.5
 
 
-def seat(word_counts: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarray, pair_counts: np.ndarray, n_contexts: int, *, shards: int = 1, direct: float | None = None, seed: int = 0, burn_in: int = BURN_IN, samples: int = SAMPLES, strength: float = STRENGTH) -> dict:
+def seat(word_counts: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarray, pair_counts: np.ndarray, n_contexts: int, *, shards: int = 1, scale: np.ndarray | None = None, seed: int = 0, burn_in: int = BURN_IN, samples: int = SAMPLES, strength: float = STRENGTH) -> dict:
     """Gibbs sweeps over one shard's seating; averages over the samples.
 
     A sweep moves a customer of every (context, word) dish with two or more, then one of every word in
     the root, after the root has taken in (or let go) the customers that tables opened (or closed)
-    since: up to three a word and sweep. ``direct``: root customers of all shards that no table sent.
+    since: up to three a word and sweep. ``scale``: all shards' tables of each context over this one's.
     """
     rng = np.random.default_rng(seed)
     dishes = np.flatnonzero(pair_counts > 0)
     p_word, p_context, p_count = pair_word[dishes], pair_context[dishes], pair_counts[dishes].astype(np.int64)
     here = word_counts.astype(np.int64) - np.bincount(p_word, p_count, len(word_counts)).astype(np.int64)
-    direct = float(here.sum()) if direct is None else direct
+    direct = float(shards * here.sum())
+    scale = np.full(n_contexts, float(shards)) if scale is None else scale
     d1, d0 = _discount(p_count), _discount(word_counts)
     low = Seating(p_count, d1, rng)
     root = Seating(here + np.bincount(p_word, low.tables, len(word_counts)).astype(np.int64), d0, rng)
@@ -265,7 +267,7 @@ def seat(word_counts: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarra
         base = (strength / shards + d0 * root.tables.sum()) / n_known  # of a word at a new root table
         total = direct + shards * low.tables.sum()
         prior = (root.customers - d0 * root.tables + base) / max(total, 1.0)
-        open_tables = np.bincount(p_context, low.tables, n_contexts) * shards
+        open_tables = np.bincount(p_context, low.tables, n_contexts) * scale
         if len(many):
             low.remove(many)
             low.add(many, (strength + d1 * open_tables[p_context[many]]) * prior[p_word[many]])
@@ -287,48 +289,71 @@ def seat(word_counts: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarra
     return sums
 
 
-_ANSWER_DDL = "block bigint, shard int, counts binary, root binary, context binary, pair binary, s1 double, s2 double, s3 double"
+_ANSWER_DDL = "block bigint, shard int, counts binary, root binary, pair binary, contexts binary, tables binary, customers binary, own binary, s1 double, s2 double, s3 double"
 
 
-def _answers(asked: DataFrame, contexts: np.ndarray, shards: int, direct: float, **kw) -> DataFrame:
+def _answers(asked: DataFrame, shards: int, **kw) -> DataFrame:
     """One task per shard: merge what all blocks send, seat it, answer each block. Rows with block -1
-    have a context's sums (shard: its number), rows with block -2 the root's."""
-    n = len(contexts)
-    names = [x.split()[0] for x in _ANSWER_DDL.split(", ")]
+    have this shard's sums of the contexts that lie in another (shard: its number), rows with block -2
+    the root's, rows with block -3 the shard's words, among which ``own`` steps through a block's."""
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in _ANSWER_DDL.split(", ")])
+
+    def merged(parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        values, at = np.unique(np.concatenate(parts), return_inverse=True)
+        return values, np.split(at, np.cumsum([len(x) for x in parts])[:-1])
 
     def answer(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         shard = rows[0]["shard"]
-        words = [np.frombuffer(r["words"], np.uint64) for r in rows]
-        names_, at = np.unique(np.concatenate(words), return_inverse=True)
-        ends = np.cumsum([len(w) for w in words])
-        counts = np.bincount(at, np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]), len(names_)).astype(np.int64)
-        keys = np.concatenate([at[e - len(w) + np.frombuffer(r["pair_word"], np.uint32).astype(np.int64)] << CONTEXT_BITS | np.frombuffer(r["pair_context"], np.uint16).astype(np.int64) for r, w, e in zip(rows, words, ends, strict=True)])
-        pairs, pair_at = np.unique(keys, return_inverse=True)
-        times = np.bincount(pair_at, np.concatenate([np.frombuffer(r["pair_count"], np.uint32) for r in rows]), len(pairs)).astype(np.int64)
-        sums = seat(counts, pairs >> CONTEXT_BITS, pairs & ((1 << CONTEXT_BITS) - 1), times, n, shards=shards, direct=direct, seed=shard, **kw)
-        context = _context_numbers(names_, contexts).astype(np.int32)
+        names, own = merged([np.frombuffer(r["words"], np.uint64) for r in rows])
+        contexts, near = merged([np.frombuffer(r["contexts"], np.uint64) for r in rows])
+        counts = np.bincount(np.concatenate(own), np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]), len(names)).astype(np.int64)
+        seen = np.bincount(np.concatenate(near), np.concatenate([_numbers(r["context_count"]) for r in rows]), len(contexts))
+        pairs, asked_pairs = merged([np.repeat(o, _numbers(r["n_pairs"])) << CONTEXT_BITS | c[_numbers(r["pair_context"])] for r, o, c in zip(rows, own, near, strict=True)])
+        times = np.bincount(np.concatenate(asked_pairs), np.concatenate([_numbers(r["pair_count"]) for r in rows]), len(pairs)).astype(np.int64)
+        after = pairs & ((1 << CONTEXT_BITS) - 1)
+        scale = np.maximum(seen / np.maximum(np.bincount(after, times, len(contexts)), 1), 1)
+        sums = seat(counts, pairs >> CONTEXT_BITS, after, times, len(contexts), shards=shards, scale=scale, seed=shard, **kw)
         root, pair = sums["root"].astype(np.float32), sums["pair"].astype(np.float32)
-        out: list[list] = [[] for _ in names]
-        low = 0
-        for r, w, e in zip(rows, words, ends, strict=True):
-            own = at[e - len(w) : e]
-            n_pairs = len(r["pair_word"]) // 4
-            mine = pair_at[low : low + n_pairs]
-            low += n_pairs
-            for column, value in zip(out, (r["block"], shard, counts[own].astype(np.uint32).tobytes(), root[own].tobytes(), context[own].tobytes(), pair[mine].tobytes(), None, None, None), strict=True):
-                column.append(value)
-        for c in range(n):
-            for column, value in zip(out, (-1, c, None, None, None, None, float(sums["tables"][c]), float(sums["context_customers"][c]), None), strict=True):
-                column.append(value)
-        for column, value in zip(out, (-2, shard, None, None, None, None, float(sums["known"]), float(sums["root"].sum() + sums["root_tables"]), sums["root_tables"]), strict=True):
-            column.append(value)
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.float64()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+        out = [{"block": r["block"], "shard": shard, "counts": _planes(counts[o]), "root": _float_planes(root[o]), "pair": _float_planes(pair[p]), "own": _planes(np.diff(o, prepend=0))} for r, o, p in zip(rows, own, asked_pairs, strict=True)]
+        w = _shard_bounds(contexts, shards)
+        out += [{"block": -1, "shard": k, "contexts": contexts[i:j].tobytes(), "tables": sums["tables"][i:j].tobytes(), "customers": _planes(sums["context_customers"][i:j])} for k, (i, j) in enumerate(zip(w[:-1], w[1:], strict=True)) if i < j]
+        out.append({"block": -2, "shard": shard, "s1": float(sums["known"]), "s2": float(sums["root"].sum() + sums["root_tables"]), "s3": float(sums["root_tables"])})
+        out.append({"block": -3, "shard": shard, "contexts": names.tobytes()})
+        return pa.Table.from_pylist(out, schema)
 
     return asked.groupBy("shard").applyInArrow(answer, _ANSWER_DDL)
 
 
+def _context_totals(answers: DataFrame) -> DataFrame:
+    """(block, shard, tables, customers): the sums of all shards for each word of a block, as a context."""
+
+    def add(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        words, tables, customers = np.empty(0, np.uint64), np.empty(0), np.empty(0)
+        sent = right.to_pylist()
+        for r in sent:
+            if r["kind"] == -3:
+                words = np.frombuffer(r["contexts"], np.uint64)
+                tables, customers = np.zeros(len(words)), np.zeros(len(words))
+        for r in sent:
+            if r["kind"] == -1:
+                at = np.searchsorted(words, np.frombuffer(r["contexts"], np.uint64))  # every context is a word of its shard
+                tables[at] += np.frombuffer(r["tables"], np.float64)
+                customers[at] += _numbers(r["customers"])
+        out = {"block": [], "shard": [], "tables": [], "customers": []}
+        for r in left.to_pylist():
+            own = np.cumsum(_numbers(r["own"]))
+            for name, value in (("block", r["block"]), ("shard", r["shard"]), ("tables", _float_planes(tables[own])), ("customers", _float_planes(customers[own]))):
+                out[name].append(value)
+        return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
+
+    asking = answers.filter("block >= 0").select("shard", "block", "own")
+    # Renamed: in a cogroup of a table with itself Spark drops columns that both sides take.
+    sums = answers.filter("block IN (-1, -3)").select(F.col("block").alias("kind"), F.col("shard").alias("to"), "contexts", "tables", "customers")
+    return asking.groupBy("shard").cogroup(sums.groupBy("to")).applyInArrow(add, "block bigint, shard int, tables binary, customers binary")
+
+
 # -- scores ---------------------------------------------------------------------------------------
 
 
@@ -345,34 +370,24 @@ def score_texts(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     size = blocks.agg(F.sum("n_train").alias("n"), F.sum("n_words").alias("words")).first()
     n_train = size["n"] or 0
     shards = max(1, -(-(size["words"] or 0) // shard_words))
-    # No more than 1 / CONTEXT_SHARE words can have that share, so this list is bounded.
-    heads = blocks.select(F.explode(F.arrays_zip("heads", "head_counts")).alias("x")).groupBy("x.heads").agg(F.sum("x.head_counts").alias("n")).filter(F.col("n") >= max(1.0, CONTEXT_SHARE * n_train)).collect()
-    contexts = np.sort(np.array([r["heads"] for r in heads], np.int64).view(np.uint64))
-    direct = float(n_train - sum(r["n"] for r in heads))
-    answers = written(_answers(_asked(blocks, contexts, shards), contexts, shards, max(direct, 0.0), **kw), "answers")
+    answers = written(_answers(_asked(blocks, shards), shards, **kw), "answers")
     strength = kw.get("strength", STRENGTH)
-    table = np.zeros((2, len(contexts)))
-    for r in answers.filter("block = -1").groupBy("shard").agg(F.sum("s1").alias("a"), F.sum("s2").alias("b")).collect():
-        table[:, r["shard"]] = r["a"], r["b"]
     whole = answers.filter("block = -2").agg(F.sum("s1").alias("v"), F.sum("s2").alias("n"), F.sum("s3").alias("t")).first()
     known, customers, root_tables = (float(whole[k] or 0) for k in "vnt")
-    start = _start_number(contexts)
 
     def scored(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")}
         for r in left.to_pylist():
             parts = sorted(right.to_pylist(), key=lambda x: x["shard"])
-            counts, root, context, pair = (np.concatenate([np.frombuffer(p[k], kind) for p in parts]) for k, kind in (("counts", np.uint32), ("root", np.float32), ("context", np.int32), ("pair", np.float32)))
+            counts, root, pair, tables, sat = (np.concatenate([read(p[k]) for p in parts if p[k] is not None]) for k, read in (("counts", _numbers), ("root", _floats), ("pair", _floats), ("tables", _floats), ("customers", _floats)))
             tokens, lengths = _numbers(r["tokens"]), np.array(r["lengths"], np.int64)
             begin = np.cumsum(lengths) - lengths
             base = np.log10((counts + 0.5) / (n_train + 0.5 * (known + 1)))
             word = (root + (strength + root_tables) / (known + 1)) / (customers + strength)
-            p = word[tokens]
-            keys, at = _pairs(tokens, lengths, context.astype(np.int64), start)
-            if len(at):
-                inverse = np.unique(keys, return_inverse=True)[1]
-                c = keys & ((1 << CONTEXT_BITS) - 1)
-                p[at] = (pair[inverse] + (strength + table[0][c]) * p[at]) / (table[1][c] + strength)
+            keys = _pairs(tokens, lengths, r["start"])
+            inverse = np.unique(keys, return_inverse=True)[1]
+            c = keys & ((1 << CONTEXT_BITS) - 1)
+            p = (pair[inverse] + (strength + tables[c].astype(float)) * word[tokens]) / (sat[c].astype(float) + strength)
             out["doc_id"] += r["ids"]
             out["held_out"] += [not t for t in r["train"]]
             out["n_tokens"] += r["lengths"]
@@ -383,6 +398,9 @@ def score_texts(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
         kinds = {"held_out": pa.bool_(), "base_score": pa.float64(), "score": pa.float64()}
         return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
-    texts = blocks.select("block", "ids", "train", "lengths", "tokens")
-    worth = answers.filter("block >= 0").select("block", "shard", "counts", "root", "context", "pair")
+    texts = blocks.select("block", "ids", "train", "lengths", "tokens", "start")
+    none = F.lit(None).cast("binary")
+    worth = answers.filter("block >= 0").select("block", "shard", "counts", "root", "pair", none.alias("tables"), none.alias("customers"))
+    totals = _context_totals(answers)
+    worth = worth.unionByName(totals.select("*", *[none.alias(x) for x in ("counts", "root", "pair")]))
     return texts.groupBy("block").cogroup(worth.groupBy("block")).applyInArrow(scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
