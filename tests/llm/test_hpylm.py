@@ -114,6 +114,34 @@ def test_seating_follows_the_restaurant_process():
     assert np.mean(total) == pytest.approx((w1 + 2 * w2 + 3 * w3) / (w1 + w2 + w3), abs=0.05)
 
 
+@pytest.mark.parametrize("n, others, base", [(3, 4.0, 0.2), (40, 30.0, 0.6), (2000, 40.0, 0.7), (2000, 3000.0, 0.3), (5000, 2.0, 0.05), (3000, 300.0, 0.1)])
+def test_numbers_of_tables_follow_their_conditional(n, others, base):
+    """All customers of a dish are reseated at once; the law by recursion, also beyond the tabled ones."""
+    d = 0.6
+    s = np.full(n + 2, -np.inf)
+    s[1] = 0.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for m in range(1, n):
+            t = np.arange(n + 2)
+            s = np.logaddexp(s + np.log(np.maximum(m - d * t, 0)), np.concatenate([[-np.inf], s[:-1]]))
+    t = np.arange(1, n + 1)
+    log = s[1 : n + 1] + np.cumsum(np.log(others + d * (t - 1)) + math.log(base))
+    p = np.exp(log - log.max())
+    p /= p.sum()
+    mean, sd = (p * t).sum(), math.sqrt((p * t * t).sum() - (p * t).sum() ** 2)
+    got = H.draw_tables(np.full(4000, n), np.full(4000, others), np.full(4000, base), d, H.table_laws(d), np.random.default_rng(1))
+    assert got.mean() == pytest.approx(mean, abs=5 * sd / math.sqrt(4000) + 0.02 * mean)
+    assert got.std() == pytest.approx(sd, rel=0.1)
+
+
+def test_frequent_pairs_leave_their_start_state():
+    """A pair seen 100,000 times in a context with many others has far more tables than there are sweeps."""
+    word, context = np.concatenate([np.arange(20_001), np.zeros(5000, np.int64)]), np.concatenate([np.zeros(20_001, np.int64), np.arange(1, 5001)])
+    pairs = np.array([100_000, *[1] * 25_000])
+    s = H.seat(np.bincount(word, pairs).astype(np.int64), word, context, pairs, 5001)
+    assert (100_000 - s["pair"][0]) / H._discount(pairs) > 100
+
+
 def test_empty_table(spark):
     assert H.score_texts(empty(spark)).count() == 0
     assert prose

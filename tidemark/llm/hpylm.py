@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import crc_mod, text_of, written
 from tidemark.llm.shingles import span_hashes
 
+#: Dishes with up to so many customers have their exact law of the number of tables.
+STIRLING = 512
 #: A pair's key is the word's number above so many bits of its context's.
 CONTEXT_BITS = 32
 STRENGTH = 1.0
@@ -180,7 +182,7 @@ def _asked(blocks: DataFrame, shards: int) -> DataFrame:
 
 
 class Seating:
-    """Tables of many dishes at once. ``customers[i]`` people eat dish i; every one starts at one table.
+    """Tables of many dishes at once, a customer at a time: what draw_tables() is held against. ``customers[i]`` people eat dish i; every one starts at one table.
 
     remove() takes a customer at random from each given dish, add() seats one in each: at a table by
     its size less the discount, at a new one by the given weight. One remove() and add() of the same
@@ -238,6 +240,71 @@ class Seating:
             self.tables[opened] += 1
 
 
+def table_laws(discount: float, most: int = STIRLING) -> np.ndarray:
+    """[n, t - 1]: log of the ways to seat n customers at t tables, generalised Stirling numbers
+    S(n, t) times discount^(t-1) (t-1)! / (n-1)!, for n up to ``most``."""
+    out = np.full((most + 1, most), -np.inf)
+    t = np.arange(1, most + 1)
+    out[1, 0] = 0.0
+    with np.errstate(divide="ignore"):
+        for n in range(1, most):
+            stay = out[n] + np.log(np.maximum(1 - discount * t / n, 0))
+            opened = np.concatenate([[-np.inf], out[n, :-1] + np.log(discount * t[:-1] / n)])
+            out[n + 1] = np.logaddexp(stay, opened)
+    return out
+
+
+def _saddle(n: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """The logs of table_laws() by the saddle point of ((1 - (1 - x)^d) / d)^t, for 1 <= t < n."""
+    grid = np.concatenate([np.exp(np.linspace(-600, -3, 8000)), 1 - np.exp(np.linspace(np.log(1 - np.exp(-3)), -12, 4000))])  # of y = 1 - x
+    ratio = (1 - grid) * discount * grid ** (discount - 1) / (1 - grid**discount)
+    y = np.exp(np.interp(-np.log(n / t - 1), -np.log(ratio - 1), np.log(grid)))
+    f, x, g = (1 - y**discount) / discount, 1 - y, y ** (discount - 1)
+    rho = x * g / f
+    bend = rho * (1 + x * (1 - discount) / y - rho)  # of log f, in log x
+    return t * np.log(f) - n * np.log1p(-y) - 0.5 * np.log(t * np.maximum(bend, 1e-9)) - np.log(t) + (t - 1) * np.log(discount)
+
+
+def draw_tables(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, laws: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Number of tables of dishes, all customers reseated: p(t) ~ S(n, t) prod_{i<t} (others + i discount) base^t.
+
+    ``others``: strength and discounts of the restaurant's tables without the dish's own. Above the
+    largest n of ``laws`` S is the saddle point's, less its error there at t in the scale n^discount. Tables
+    beyond 12 deviations of the law without the Stirling numbers, which fall in t, are left out.
+    """
+    most = laws.shape[1]
+    r, h = others / discount + 1, np.minimum(base, 1 - 1e-9)
+    mean = r * h / (1 - h)
+    scale = np.minimum(1.0, (most / np.maximum(customers, 1)) ** discount)
+    reach = np.where(customers <= most, customers, customers - 1)
+    width = np.minimum(reach, np.ceil(mean + 12 * np.sqrt(mean / (1 - h)) + 30)).astype(np.int64)
+    row = np.minimum(customers, most)
+    flat = np.maximum(laws, -1e300)
+    few = np.arange(1, most // 2)
+    error = laws[most, : len(few)] - _saddle(np.full(len(few), most), few, discount)
+    out = np.ones(len(customers), np.int64)
+    order = np.argsort(width, kind="stable")
+    lo = int(np.searchsorted(width[order], 2))
+    while lo < len(order):
+        w = width[order[lo]]
+        hi = int(np.searchsorted(width[order], max(w + 1, w * 5 // 4)))
+        hi = min(hi, lo + max(1, 1_000_000 // int(w)))
+        at = order[lo:hi]
+        steps = np.arange(width[at].max())
+        law = flat[row[at][:, None], np.minimum(steps, most - 1)[None, :]]
+        part = np.flatnonzero(scale[at] < 1)
+        if len(part):
+            n = customers[at[part]][:, None]
+            t = np.minimum(steps[None, :] + 1, n - 1)
+            law[part] = _saddle(n, t, discount) + np.interp(1 + (t - 1) * scale[at[part]][:, None], few, error)
+        law[:, 1:] += np.cumsum(np.log((r[at][:, None] + steps[None, :-1]) / steps[None, 1:] * h[at][:, None]), axis=1)
+        law[steps[None, :] >= width[at][:, None]] = -1e300
+        total = np.cumsum(np.exp(law - law.max(axis=1)[:, None]), axis=1)
+        out[at] = 1 + (total < (rng.random(len(at)) * total[:, -1])[:, None]).sum(axis=1)
+        lo = hi
+    return np.minimum(out, np.maximum(customers, 1))
+
+
 def _discount(counts: np.ndarray) -> float:
     """n1 / (n1 + 2 n2), the usual estimate, kept between 0.1 and 0.95."""
     n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
@@ -247,9 +314,9 @@ def _discount(counts: np.ndarray) -> float:
 def seat(word_counts: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarray, pair_counts: np.ndarray, n_contexts: int, *, shards: int = 1, scale: np.ndarray | None = None, seed: int = 0, burn_in: int = BURN_IN, samples: int = SAMPLES, strength: float = STRENGTH) -> dict:
     """Gibbs sweeps over one shard's seating; averages over the samples.
 
-    A sweep moves a customer of every (context, word) dish with two or more, then one of every word in
-    the root, after the root has taken in (or let go) the customers that tables opened (or closed)
-    since: up to three a word and sweep. ``scale``: all shards' tables of each context over this one's.
+    A sweep reseats all customers of every (context, word) dish with two or more, a random half of the
+    dishes after the other, then those of every word in the root, whose customers are by then all the
+    tables that the dishes have. ``scale``: all shards' tables of each context over this one's.
     """
     rng = np.random.default_rng(seed)
     dishes = np.flatnonzero(pair_counts > 0)
@@ -258,32 +325,36 @@ def seat(word_counts: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarra
     direct = float(shards * here.sum())
     scale = np.full(n_contexts, float(shards)) if scale is None else scale
     d1, d0 = _discount(p_count), _discount(word_counts)
-    low = Seating(p_count, d1, rng)
-    root = Seating(here + np.bincount(p_word, low.tables, len(word_counts)).astype(np.int64), d0, rng)
+    low_laws, root_laws = table_laws(d1), table_laws(d0)
+    low = np.ones(len(p_count), np.int64)  # tables of each dish
+
+    def in_root() -> np.ndarray:
+        return here + np.bincount(p_word, low, len(word_counts)).astype(np.int64)
+
+    root = in_root()
+    root_low = (root > 0).astype(np.int64)
     many = np.flatnonzero(p_count >= 2)
     n_known = max(1, int((word_counts > 0).sum()))
     sums = {"root": np.zeros(len(word_counts)), "pair": np.zeros(len(pair_counts)), "tables": np.zeros(n_contexts), "root_tables": 0.0}
     for k in range(burn_in + samples):
-        base = (strength / shards + d0 * root.tables.sum()) / n_known  # of a word at a new root table
-        total = direct + shards * low.tables.sum()
-        prior = (root.customers - d0 * root.tables + base) / max(total, 1.0)
-        open_tables = np.bincount(p_context, low.tables, n_contexts) * scale
-        if len(many):
-            low.remove(many)
-            low.add(many, (strength + d1 * open_tables[p_context[many]]) * prior[p_word[many]])
-        for _ in range(3):
-            off = here + np.bincount(p_word, low.tables, len(word_counts)).astype(np.int64) - root.customers
-            root.remove(np.flatnonzero(off < 0))
-            more = np.flatnonzero(off > 0)
-            root.add(more, np.full(len(more), base))
-        busy = np.flatnonzero(root.customers >= 2)
-        root.remove(busy)
-        root.add(busy, np.full(len(busy), base))
+        half = rng.random(len(many)) < 0.5
+        for mine in (many[half], many[~half]):
+            base = (strength / shards + d0 * root_low.sum()) / n_known  # of a word at a new root table
+            prior = (root - d0 * root_low + base) / max(direct + shards * low.sum(), 1.0)
+            open_tables = np.bincount(p_context, low, n_contexts) * scale
+            others = strength + d1 * np.maximum(open_tables[p_context[mine]] - low[mine], 0)
+            low[mine] = draw_tables(p_count[mine], others, prior[p_word[mine]], d1, low_laws, rng)
+            root = in_root()
+            root_low = np.minimum(np.maximum(root_low, root > 0), root)
+        busy = np.flatnonzero(root >= 2)
+        for mine in np.split(busy, [len(busy) // 2]):
+            others = strength / shards + d0 * (root_low.sum() - root_low[mine])
+            root_low[mine] = draw_tables(root[mine], others, np.full(len(mine), 1 / (n_known + 1)), d0, root_laws, rng)
         if k >= burn_in:
-            sums["root"] += (root.customers - d0 * root.tables) / samples
-            sums["pair"][dishes] += (p_count - d1 * low.tables) / samples
-            sums["tables"] += d1 * np.bincount(p_context, low.tables, n_contexts) / samples
-            sums["root_tables"] += d0 * float(root.tables.sum()) / samples
+            sums["root"] += (root - d0 * root_low) / samples
+            sums["pair"][dishes] += (p_count - d1 * low) / samples
+            sums["tables"] += d1 * np.bincount(p_context, low, n_contexts) / samples
+            sums["root_tables"] += d0 * float(root_low.sum()) / samples
     sums["context_customers"] = np.bincount(p_context, p_count, n_contexts)
     sums["known"] = int((word_counts > 0).sum())
     return sums
