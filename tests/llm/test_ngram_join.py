@@ -109,3 +109,15 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert J.near_duplicates(empty(spark)).count() == 0
+
+
+def test_empty_blocks_count_no_pair_twice(spark, monkeypatch):
+    """Two near copies in a component of many blocks: most blocks are empty, wherever the two fall."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(12):
+        w = [f"g{i}x{rnd.randrange(10**6)}" for _ in range(300)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:-1], "other"]))]
+    rows = [(*r, *[None] * (len(DOCS.split(", ")) - 2)) for r in rows]
+    monkeypatch.setattr(J, "BLOCK_GRAMS", 200)
+    assert result(spark.createDataFrame(rows, DOCS)) == brute(rows)

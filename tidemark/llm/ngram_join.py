@@ -89,16 +89,16 @@ def signatures(docs: DataFrame, *, n: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "digest", "text").mapInArrow(signed, "doc_id bigint, digest string, f1 bigint, f2 bigint, n_grams bigint, bands array<bigint>")
 
 
-def _linked(nodes, copies, left, sig, grams, counts, threshold: float):
+def _linked(nodes, copies, left, sig, grams, counts, threshold: float, single: bool | None = None):
     """Of one block or pair of blocks: (links of each text, root of each text).
 
-    ``left`` marks the first block's texts; in a pair of blocks only pairs across count, in a single
-    block (all of them left) all pairs. Candidates share a band; each is verified on its whole sets.
+    ``left`` marks the first block's texts; in a pair of blocks only pairs across count (none where one
+    of the two is empty), in a ``single`` block all pairs. Candidates share a band; each is verified on its whole sets.
     """
+    single = bool(left.all()) if single is None else single
     m = len(nodes)
     links, root = np.zeros(m, np.int64), np.arange(m)
     ends = np.cumsum(counts)
-    single = bool(left.all())
     rows, cols = (np.arange(m), np.arange(m)) if single else (np.flatnonzero(left), np.flatnonzero(~left))
     share = np.zeros((len(rows), len(cols)), bool)
     for k in range(sig.shape[1]):
@@ -171,7 +171,7 @@ def _verified(blocks: DataFrame, n: int, threshold: float) -> DataFrame:
                 if len(part) > 1:
                     sets = np.concatenate([grams[ends[o] - counts[o] : ends[o]] for o in own])
                     left = np.array([r[4] == r[1] for r in part])
-                    links, root = _linked(nodes, np.array([r[5] for r in part], np.int64), left, np.array([r[6] for r in part], np.int64), sets, counts[own], threshold)
+                    links, root = _linked(nodes, np.array([r[5] for r in part], np.int64), left, np.array([r[6] for r in part], np.int64), sets, counts[own], threshold, part[0][1] == part[0][2])
                     some = links > 0
                     out.append((nodes[some], links[some], nodes[root][some]))
                 first = k
