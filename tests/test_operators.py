@@ -219,3 +219,22 @@ def test_streams(spark, tmp_path):
     done = sorted((r["_time"], tuple(r["_message"]), r["_is_closed"]) for r in run(transactions_stream(stream(), key="k", starts_with="start"), "s_tx"))
     assert done == [(1, ("start", "x"), True), (4, ("start", "y"), True)]
     assert len(run(addtotals(stream()), "s_add")) == 6
+
+
+def test_output_csv_parts_are_shared_and_checked(spark, tmp_path, monkeypatch):
+    """Parts lie in the shared folder, not beside the target; lost ones raise."""
+    from tidemark.sources import output_csv as O
+
+    df = spark.createDataFrame([(1, "a\nb"), (2, "ü")], "n int, z string")
+    join, seen = O._join, []
+
+    def spy(session, parts, target):
+        seen.extend([parts, sorted(x.name for x in target.parent.iterdir())])
+        join(session, parts, target)
+
+    monkeypatch.setattr(O, "_join", spy)
+    assert rows(O.output_csv(df, str(tmp_path / "x.csv"))) == [(str(tmp_path / "x.csv"), "completed", 2)]
+    assert seen[0].startswith(spark.conf.get("spark.checkpoint.dir")) and seen[1] == ["x.csv"]
+    monkeypatch.setattr(O, "_join", lambda *_: None)
+    with pytest.raises(OSError):
+        O.output_csv(df, str(tmp_path / "y.csv"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 import csv
 import io
 import os
-import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.args import ArgumentError
+from tidemark.llm.common import shared_path
 
 
 def _cell(df: DataFrame, name: str) -> Column:
@@ -45,8 +45,9 @@ def resolve(path: str, root: str | None = None) -> Path:
 def output_csv(df: DataFrame, path: str, append: bool = False, tee: bool = False, *, root: str | None = None, order_by: list[str] | None = None) -> DataFrame:
     """Write the rows to one CSV file on the driver's disk; gives a status row, with ``tee`` the rows.
 
-    Executors render the lines and write them as parts beside the target, in order; the parts are then
-    joined to it a buffer at a time, so no task and not the driver holds the table. Appending keeps
+    Executors render the lines and write them as parts in the folder of spark.checkpoint.dir, in order; the
+    parts are then joined to the target a buffer at a time, so no task and not the driver holds the table.
+    Bytes that do not arrive raise an OSError. Appending keeps
     the header of a file that has one: columns go by name, others are dropped, missing ones are empty;
     a missing last line break is added. An empty table without columns leaves an empty file.
     """
@@ -66,28 +67,40 @@ def output_csv(df: DataFrame, path: str, append: bool = False, tee: bool = False
     cells = [_cell(df, n) if n in df.columns else F.lit("") for n in header]
     line = F.concat_ws(",", *cells) if len(cells) > 1 else F.when(cells[0] == "", F.lit('""')).otherwise(cells[0])
     rows = df.orderBy(*order_by) if order_by else df
-    parts = target.parent / f".{target.name}.{uuid.uuid4().hex}"
-    rows.select(line.alias("value")).write.text(str(parts.resolve().as_uri()))
-    written = 0
-    with target.open("ab") as out:
-        found = [p for p in sorted(parts.glob("part-*")) if p.stat().st_size]
-        if found and not old:
-            head = io.StringIO()
-            csv.writer(head, lineterminator="\n").writerow(header)
+    spark, seen = df.sparkSession, Observation()
+    parts = shared_path(spark, "csv")
+    lines = rows.select(line.alias("value")).observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("value").cast("bigint") + 1).alias("bytes"))
+    lines.write.text(parts)
+    found = seen.get
+    written, size = found.get("rows") or 0, found.get("bytes") or 0
+    if written and not old:
+        head = io.StringIO()
+        csv.writer(head, lineterminator="\n").writerow(header)
+        with target.open("ab") as out:
             out.write(head.getvalue().encode())
-        for p in found:
-            with p.open("rb") as f:
-                while chunk := f.read(1 << 20):
-                    out.write(chunk)
-    written = df.sparkSession.read.text(str(parts.resolve().as_uri()), lineSep="\n").count() if found and not _breaks(df) else df.count()
-    for p in parts.iterdir():
-        p.unlink()
-    parts.rmdir()
+    before = target.stat().st_size
+    _join(spark, parts, target)
+    if target.stat().st_size - before != size:
+        raise OSError(f"{target.stat().st_size - before} bytes of {size} in {written} rows reached {target}")
     if tee:
         return df
     return df.sparkSession.range(1).select(F.lit(str(path)).alias("target_path"), F.lit("completed").alias("status"), F.lit(written).cast("bigint").alias("rows_written"))
 
 
-def _breaks(df: DataFrame) -> bool:
-    """Whether texts may hold line breaks, so that lines do not count rows."""
-    return any(isinstance(f.dataType, T.StringType) for f in df.schema.fields)
+def _join(spark: SparkSession, parts: str, target: Path) -> None:
+    """Append the parts to the target in order, a buffer at a time, and delete them."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(parts)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    out = jvm.java.io.FileOutputStream(str(target.resolve()), True)
+    try:
+        for p in found:
+            part = fs.open(p)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
