@@ -14,10 +14,14 @@ MAX_REPEATS = 3
 STRETCH = 512
 #: Stretches whose offsets are summed in one task.
 SPAN = 4096
+#: Words of a packet of the queue, packets of a range of the sorted queue, and equal rows unfolded at a time.
+PACKET = 128
+RANGE_PACKETS = 250_000
+ALIKE = 1024
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """Targets of the sources (source, source_size) -> (+ weight, target).
+    """Targets of the sources (source, source_size) -> (+ weight, number, target).
 
     The targets share the sum of all sizes by weight and stop at ``max_repeats`` times the source's
     size; what is cut off is shared again by weight among the others. That fixed point is a water
@@ -27,7 +31,8 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_R
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     kinds = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sources.withColumn("weight", F.element_at(kinds, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
+    ranked = sources.withColumn("number", F.row_number().over(by_name))
+    ranked = ranked.withColumn("weight", F.element_at(kinds, ((F.col("number") - 1) % len(weights) + 1).cast("int")))
     ranked = ranked.withColumn("cap", F.col("source_size").cast("double") * max_repeats).withColumn("ratio", F.col("cap") / F.col("weight"))
     before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(1))
@@ -37,7 +42,7 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_R
     )
     # Past that k the quotient only falls, so the largest that fits is the first.
     level = level.withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(whole))
-    return level.select("source", "source_size", "weight", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    return level.select("source", "source_size", "weight", "number", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
 def shuffle_key(id_column: str, seed: str = "") -> Column:
@@ -45,40 +50,114 @@ def shuffle_key(id_column: str, seed: str = "") -> Column:
     return F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit(""))).cast("binary"))
 
 
-def fair_queue(docs: DataFrame, size: Column, *, id_column: str = "doc_id", source_column: str = "source", weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, key, start, taken.
+def waiting(docs: DataFrame, size: Column, *, id_column: str = "doc_id", source_column: str = "source", weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "") -> DataFrame:
+    """One row per document with its place in its source's shuffled stream: doc_id, source, size, key,
+    source_size, target, number (the source's, in code-point order), start (words ahead of it).
 
-    Every document of a source waits in shuffled order; a source's stream is its order repeated up
-    to ``max_repeats`` times. The virtual finish time of a document's e-th copy is (e * source size
-    + sizes up to and with it) / target. Served in that global order, the budget is used up at
-    virtual time 1, as the targets add up to it; the document then in service is cut there. So each
-    source gets floor(target) words and ``taken`` is at most ``max_repeats`` times the size.
-
-    Sums within a source are taken in two steps: sums of stretches of the shuffled order (a hash
-    range of some thousand documents), then within a stretch, so that a source with a third of all
-    rows is spread over many tasks. Empty or null texts have size 0 and take 0; ties (repeated rows)
-    are served one after the other; an empty table gives no rows. Other columns are not read.
+    Rows that agree in id, source and size are folded into one with a count before anything is
+    ordered, and unfolded in stretches at the end. Sums within a source are taken in two steps: sums of
+    stretches of the shuffled order (a hash range of some hundred documents), then within a stretch,
+    so that a source with a third of all rows is spread over many tasks.
     """
-    base = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), size.cast("long").alias("size"), shuffle_key(id_column, seed).alias("key"))
-    base = written(base, "mix-sizes")
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), size.cast("long").alias("size"), shuffle_key(id_column, seed).alias("key"))
+    base = written(rows.groupBy("source", "key", "doc_id", "size").agg(F.count("*").alias("alike")), "mix-sizes")
     stretches = max(1, -(-base.count() // STRETCH))
     base = base.withColumn("stretch", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(stretches) / F.lit(2**32)).cast("long"))
-    parts = base.groupBy("source", "stretch").agg(F.sum("size").alias("part"))
+    words = F.col("size") * F.col("alike")
+    parts = base.groupBy("source", "stretch").agg(F.sum(words).alias("part"))
     parts = parts.withColumn("span", F.floor(F.col("stretch") / SPAN))
     targets = source_targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, max_repeats)
     running = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     spans = parts.groupBy("source", "span").agg(F.sum("part").alias("part")).select("source", "span", F.coalesce(F.sum("part").over(running), F.lit(0)).alias("ahead"))
-    spans = _join(spans, targets, ["source"], ["source_size", "target"])
+    told = ["source_size", "target", "number"]
+    spans = _join(spans, targets, ["source"], told)
     within = Window.partitionBy("source", "span").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("ahead_in_span", F.coalesce(F.sum("part").over(within), F.lit(0)))
-    offsets = _join(parts, spans, ["source", "span"], ["ahead", "source_size", "target"]).withColumn("before", F.col("ahead") + F.col("ahead_in_span"))
+    offsets = _join(parts, spans, ["source", "span"], ["ahead", *told]).withColumn("before", F.col("ahead") + F.col("ahead_in_span"))
     inner = Window.partitionBy("source", "stretch").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = _join(base, offsets, ["source", "stretch"], ["before", "source_size", "target"]).withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    served = [F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.lit(e) * F.col("source_size") - F.col("start"))) for e in range(max_repeats)]
-    taken = served[0]
-    for x in served[1:]:
-        taken = taken + x
-    return placed.select("doc_id", "source", "size", "source_size", "target", "key", "start", taken.cast("long").alias("taken"))
+    placed = _join(base, offsets, ["source", "stretch"], ["before", *told]).withColumn("first", F.col("before") + F.coalesce(F.sum(words).over(inner), F.lit(0)))
+    some = placed.withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("alike") - 1) / ALIKE))))
+    each = some.withColumn("no", F.explode(F.sequence(F.col("lot") * ALIKE, F.least("alike", (F.col("lot") + 1) * ALIKE) - 1)))
+    return each.select("doc_id", "source", "size", "key", *told, (F.col("first") + F.col("no") * F.col("size")).cast("long").alias("start"))
+
+
+def _packet(epoch, number):
+    """(position in the source's stream, words, virtual finish time) of a packet of a document's copy."""
+    position = F.lit(epoch).cast("long") * F.col("source_size") + F.col("start") + F.lit(PACKET) * number
+    words = F.least(F.lit(PACKET), F.col("size") - F.lit(PACKET) * number)
+    return position, words, (position + words).cast("double") / F.col("target")
+
+
+def _last_packet() -> Column:
+    return F.floor((F.col("size") - 1) / PACKET)
+
+
+def budget_cut(placed: DataFrame, max_repeats: int = MAX_REPEATS):
+    """The packet of the queue in which the budget, the sum of all sizes, is used up: a row of its
+    finish, number, position and of the words ``left`` for it. None where there are no words.
+
+    The packets of all copies are sorted globally by (finish, source, position) in ranges; running
+    sums over the ranges find the range of the cut, those within it the packet. Two single rows reach
+    the driver.
+    """
+    size = placed.filter("size > 0").agg(F.sum("size").alias("budget"), F.sum(_last_packet() + 1).alias("packets")).first()
+    budget = size["budget"] or 0
+    if not budget:
+        return None
+    copies = placed.filter("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1)))).withColumn("packet", F.explode(F.sequence(F.lit(0).cast("long"), _last_packet())))
+    position, words, finish = _packet(F.col("epoch"), F.col("packet"))
+    order = ["finish", "number", "position"]
+    packets = copies.select(finish.alias("finish"), "number", position.alias("position"), words.alias("words"))
+    ranges = max(1, -(-size["packets"] * max_repeats // RANGE_PACKETS))
+    queue = written(packets.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "mix-queue")
+    ahead = F.coalesce(F.sum("words").over(Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = queue.groupBy("range").agg(F.sum("words").alias("words")).withColumn("ahead", ahead)
+    hit = totals.filter((F.col("ahead") < budget) & (F.col("ahead") + F.col("words") >= budget)).first()
+    ahead = F.lit(hit["ahead"]) + F.coalesce(F.sum("words").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = queue.filter(F.col("range") == hit["range"]).withColumn("ahead", ahead)
+    return inside.filter((F.col("ahead") < budget) & (F.col("ahead") + F.col("words") >= budget)).select(*order, (F.lit(budget) - F.col("ahead")).alias("left")).first()
+
+
+def _taken(cut, epoch: int) -> Column:
+    """Words that the mix takes of a document's copy: its packets ahead of the cut, and what is left for that one."""
+
+    def ahead(number: Column) -> Column:
+        position, _, finish = _packet(epoch, number)
+        tie = (F.col("number") < cut["number"]) | (F.col("number") == cut["number"]) & (position < cut["position"])
+        return (finish < cut["finish"]) | (finish == cut["finish"]) & tie
+
+    def served(acc: Column, number: Column) -> Column:
+        position, words, _ = _packet(epoch, number)
+        here = (F.col("number") == cut["number"]) & (position == cut["position"])
+        return acc + F.when(here, F.lit(cut["left"])).when(ahead(number), words).otherwise(F.lit(0)).cast("long")
+
+    first = F.lit(0).cast("long")
+    met = ahead(first) | (F.col("number") == cut["number"])
+    part = F.aggregate(F.sequence(first, _last_packet()), first, served)
+    return F.when(F.col("size") <= 0, F.lit(0)).when(ahead(_last_packet() + 1), F.col("size")).when(met, part).otherwise(F.lit(0))
+
+
+def fair_queue(docs: DataFrame, size: Column, *, max_repeats: int = MAX_REPEATS, **kw) -> DataFrame:
+    """One row per document: the columns of waiting() and ``taken``.
+
+    A source's stream is its shuffled order, repeated up to ``max_repeats`` times. It is queued in
+    packets: a document's copy of more than PACKET words is several. The virtual finish time of a
+    packet is the source's words up to and with it over the source's target. All packets are sorted
+    globally by it and cut, to the word, where their running total is the budget, the sum of all
+    sizes; ``taken`` is what lies ahead of the cut. Packets keep a long document from holding up its
+    source, so that each source gets its target to about a packet.
+
+    Empty or null texts have size 0 and take 0; very long texts are many packets; ties of finish times
+    go by source, then by place in the stream, so reruns agree; repeated rows are served one after the
+    other; an empty table gives no rows. Other columns are not read, so none can clash. One row per
+    source meets in a task, to rank the sources.
+    """
+    placed = written(waiting(docs, size, max_repeats=max_repeats, **kw), "mix-waiting")
+    cut = budget_cut(placed, max_repeats)
+    taken = F.lit(0)
+    for epoch in range(max_repeats if cut else 0):
+        taken = taken + _taken(cut, epoch)
+    return placed.withColumn("taken", taken.cast("long"))
 
 
 def _join(a: DataFrame, b: DataFrame, keys: list[str], take: list[str]) -> DataFrame:
@@ -90,12 +169,18 @@ def _join(a: DataFrame, b: DataFrame, keys: list[str], take: list[str]) -> DataF
     return a.join(b, on).drop(*[f"_b_{k}" for k in keys])
 
 
-def served_order(queue: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """The mix itself: a row for each copy that is served (doc_id, epoch, words, finish), globally
-    range-sorted by virtual finish time and cut at the budget."""
-    epochs = F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1)))
-    x = queue.filter("taken > 0").withColumn("epoch", epochs).withColumn("words", F.greatest(F.lit(0), F.least("size", F.floor("target") - F.col("epoch") * F.col("source_size") - F.col("start"))))
-    return x.filter("words > 0").withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("start") + F.col("size")) / F.col("target")).select("doc_id", "source", "epoch", "words", "finish").orderBy("finish", "key", "epoch")
+def copies(queue: DataFrame) -> DataFrame:
+    """A row for each copy that the mix takes, in whole or in part: doc_id, source, epoch, words, finish."""
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    each = queue.filter("taken > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
+    words = F.least(F.col("size"), F.col("taken") - F.col("epoch") * F.col("size"))
+    finish = (F.col("epoch") * F.col("source_size") + F.col("start") + F.col("size")) / F.col("target")
+    return each.select("doc_id", "source", "epoch", words.alias("words"), finish.alias("finish"))
+
+
+def served_order(queue: DataFrame) -> DataFrame:
+    """The mix itself: copies() in global order of virtual finish times."""
+    return copies(queue).orderBy("finish", "source", "epoch", "doc_id")
 
 
 def mix_documents(docs: DataFrame, text_column: str = "text", **kw) -> DataFrame:

@@ -150,14 +150,18 @@ WARC_SQL = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))
 g AS (SELECT payload_digest, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
 SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id < keep THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < keep THEN keep END AS refers_to FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND payload_bytes >= 1000"""
 
-MIX_SQL = r"""WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size, md5(CAST(doc_id AS VARCHAR)) AS key FROM documents),
+MIX_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS number FROM s),
+w AS (SELECT *, [5.0, 2.0, 1.0][(number - 1) % 3 + 1]::DOUBLE AS weight FROM n),
 c AS (SELECT *, source_size::DOUBLE * 3 AS cap, source_size::DOUBLE * 3 / weight AS ratio FROM w),
 l AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER p, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0)) AS level FROM c WINDOW p AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level <= ratio THEN level END) OVER () * weight, cap)) AS target FROM l),
-q AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - source_size - start)) + greatest(0, least(size, floor(target) - 2 * source_size - start)))::BIGINT AS taken FROM q"""
+t AS (SELECT source, number, source_size, least(cap, coalesce(max(CASE WHEN level <= ratio THEN level END) OVER () * weight, cap)) AS target FROM l),
+q AS (SELECT r, d.doc_id, d.size, number, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT r, number, target, e * source_size + start + 128 * p AS position, least(128, size - 128 * p) AS words FROM (SELECT *, unnest(range(0, (size + 127) // 128)) AS p FROM q), (SELECT unnest([0, 1, 2]) AS e)),
+o AS (SELECT r, words, sum(words) OVER (ORDER BY (position + words)::DOUBLE / target, number, position ROWS UNBOUNDED PRECEDING) - words AS ahead FROM p),
+k AS (SELECT r, sum(greatest(0, least(words, (SELECT sum(size) FROM d) - ahead)))::BIGINT AS taken FROM o GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM q LEFT JOIN k ON q.r = k.r"""
 
 
 def oracle_sql() -> dict[str, str]:
