@@ -29,8 +29,16 @@ def test_round_trip(spark):
         assert at == 2048 or at & (at - 1) == 0
     for name, ids in want:
         array = np.array(ids, "<u4")
-        for start, length, crc in pieces[(name, len(ids))]:
+        own = pieces[(name, len(ids))]
+        for start, length, crc in own:
             assert zlib.crc32(array[start : start + length].tobytes()) == crc
+        # Disjoint and gapless, for as many documents as share the id and the length.
+        times = sum(1 for n, i in want if (n, len(i)) == (name, len(ids)))
+        covered = np.zeros(len(ids) + 1, int)
+        for start, length, _ in own:
+            covered[start] += 1
+            covered[start + length] -= 1
+        assert (np.cumsum(covered)[:-1] == times).all()
     assert sum(r["length"] for r in got) == sum(len(ids) for _, ids in want)
 
 
@@ -70,5 +78,38 @@ def test_cut_rest_pads_nothing():
     assert sum(p[0] for s in out for p in s) == 24
 
 
+def test_open_windows_stay_where_others_fill_them():
+    left = [[(15, 0, 0, 0)], [(8, 0, 1, 0), (3, 0, 2, 0)], [(7, 0, 3, 0)], [(4, 0, 4, 0)], [(1, 0, 5, 0)]]
+    out = P.fill_open(left, 16)
+    assert [sum(p[0] for p in s) for s in out] == [16, 16, 4, 2]
+    assert out[0] == [(15, 0, 0, 0), (1, 0, 5, 0)] and out[1][:2] == [(8, 0, 1, 0), (3, 0, 2, 0)]
+    assert P.fill_open([], 16) == []
+
+
+def test_sum_of_squares_places_nine_tails_of_ten():
+    rnd = random.Random(3)
+    packer = P.LevelPacker()
+    tails = 10_000
+    for i in range(tails):
+        packer.place((1 + min(2046, int(rnd.lognormvariate(6, 1))), 0, i, 0))
+    left = packer.rest()
+    whole = {p[2] for w in left for p in w}
+    kept = {w[0][2] for w in P.fill_open([list(w) for w in left]) if len(w) > 1 and any(list(w)[: len(x)] == x for x in left)}
+    moved = whole - {p[2] for x in left if x[0][2] in kept for p in x}
+    assert len(moved) < 0.1 * tails
+
+
+def test_text_ids_and_several_streams(spark):
+    df = awkward(spark).selectExpr("concat('d', doc_id) AS doc_id", "text").repartition(3)
+    got = P.pack_documents(df, PATH, stream_docs=5).collect()
+    plain = P.pack_documents(awkward(spark), PATH).collect()
+    assert sum(r["length"] for r in got) == sum(r["length"] for r in plain)
+    assert {r["doc_id"] for r in got} == {None if r["doc_id"] is None else f"d{r['doc_id']}" for r in plain}
+    lengths = defaultdict(int)
+    for r in got:
+        lengths[r["sequence_id"]] += r["length"]
+    assert all(n == 2048 or n & (n - 1) == 0 for n in lengths.values())
+
+
 def test_empty_table(spark):
     assert P.pack_documents(empty(spark), PATH).count() == 0

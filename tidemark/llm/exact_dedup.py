@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, text_of, written
+from tidemark.llm.common import SPACE, fresh, text_of, written
 
 #: Two primes under 2**31 and a base for each.
 PRIMES = (2147483647, 2147483629)
@@ -127,12 +127,13 @@ def _clashes(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that exact_groups() keeps, with all their columns; rows that repeat a
-    kept document are dropped too."""
-    keep = exact_groups(docs, id_column=id_column, text_column=text_column).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256"))
+    kept document are dropped too. Columns of any name pass through."""
+    key, id_, sha_ = fresh(docs, "_key", "_id", "_sha256")
+    keep = exact_groups(docs, id_column=id_column, text_column=text_column).filter("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha_))
     keep = written(keep, "kept")
     sha = F.sha2(normalised(text_of(text_column)).cast("binary"), 256)
-    rows = docs.withColumn("_key", sha).join(keep, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha256")), "left_semi")
-    repeats = keep.groupBy("_id", "_sha256").count().filter("count > 1").limit(1).count()
+    rows = docs.withColumn(key, sha).join(keep, F.col(id_column).eqNullSafe(F.col(id_)) & (F.col(key) == F.col(sha_)), "left_semi")
+    repeats = keep.groupBy(id_, sha_).count().filter("count > 1").limit(1).count()
     if repeats:
-        rows = rows.dropDuplicates([id_column, "_key"])
-    return rows.drop("_key")
+        rows = rows.dropDuplicates([id_column, key])
+    return rows.drop(key)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from unicodedata import is_normalized
 
@@ -22,7 +23,9 @@ END_ID = 1
 BATCH_CHARS = 2_000_000
 #: The word cache starts anew beyond so many words or characters.
 CACHE_WORDS, CACHE_CHARS = 900_000, 12_000_000
-SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+#: Documents of a packing stream, about, and streams at most (beyond, they grow longer).
+STREAM_DOCS, MAX_STREAMS = 32_768, 20_000
+PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 _BLANKS = "\n\t\r\x0b\x0c"
 _MARK = "\x01"
 
@@ -189,75 +192,124 @@ def cut_rest(left: list[list[tuple]], window: int = WINDOW) -> list[list[tuple]]
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def fill_open(left: list[list[tuple]], window: int = WINDOW) -> list[list[tuple]]:
+    """Sequences from the windows, fullest first, that are open when a stream ends.
+
+    The fuller ones stay as sum-of-squares made them; the emptiest are taken apart to fill them. The
+    last one, one a stream, makes sequences of powers of two: no padding.
+    """
+    open_, spare, out = deque(left), [], []
+    while open_:
+        now = open_.popleft()
+        room = window - sum(p[0] for p in now)
+        while room and (spare or open_):
+            spare = spare or open_.pop()
+            n, start, doc, first = spare.pop()
+            take = min(n, room)
+            now.append((take, start, doc, first))
+            if n > take:
+                spare.append((n - take, start + take, doc, first + take))
+            room -= take
+        if room:
+            spare = now
+        else:
+            out.append(now)
+    return out + cut_rest([spare], window)
+
+
+def _encoded(rows: DataFrame, tokenizer_path: str, streams: int, window: int, end_id: int) -> DataFrame:
+    """(doc_id, text) -> a row per full window of a document, a sequence of its own, and one per tail with
+    its ids and with the stream it is dealt to."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = WordIds(tokenizer_path)
+        partition = TaskContext.get().partitionId()
+        n_docs = n_seq = 0
+        for batch in batches:
+            kind, ids_of, texts = batch.schema.field(0).type, batch.column(0).to_pylist(), batch.column(1)
+            for lo, hi in _slices(texts, BATCH_CHARS):
+                ids, counts = encode(texts.slice(lo, hi - lo).to_pylist())
+                at, out = 0, []
+                for k, n in enumerate(counts):
+                    all_ids = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
+                    at, total = at + n, len(all_ids)
+                    deal = ((partition * 40503 + n_docs) % streams, partition << 32 | n_docs, ids_of[lo + k])
+                    for start in range(0, total, window):
+                        piece = all_ids[start : start + window].tobytes()
+                        full = len(piece) == 4 * window
+                        out.append((*deal, start, len(piece) // 4, zlib.crc32(piece), total, partition << 32 | n_seq if full else None, None if full else piece))
+                        n_seq += full
+                    n_docs += 1
+                types = [pa.int32(), pa.int64(), kind, *[pa.int64()] * 5, pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["stream", "number", *PIECE[:-1], "ids"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(work, f"stream int, number bigint, doc_id {kind}, " + ", ".join(f"{x} bigint" for x in PIECE[1:-1]) + ", ids binary")
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, end_id: int = END_ID, stream_docs: int = STREAM_DOCS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Nothing is shuffled: each task packs the documents of its partition as they come. A document's
-    full windows are sequences of their own; its tail goes where sum-of-squares puts it. At the end of
-    a partition the windows that are still open are filled from each other by cutting, and the last
-    ids make sequences of powers of two, so that no sequence is padded. A sequence's number is the
-    partition's in the upper bits. A null or empty text is its end id alone; repeated rows are
-    documents of their own; an empty table gives no rows; other columns are not read. The tokenizer
-    is read in each task from ``tokenizer_path``, which every executor has.
+    Documents are tokenised where they lie; a document's full windows are sequences of their own. Its
+    tail, with its ids, goes to one of many long streams of about ``stream_docs`` documents, dealt out
+    in turn, and there to the level that sum-of-squares picks. Where a stream ends, the emptiest of its open
+    windows are taken apart to fill the others (see fill_open()), so that no sequence is padded; the
+    longer the streams, the smaller that share. A task holds the ids of its stream's open windows.
+
+    A null or empty text is its end id alone; a very long text is many full windows and one tail; of
+    levels that are equally good the fullest is taken; repeated rows are documents of their own; an
+    empty table gives no rows; other columns are not read, so none can clash. The id column keeps its
+    type. The tokenizer is read in each task from ``tokenizer_path``, which every executor has.
     """
-    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), text_of(text_column).alias("text"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
+    streams = min(MAX_STREAMS, max(1, -(-docs.count() // stream_docs)))
+    dealt = _encoded(rows, tokenizer_path, streams, window, end_id).repartition(streams, "stream").sortWithinPartitions("stream", "number")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = WordIds(tokenizer_path), LevelPacker(window)
-        base = TaskContext.get().partitionId() << 40
-        kept: dict[int, tuple] = {}  # tails in open windows: document -> ids from their first on
-        docs_of: dict[int, tuple] = {}
-        n_seq = 0
-        number = 0
+        stream, packer, held, n_seq = None, LevelPacker(window), {}, 0
         out: list[tuple] = []
 
         def emit(pieces: list[tuple]) -> None:
             nonlocal n_seq
             offset = 0
-            for n, start, doc, first in pieces:
-                doc_id, total = docs_of[doc]
-                tail = kept[doc]
-                out.append((doc_id, start, n, zlib.crc32(tail[first : first + n].tobytes()), total, base + n_seq, offset))
+            for n, start, number, first in pieces:
+                doc_id, crc, total, ids = held[number]
+                part = ids[4 * first : 4 * (first + n)]
+                out.append((doc_id, start, n, crc if len(part) == len(ids) else zlib.crc32(part), total, 1 << 62 | stream << 32 | n_seq, offset))
                 offset += n
             n_seq += 1
 
-        def settle(done: list[tuple]) -> None:
-            emit(done)
-            for _, start, doc, _ in done:
-                kept.pop(doc, None)
-                docs_of.pop(doc, None)
+        def finish() -> None:
+            nonlocal n_seq
+            for pieces in fill_open(packer.rest(), window):
+                emit(pieces)
+            held.clear()
+            n_seq = 0
 
+        kind = None
         for batch in batches:
-            ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo, hi in _slices(texts, BATCH_CHARS):
-                part = texts.slice(lo, hi - lo).to_pylist()
-                ids, counts = encode(part)
-                at = 0
-                for k, n in enumerate(counts):
-                    all_ids = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
-                    at += n
-                    total = len(all_ids)
-                    doc_id = ids_of[lo + k]
-                    whole = total // window
-                    for i in range(whole):
-                        out.append((doc_id, i * window, window, zlib.crc32(all_ids[i * window : (i + 1) * window].tobytes()), total, base + n_seq, 0))
-                        n_seq += 1
-                    if rest := total - whole * window:
-                        docs_of[number], kept[number] = (doc_id, total), all_ids[whole * window :].copy()
-                        full = packer.place((rest, whole * window, number, 0))
-                        if full is not None:
-                            settle(packer.windows[full])
-                            packer.windows[full] = []
-                        number += 1
-                if len(out) > 20_000:
-                    yield _batch(out)
-                    out.clear()
-        for done in cut_rest(packer.rest(), window):
-            emit(done)
+            kind = batch.schema.field(2).type
+            for own, number, doc_id, start, length, crc, total, sequence, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != stream:
+                    finish()
+                    stream = own
+                if ids is None:
+                    out.append((doc_id, start, length, crc, total, sequence, 0))
+                    continue
+                held[number] = (doc_id, crc, total, ids)
+                full = packer.place((length, start, number, 0))
+                if full is not None:
+                    done, packer.windows[full] = packer.windows[full], []
+                    emit(done)
+                    for piece in done:
+                        del held[piece[2]]
+            yield _batch(out, kind)
+            out = []
+        finish()
         if out:
-            yield _batch(out)
+            yield _batch(out, kind)
 
-    return rows.mapInArrow(packed, SCHEMA)
+    return dealt.mapInArrow(packed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{x} bigint" for x in PIECE[1:]))
 
 
 def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
@@ -273,6 +325,6 @@ def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(PIECE)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind if name == "doc_id" else pa.int64()) for name, c in zip(PIECE, columns, strict=True)], PIECE)

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, text_of
+from tidemark.llm.common import crc_mod, fresh, text_of
 from tidemark.llm.shingles import span_hashes
 
 # Identity terms, in groups within which one may stand for another.
@@ -125,6 +125,11 @@ class ToxicityModel:
         return out
 
 
+def _per_text(owner: np.ndarray, at: np.ndarray, n: int) -> list[list[int]]:
+    """lookup()'s pairs, which are in order of texts, as a list for each text."""
+    return [x.tolist() for x in np.split(at, np.searchsorted(owner, np.arange(1, n)))] if n else []
+
+
 def _length(texts: list[str]) -> np.ndarray:
     return np.log1p(np.fromiter(map(len, texts), np.float64, len(texts))) / 10
 
@@ -180,9 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
     At most about ``max_rows`` labelled rows are used, taken by a hash of the id. Features are chosen by
     their tie to toxic texts over those rows, then their numbers in each row come to the driver: a
     bounded table. Of each row with an identity term a swapped copy is made, and the change of the
-    score between the two is penalised. With labels of one class only, every text scores its share.
+    score between the two is penalised. With labels of one class only, every text scores its share. A
+    document that is labelled both ways counts as toxic.
     """
-    marks = labels.filter("toxic IN (0, 1)").select(F.col("doc_id").alias("_d"), F.col("toxic").cast("long").alias("toxic")).dropDuplicates(["_d"]).filter(crc_mod("_d", 5) != 0)
+    marks = labels.filter("toxic IN (0, 1)").groupBy(F.col("doc_id").alias("_d")).agg(F.max(F.col("toxic").cast("long")).alias("toxic")).filter(crc_mod("_d", 5) != 0)
     n = marks.count()
     share = min(1.0, max_rows / max(n, 1))
     marks = marks.filter(F.crc32(F.concat(F.lit("sample"), F.col("_d").cast("string")).cast("binary")) < int(share * 2**32))
@@ -205,11 +211,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
                 part = texts[lo:hi]
                 copies = [swap(t) for t in part]
                 changed = [i for i, t in enumerate(copies) if t is not None]
-                own, other = blank.lookup(part), blank.lookup([copies[i] for i in changed])
-                lists = [own[1][own[0] == i].tolist() for i in range(len(part))]
+                lists = _per_text(*blank.lookup(part), len(part))
                 swapped: list = [None] * len(part)
-                for k, i in enumerate(changed):
-                    swapped[i] = other[1][other[0] == k].tolist()
+                for i, found in zip(changed, _per_text(*blank.lookup([copies[i] for i in changed]), len(changed)), strict=True):
+                    swapped[i] = found
                 yield pd.DataFrame({"toxic": pdf["toxic"].to_numpy()[lo:hi], "length": _length(part), "own": lists, "swapped": swapped})
 
     sample = rows.mapInPandas(numbered, "toxic bigint, length double, own array<int>, swapped array<int>").toArrow().combine_chunks()
@@ -243,15 +248,17 @@ def score_column(model: ToxicityModel, text: Column) -> Column:
 def toxicity_report(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **kw) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    Null texts count as empty and score like any text without features. Repeated rows score alike;
-    an empty table gives no rows; other columns are not read.
+    Null texts count as empty and score like any text without features. Very long texts are scored
+    whole, by which features they have at all. Rows of equal texts, repeated ones too, score alike, and a score of
+    exactly 0.5 is toxic; an empty table gives no rows; other columns are not read, so none can clash.
     """
     model = train(docs, labels, id_column=id_column, text_column=text_column, **kw)
     rows = docs.select(F.col(id_column).alias("doc_id"), (crc_mod(id_column, 5) == 0).alias("held_out"), score_column(model, text_of(text_column)).alias("score"))
     return rows.withColumn("predicted", F.when(F.col("score") >= 0.5, F.lit(1)).otherwise(F.lit(0)))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    model = train(docs, labels, **kw)
-    return docs.withColumn("_score", score_column(model, text_of("text"))).filter("_score < 0.5").drop("_score")
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, text_column: str = "text", **kw) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns, of any names."""
+    model = train(docs, labels, text_column=text_column, **kw)
+    (score,) = fresh(docs, "_score")
+    return docs.withColumn(score, score_column(model, text_of(text_column))).filter(F.col(score) < 0.5).drop(score)
