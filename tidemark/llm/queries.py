@@ -117,7 +117,7 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 
 def _license_sql() -> str:
     """Known texts as VALUES; words stand between double spaces while spellings are changed."""
-    from tidemark.llm.licenses import KNOWN, SPELLINGS, STRETCH
+    from tidemark.llm.licenses import KNOWN, KNOWN_DIGESTS, SPELLINGS
 
     text = lambda x: "'" + x.replace("'", "''") + "'"
 
@@ -133,12 +133,12 @@ def _license_sql() -> str:
         return f"sha256(trim(replace({out}, '  ', ' ')))"
 
     known = ", ".join(f"({i}, {text(a)}, {text(b)})" for i, (a, b) in enumerate(KNOWN))
+    digests = ", ".join(f"({len(KNOWN) + i}, {text(a)}, {text(b)})" for i, (a, b, _) in enumerate(KNOWN_DIGESTS))
     return f"""WITH v(no, license, t) AS (VALUES {known}), w AS (SELECT no, license, {plain("t")} AS words FROM v),
-k AS (SELECT {digest("words")} AS digest, arg_min(license, no) AS license FROM w GROUP BY 1), m AS (SELECT max(length(words)) AS longest FROM w),
-d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, {plain("t")} AS words FROM d),
-g AS (SELECT doc_id, CASE WHEN length(words) <= {STRETCH} * longest THEN {digest("words")} END AS text_digest FROM p, m),
-l AS (SELECT doc_id, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '(?i)licen[sc]e'))) AS line FROM d),
-n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT doc_id, {plain("line")} AS words FROM l) x JOIN k ON {digest("words")} = k.digest GROUP BY doc_id)
+x(no, license, digest) AS (SELECT no, license, {digest("words")} FROM w UNION ALL VALUES {digests}), k AS (SELECT digest, arg_min(license, no) AS license FROM x GROUP BY 1),
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, {plain("t")} AS words FROM d), g AS (SELECT doc_id, {digest("words")} AS text_digest FROM p),
+l AS (SELECT doc_id, unnest(list_concat(string_split(t, chr(10)), string_split_regex(t, '\\n[\\x20\\t\\r]*\\n'))) AS part FROM d),
+n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT doc_id, {plain("part")} AS words FROM l) x JOIN k ON {digest("words")} = k.digest GROUP BY doc_id)
 SELECT g.doc_id, text_digest, k.license, coalesce(notices, '') AS notices FROM g LEFT JOIN k ON text_digest = digest LEFT JOIN n ON g.doc_id = n.doc_id"""
 
 
