@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.args import ArgumentError
-from tidemark.llm.common import shared_path
+from tidemark.scratch import shared_path
 
 
 def _cell(df: DataFrame, name: str) -> Column:
