@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.scratch import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, fresh, text_of, written
+from tidemark.llm.common import SPACE, text_of
+from tidemark.scratch import fresh, written
 
 #: Two primes under 2**31 and a base for each.
 PRIMES = (2147483647, 2147483629)

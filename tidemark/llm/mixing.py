@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of, words_of, written
+from tidemark.llm.common import text_of, words_of
+from tidemark.scratch import written
 
 #: Weights given to the sources in code-point order, over and over.
 WEIGHTS = (5.0, 2.0, 1.0)

@@ -13,8 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, fresh, text_of
+from tidemark.llm.common import crc_mod, text_of
 from tidemark.llm.shingles import span_hashes
+from tidemark.scratch import fresh
 
 # Identity terms, in groups within which one may stand for another.
 IDENTITY_TERMS = (
