@@ -1,5 +1,7 @@
+import base64
 import gzip
 import hashlib
+import re
 
 from tidemark.llm import warc as W
 
@@ -82,3 +84,13 @@ def test_damaged_files_are_salvaged(spark, tmp_path):
 
 def test_empty_table(spark):
     assert W.archived_pages(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_digests_in_base32_and_of_blocks():
+    payload = b"some payload " * 9
+    for field in (b"WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(payload).digest()), b"WARC-Block-Digest: SHA1:" + base64.b32encode(hashlib.sha1(b"HTTP/1.1 200 OK\r\n\r\n" + payload).digest())):
+        good = re.sub(rb"WARC-Payload-Digest: \S+", lambda m, f=field: f, record(6, payload))
+        assert found(good + PARTS[0]) == ([6, 0], [])
+        bad = good.replace(b"some payload some", b"some payloae some")
+        assert len(bad) == len(good) and found(bad + PARTS[0]) == ([0], [(0, len(good))])
+    assert W.sha1_of("sha1:" + "1" * 32) == W.sha1_of("md5:abc") == W.sha1_of("") == ""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import zlib
@@ -11,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_path
+from tidemark.scratch import shared_path
 
 LEAST_REVISIT = 1000
 #: Records of an archive file, bytes of one (by its largest payload), and groups of copies that are
@@ -75,11 +77,25 @@ _MAGIC = b"\x1f\x8b\x08"
 _END = b"\r\n\r\n"
 
 
+def sha1_of(field: str) -> str:
+    """The SHA-1 that a digest field tells, in lower-case hex whether it is given in hex or base32; empty if none."""
+    kind, _, value = field.partition(":")
+    if kind.lower() != "sha1":
+        return ""
+    if len(value) == 32:
+        try:
+            return base64.b32decode(value.upper()).hex()
+        except binascii.Error:
+            return ""
+    return value.lower() if re.fullmatch("[0-9a-fA-F]{40}", value) else ""
+
+
 def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     """(record, where the next one should start, problem) of the record whose version line is at ``at``.
 
-    Checked are the version line, the named fields, the length, the separator that follows and, of
-    records that carry their payload, its SHA-1. A record whose frame holds but whose payload fails
+    Checked are the version line, the named fields, the length, the separator that follows, the block's
+    SHA-1 where it is told and, of responses that carry their payload as it is (without a transfer
+    encoding), the payload's. A record whose frame holds but whose payload fails
     is quarantined alone; where the frame itself fails, the next place is only one byte on.
     """
     if not (m := _VERSION.match(data, at)):
@@ -103,9 +119,12 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
         return None, at + 1, "length does not fit"
     block = data[begin:end]
     head, cut, payload = block.partition(_END) if fields.get("content-type", "").startswith("application/http") else (b"", b"", block)
-    told = fields.get("warc-payload-digest", "").removeprefix("sha1:").lower()
+    told, of_block = (sha1_of(fields.get(f"warc-{x}-digest", "")) for x in ("payload", "block"))
+    if of_block and hashlib.sha1(block).hexdigest() != of_block:
+        return None, end + 4, "block digest does not fit"
     record = {"fields": fields, "http": head if cut else b"", "payload": payload, "digest": hashlib.sha1(payload).hexdigest(), "told": told}
-    if fields["warc-type"] == "response" and len(told) == 40 and told != record["digest"]:
+    coded = re.search(rb"(?im)^transfer-encoding:", head)
+    if fields["warc-type"] == "response" and told and told != record["digest"] and not coded:
         return None, end + 4, "payload digest does not fit"
     return record, end + 4, ""
 
