@@ -55,3 +55,23 @@ def test_ledger_scans_only_what_it_lacks(spark):
 def test_empty_and_awkward(spark):
     assert S.secret_report(empty(spark)).count() == 0
     assert S.secret_report(awkward(spark)).count() == awkward(spark).count()
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"token=abcdef{i} é {'0a' * 12}" for i in range(1500))
+    (got,) = S.secret_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    counts, digest, line = brute(text)
+    assert [got["n_assign"], got["n_access"], got["n_hex"]] == counts and got["spans"] == line and got["base_sha256"] == digest
+
+
+def test_stored_ledger(spark, tmp_path):
+    path, df = f"file://{tmp_path}/ledger", spark.createDataFrame(rows(), DOCS)
+    part, n = S.scan_into(path, df.filter("doc_id < 5"))
+    assert n == 4 and part.count() == 10
+    found, n = S.scan_into(path, df)
+    assert n == 4
+    again, n = S.scan_into(path, df)
+    assert n == 0 and sorted(map(str, again.collect())) == sorted(map(str, found.collect()))
+    other = (*S.RULES, S.Rule("mark", "X{3}", base=False))
+    _, n = S.scan_into(path, df, rules=other)
+    assert n == 8 and S.rule_version(other) != S.rule_version()
