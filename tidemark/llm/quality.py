@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of, words_of, written
+from tidemark.llm.common import text_of, words_of
+from tidemark.scratch import written
 
 #: What the rules may test; all are ratios or counts that a reader can check by hand.
 FEATURES = ("n_words", "mean_word", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share", "upper_share", "digit_share", "stop_share", "line_words")
@@ -17,11 +18,12 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Frequent function words of the languages at hand.
 STOP_WORDS = ("the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "de", "la", "le", "et", "les", "des", "un", "une", "que", "en", "el", "los", "y", "se", "der", "die", "das", "und", "den", "von", "zu", "mit")
-CUTS = 15
-MAX_RULES = 8
+#: A rule cuts at so many quantiles of the rows that are not covered yet, and of the bad ones among them.
+CUTS, BAD_CUTS = 15, 31
+MAX_RULES = 64
 MAX_TESTS = 3
-#: A rule must cover this share of the bad rows it is grown on, and be right this often when pruned.
-MIN_COVER = 0.01
+#: A rule must cover this share of the bad rows it is grown on (three at least), and be right this often when pruned.
+MIN_COVER, MIN_ROWS = 0.005, 3
 MIN_PRECISION = 0.75
 
 
@@ -90,8 +92,8 @@ class Test:
     above: bool
     cut: float
 
-    def column(self) -> Column:
-        return feature(self.feature) > self.cut if self.above else feature(self.feature) <= self.cut
+    def column(self, value=feature) -> Column:
+        return value(self.feature) > self.cut if self.above else value(self.feature) <= self.cut
 
     def __str__(self) -> str:
         return f"{self.feature} {'>' if self.above else '<='} {self.cut:.6g}"
@@ -103,23 +105,23 @@ class Rule:
 
     tests: tuple[Test, ...]
 
-    def column(self) -> Column:
+    def column(self, value=feature) -> Column:
         out = F.lit(True)
         for t in self.tests:
-            out = out & t.column()
+            out = out & t.column(value)
         return out
 
     def __str__(self) -> str:
         return " and ".join(map(str, self.tests))
 
 
-def is_bad(rules: list[Rule]) -> Column:
+def is_bad(rules: list[Rule], value=feature) -> Column:
     """The ordered list as one conditional expression; the first rule that holds decides."""
     if not rules:
         return F.lit(False)
-    out = F.when(rules[0].column(), F.lit(True))
+    out = F.when(rules[0].column(value), F.lit(True))
     for r in rules[1:]:
-        out = out.when(r.column(), F.lit(True))
+        out = out.when(r.column(value), F.lit(True))
     return out.otherwise(F.lit(False))
 
 
@@ -130,62 +132,100 @@ def _gain(p0: float, n0: float, p1: float, n1: float) -> float:
     return p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0)))
 
 
-def learn_rules(labelled: DataFrame, *, max_rules: int = MAX_RULES, max_tests: int = MAX_TESTS, cuts: int = CUTS) -> list[Rule]:
+class _Grower:
+    """Grows conjunctions on the rows that no rule covers yet; ``growing`` has the features as columns."""
+
+    def __init__(self, growing: DataFrame, cuts: int, bad_cuts: int, max_tests: int):
+        self.growing, self.max_tests = growing, max_tests
+        share = lambda n: [i / (n + 1) for i in range(1, n + 1)]
+        points = growing.agg(*[F.percentile_approx(f, share(cuts), 10000).alias(f"all_{f}") for f in FEATURES], *[F.percentile_approx(F.when(F.col("bad") == 1, F.col(f)), share(bad_cuts), 10000).alias(f"bad_{f}") for f in FEATURES]).first()
+        self.edges = {f: sorted({*(points[f"all_{f}"] or []), *(points[f"bad_{f}"] or [])}) for f in FEATURES}
+        self.first = self._counts(())
+        self.bad = self._totals(self.first)[0]
+
+    def _counts(self, tests: tuple[Test, ...]) -> list:
+        """Of the rows that pass the tests: (feature, bin) -> bad rows, rows, least and largest value. Bin b is above b of the cuts."""
+
+        def bin_of(f: str) -> Column:
+            out = F.lit(0)
+            for cut in self.edges[f]:
+                out = out + (F.col(f) > cut).cast("int")
+            return out
+
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("f"), bin_of(f).alias("bin"), F.col(f).alias("value")) for k, f in enumerate(FEATURES)]))
+        rows = self.growing.filter(Rule(tests).column(F.col)).select("bad", each.alias("x")).groupBy("x.f", "x.bin")
+        return rows.agg(F.sum("bad").alias("p"), F.count("*").alias("n"), F.min("x.value").alias("low"), F.max("x.value").alias("high")).collect()
+
+    @staticmethod
+    def _totals(rows: list) -> tuple[int, int]:
+        p = sum(r["p"] for r in rows if r["f"] == 0)
+        return p, sum(r["n"] for r in rows if r["f"] == 0) - p
+
+    def _best(self, rows: list, least: float, banned: set) -> tuple[Test | None, int, int]:
+        """The test with the largest gain, its cut halfway between the values it parts, and what passes it."""
+        p0, n0 = self._totals(rows)
+        best, choice = 1e-9, (None, 0, 0)
+        if not p0 or not n0:
+            return choice
+        for k, name in enumerate(FEATURES):
+            bins = sorted((r for r in rows if r["f"] == k), key=lambda r: r["bin"])
+            p1 = n1 = 0
+            for r, after in zip(bins, bins[1:], strict=False):
+                p1, n1 = p1 + r["p"], n1 + r["n"] - r["p"]
+                for above, p, n in ((False, p1, n1), (True, p0 - p1, n0 - n1)):
+                    g = _gain(p0, n0, p, n)
+                    if p >= least and g > best + 1e-9 and (name, above) not in banned:
+                        best, choice = g, (Test(name, above, (r["high"] + after["low"]) / 2), p, n)
+        return choice
+
+    def grow(self, least: float, banned: set) -> tuple[tuple[Test, ...], float]:
+        """Tests, and their precision on these rows; no first test is one of the banned (feature, side) pairs."""
+        tests, precision, rows = (), 0.0, self.first
+        while len(tests) < self.max_tests:
+            test, p, n = self._best(rows, least, set() if tests else banned)
+            if test is None:
+                break
+            tests, precision = (*tests, test), p / (p + n)
+            rows = self._counts(tests) if len(tests) < self.max_tests and n else []
+        return tests, precision
+
+
+def learn_rules(labelled: DataFrame, *, max_rules: int = MAX_RULES, max_tests: int = MAX_TESTS, cuts: int = CUTS, bad_cuts: int = BAD_CUTS) -> list[Rule]:
     """Sequential covering over rows of statistics with ``bad`` (0/1) and ``grow`` (boolean).
 
-    Each rule grows test by test by FOIL gain on the rows marked ``grow`` (a cut stands halfway between
-    the values it parts), loses its last tests as
-    long as that raises its precision on the others, and takes what it covers away. Counts come
-    from one grouped aggregate a step over (feature, bin): what reaches the driver is features x
-    bins, whatever the rows. No labelled rows, or only one class: no rules.
+    Each rule grows test by test by FOIL gain on the rows marked ``grow`` that no rule covers yet, whose
+    quantiles give the cuts; it loses its last tests as long as that raises its precision on the
+    others, and takes what it covers away. A rule that is not precise enough there is given up, and
+    another first test is tried, until none helps. Counts come from one grouped aggregate a step over
+    (feature, bin): what reaches the driver is features x bins, whatever the rows. No labelled
+    rows, or only one class: no rules.
     """
-    points = labelled.agg(*[F.percentile_approx(feature(f), [i / (cuts + 1) for i in range(1, cuts + 1)], 10000).alias(f) for f in FEATURES]).first()
-    edges = {f: sorted(set(points[f] or [])) for f in FEATURES}
-    bins = F.array(*[F.size(F.filter(F.array(*[F.lit(float(x)) for x in edges[f]]).cast("array<double>"), _below(feature(f)))) for f in FEATURES])
-    binned = written(labelled.select("*", bins.alias("_bins")), "rules")
+    values = written(labelled.select("bad", "grow", *[feature(f).alias(f) for f in FEATURES]), "labelled")
     rules: list[Rule] = []
-    total_bad = None
+    least = None
     while len(rules) < max_rules:
-        left = binned.filter(~is_bad(rules))
-        growing = left.filter("grow")
-        tests: tuple[Test, ...] = ()
-        while len(tests) < max_tests:
-            rows = growing.filter(Rule(tests).column()).select("bad", F.posexplode("_bins").alias("f", "bin")).groupBy("f", "bin").agg(F.sum("bad").alias("p"), F.count("*").alias("n")).collect()
-            p0 = sum(r["p"] for r in rows if r["f"] == 0)
-            n0 = sum(r["n"] for r in rows if r["f"] == 0) - p0
-            total_bad = p0 if total_bad is None else total_bad
-            if not p0 or not n0:
-                break
-            best, choice = 0.0, None
-            for k, name in enumerate(FEATURES):
-                per = {r["bin"]: (r["p"], r["n"] - r["p"]) for r in rows if r["f"] == k}
-                p1 = n1 = 0
-                for b, cut in enumerate(edges[name]):  # bin b: above b of the cuts
-                    p1, n1 = p1 + per.get(b, (0, 0))[0], n1 + per.get(b, (0, 0))[1]
-                    for above, p, n in ((False, p1, n1), (True, p0 - p1, n0 - n1)):
-                        g = _gain(p0, n0, p, n)
-                        if p >= max(1.0, MIN_COVER * total_bad) and g > best + 1e-9:
-                            best, choice = g, Test(name, above, cut)
-            if choice is None:
-                break
-            value = feature(choice.feature)
-            near = growing.filter(Rule(tests).column()).agg(F.max(F.when(value <= choice.cut, value)).alias("low"), F.min(F.when(value > choice.cut, value)).alias("high")).first()
-            if near["low"] is not None and near["high"] is not None:
-                choice = Test(choice.feature, choice.above, (near["low"] + near["high"]) / 2)
-            tests = (*tests, choice)
-        if not tests:
-            break
-        held = left.filter("NOT grow").agg(*[F.sum(F.when(Rule(tests[: i + 1]).column(), F.lit(1))).alias(f"a{i}") for i in range(len(tests))], *[F.sum(F.when(Rule(tests[: i + 1]).column(), F.col("bad"))).alias(f"p{i}") for i in range(len(tests))]).first()
-        worth = [((held[f"p{i}"] or 0) / held[f"a{i}"] if held[f"a{i}"] else 0.0, held[f"a{i}"] or 0) for i in range(len(tests))]
-        keep = max(range(len(tests)), key=lambda i: (round(worth[i][0], 3), -i))
-        if worth[keep][0] < MIN_PRECISION or not worth[keep][1]:
-            break
-        rules.append(Rule(tests[: keep + 1]))
+        left = values.filter(~is_bad(rules, F.col))
+        grower = _Grower(left.filter("grow"), cuts, bad_cuts, max_tests)
+        least = max(MIN_ROWS, MIN_COVER * grower.bad) if least is None else least
+        rule, banned = None, set()
+        while rule is None:
+            tests, precision = grower.grow(least, banned)
+            if not tests:
+                return rules
+            if precision >= MIN_PRECISION:
+                rule = _pruned(tests, left.filter("NOT grow"))
+            banned.add((tests[0].feature, tests[0].above))
+        rules.append(rule)
     return rules
 
 
-def _below(value: Column):
-    return lambda cut: cut < value
+def _pruned(tests: tuple[Test, ...], rows: DataFrame) -> Rule | None:
+    """The first of the tests, as many as are most precise on the rows; None if that is not enough."""
+    passed = [Rule(tests[: i + 1]).column(F.col) for i in range(len(tests))]
+    held = rows.agg(*[F.count(F.when(c, F.lit(1))).alias(f"n{i}") for i, c in enumerate(passed)], *[F.coalesce(F.sum(F.when(c, F.col("bad"))), F.lit(0)).alias(f"p{i}") for i, c in enumerate(passed)]).first()
+    worth = [(held[f"p{i}"] + 1) / (held[f"n{i}"] + 2) for i in range(len(tests))]
+    keep = max(range(len(tests)), key=lambda i: (round(worth[i], 3), -i))
+    return Rule(tests[: keep + 1]) if worth[keep] >= MIN_PRECISION else None
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, *, text_column: str = "text") -> DataFrame:
@@ -193,10 +233,13 @@ def quality_report(docs: DataFrame, labels: DataFrame, *, text_column: str = "te
 
     The list is learned from every labelled row with quality 0 or 1 (two of three, by crc32 of the
     id, grow the rules and the third prunes them); a text is kept if the base rule holds and no
-    learned rule calls it bad. Repeated rows are counted each; other columns are not read.
+    learned rule calls it bad. Null and empty texts have no words and fail the base rule; very long
+    texts are counted whole; repeated rows are counted each; a document that is labelled both ways
+    counts as bad; without labels of both kinds there are no rules; an empty table gives no rows;
+    other columns are not read, so none can clash.
     """
     stats = written(text_statistics(docs, text_column=text_column), "stats")
-    marks = labels.filter("quality IN (0, 1)").select(F.col("doc_id").alias("_d"), (1 - F.col("quality")).cast("long").alias("bad")).dropDuplicates(["_d"])
+    marks = labels.filter("quality IN (0, 1)").select(F.col("doc_id").alias("_d"), (1 - F.col("quality")).cast("long").alias("bad")).groupBy("_d").agg(F.max("bad").alias("bad"))
     grow = F.crc32(F.concat(F.lit("grow"), F.col("doc_id").cast("string")).cast("binary")) % 3 != 0
     labelled = stats.join(marks, F.col("doc_id") == F.col("_d")).drop("_d").withColumn("grow", grow)
     rules = learn_rules(labelled)
