@@ -23,8 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, text_of, written
+from tidemark.llm.common import crc_mod, text_of
 from tidemark.llm.shingles import span_hashes
+from tidemark.scratch import written
 
 #: Dishes with up to so many customers have their exact law of the number of tables.
 STIRLING = 512
@@ -32,9 +33,11 @@ STIRLING = 512
 CONTEXT_BITS = 32
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 6, 4
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 12_000_000
 #: Words that blocks send to a shard, about.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 800_000
+#: Bytes of text that are hashed at a time.
+HASH_BYTES = 2_000_000
 END, START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A2757A2757A275)
 
 
@@ -43,6 +46,13 @@ END, START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A2757A2757A275)
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each token, tokens of each text): words with A-Z in lower case, then one end each."""
+    sizes = np.cumsum([len(t) for t in texts])
+    cuts = np.flatnonzero(np.diff(sizes // HASH_BYTES)) + 1
+    parts = [_hashed(texts[i:j]) for i, j in zip([0, *cuts], [*cuts, len(texts)], strict=True)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
@@ -71,7 +81,7 @@ def _block(ids: list, train: np.ndarray, texts: list[bytes], number: int) -> dic
         "lengths": lengths.astype(np.int32).tolist(),
         "tokens": _planes(at),
         "words": words.tobytes(),
-        "counts": counts.tobytes(),
+        "counts": _planes(counts),
         "start": start,
     }
 
@@ -106,8 +116,9 @@ def blocks_of(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers of 32 bits, byte by byte: compresses better."""
-    return np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Numbers of 32 bits, byte by byte, compressed: most bytes are alike."""
+    plain = np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
 
 
 def _float_planes(x: np.ndarray) -> bytes:
@@ -119,7 +130,8 @@ def _floats(planes: bytes) -> np.ndarray:
 
 
 def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+    plain = pa.decompress(planes[8:], int.from_bytes(planes[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
 
 
 def _pairs(tokens: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
@@ -144,7 +156,7 @@ def _asked(blocks: DataFrame, shards: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                words, counts = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.uint32).copy()
+                words, counts = np.frombuffer(r["words"], np.uint64), _numbers(r["counts"])
                 lengths, train = np.array(r["lengths"], np.int64), np.array(r["train"], bool)
                 keys = _pairs(_numbers(r["tokens"]), lengths, r["start"])
                 pairs, inverse = np.unique(keys, return_inverse=True)
@@ -164,7 +176,7 @@ def _asked(blocks: DataFrame, shards: int) -> DataFrame:
                                 "shard": s,
                                 "block": r["block"],
                                 "words": words[w[s] : w[s + 1]].tobytes(),
-                                "counts": counts[w[s] : w[s + 1]].tobytes(),
+                                "counts": _planes(counts[w[s] : w[s + 1]]),
                                 "n_pairs": _planes(n_pairs[w[s] : w[s + 1]]),
                                 "pair_context": _planes(at),
                                 "pair_count": _planes(times[p[s] : p[s + 1]]),
@@ -379,7 +391,7 @@ def _answers(asked: DataFrame, shards: int, **kw) -> DataFrame:
         shard = rows[0]["shard"]
         names, own = merged([np.frombuffer(r["words"], np.uint64) for r in rows])
         contexts, near = merged([np.frombuffer(r["contexts"], np.uint64) for r in rows])
-        counts = np.bincount(np.concatenate(own), np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]), len(names)).astype(np.int64)
+        counts = np.bincount(np.concatenate(own), np.concatenate([_numbers(r["counts"]) for r in rows]), len(names)).astype(np.int64)
         seen = np.bincount(np.concatenate(near), np.concatenate([_numbers(r["context_count"]) for r in rows]), len(contexts))
         pairs, asked_pairs = merged([np.repeat(o, _numbers(r["n_pairs"])) << CONTEXT_BITS | c[_numbers(r["pair_context"])] for r, o, c in zip(rows, own, near, strict=True)])
         times = np.bincount(np.concatenate(asked_pairs), np.concatenate([_numbers(r["pair_count"]) for r in rows]), len(pairs)).astype(np.int64)
@@ -389,7 +401,7 @@ def _answers(asked: DataFrame, shards: int, **kw) -> DataFrame:
         root, pair = sums["root"].astype(np.float32), sums["pair"].astype(np.float32)
         out = [{"block": r["block"], "shard": shard, "counts": _planes(counts[o]), "root": _float_planes(root[o]), "pair": _float_planes(pair[p]), "own": _planes(np.diff(o, prepend=0))} for r, o, p in zip(rows, own, asked_pairs, strict=True)]
         w = _shard_bounds(contexts, shards)
-        out += [{"block": -1, "shard": k, "contexts": contexts[i:j].tobytes(), "tables": sums["tables"][i:j].tobytes(), "customers": _planes(sums["context_customers"][i:j])} for k, (i, j) in enumerate(zip(w[:-1], w[1:], strict=True)) if i < j]
+        out += [{"block": -1, "shard": k, "contexts": contexts[i:j].tobytes(), "tables": _float_planes(sums["tables"][i:j]), "customers": _planes(sums["context_customers"][i:j])} for k, (i, j) in enumerate(zip(w[:-1], w[1:], strict=True)) if i < j]
         out.append({"block": -2, "shard": shard, "s1": float(sums["known"]), "s2": float(sums["root"].sum() + sums["root_tables"]), "s3": float(sums["root_tables"])})
         out.append({"block": -3, "shard": shard, "contexts": names.tobytes()})
         return pa.Table.from_pylist(out, schema)
@@ -410,7 +422,7 @@ def _context_totals(answers: DataFrame) -> DataFrame:
         for r in sent:
             if r["kind"] == -1:
                 at = np.searchsorted(words, np.frombuffer(r["contexts"], np.uint64))  # every context is a word of its shard
-                tables[at] += np.frombuffer(r["tables"], np.float64)
+                tables[at] += _floats(r["tables"])
                 customers[at] += _numbers(r["customers"])
         out = {"block": [], "shard": [], "tables": [], "customers": []}
         for r in left.to_pylist():
@@ -436,6 +448,8 @@ def score_texts(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     one end token; repeated rows count each; without training rows every token is unknown; an empty
     table gives no rows; other columns are not read.
     """
+    if docs.schema[id_column].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_column} must be a column of integers")
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), (crc_mod(id_column, folds) != held_fold).alias("train"), text_of(text_column).alias("text"))
     blocks = written(blocks_of(rows, block_chars), "blocks")
     size = blocks.agg(F.sum("n_train").alias("n"), F.sum("n_words").alias("words")).first()
