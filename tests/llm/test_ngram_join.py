@@ -75,7 +75,7 @@ def test_dense_and_sparse_verification_agree(monkeypatch):
 
     grams_, counts = ngram_sets([r[1].encode() for r in rows], 5)
     sig = J._signatures(grams_, counts, 18, 5).view(np.int64)
-    args = (np.arange(len(rows)), np.ones(len(rows), np.int64), np.ones(len(rows), bool), sig, grams_, counts, 0.8)
+    args = (np.arange(len(rows)), np.ones(len(rows), np.int64), np.ones(len(rows), bool), sig, grams_, counts, 0.8, True)
     one = J._linked(*args)
     monkeypatch.setattr(J.np, "intersect1d", None)
     two = J._linked(*args)

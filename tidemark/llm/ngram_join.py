@@ -9,15 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of, written
+from tidemark.llm.common import text_of
 from tidemark.llm.components import components
 from tidemark.llm.shingles import mix, ngram_sets
+from tidemark.scratch import written
 
 NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.999
-MAX_HASHES = 128
-#: A block of a candidate component: so many n-grams or texts at most, on average.
+MAX_HASHES = 256
+#: A block of a bucket: so many n-grams or texts at most, on average.
 BLOCK_GRAMS, BLOCK_TEXTS = 400_000, 600
 #: Up to so many candidate texts their keys are broadcast (with their bands under 1 KB each); beyond, texts are shuffled.
 BROADCAST_TEXTS = 50_000
@@ -86,27 +87,26 @@ def signatures(docs: DataFrame, *, n: int, bands: int, rows: int) -> DataFrame:
                     ["doc_id", "digest", "f1", "f2", "n_grams", "bands"],
                 )
 
-    return docs.select("doc_id", "digest", "text").mapInArrow(signed, "doc_id bigint, digest string, f1 bigint, f2 bigint, n_grams bigint, bands array<bigint>")
+    return docs.select("doc_id", "digest", "text").mapInArrow(signed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest string, f1 bigint, f2 bigint, n_grams bigint, bands array<bigint>")
 
 
-def _linked(nodes, copies, left, sig, grams, counts, threshold: float, single: bool | None = None):
-    """Of one block or pair of blocks: (links of each text, root of each text).
+def _linked(nodes, copies, left, sig, grams, counts, threshold: float, single: bool, band: int = 0):
+    """Of one block or pair of blocks of a bucket: (links of each text, root of each text).
 
     ``left`` marks the first block's texts; in a pair of blocks only pairs across count (none where one
-    of the two is empty), in a ``single`` block all pairs. Candidates share a band; each is verified on its whole sets.
+    of the two is empty), in a ``single`` block all pairs. The texts share ``band``; a pair that shares an earlier
+    one is left to that one's bucket. Each is verified on its whole sets.
     """
-    single = bool(left.all()) if single is None else single
     m = len(nodes)
     links, root = np.zeros(m, np.int64), np.arange(m)
     ends = np.cumsum(counts)
     rows, cols = (np.arange(m), np.arange(m)) if single else (np.flatnonzero(left), np.flatnonzero(~left))
-    share = np.zeros((len(rows), len(cols)), bool)
-    for k in range(sig.shape[1]):
-        share |= sig[rows, k][:, None] == sig[cols, k][None, :]
     a, b = counts[rows][:, None], counts[cols][None, :]
-    share &= np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
+    share = np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
     if single:
         share = np.triu(share, 1)
+    for k in range(band):
+        share &= sig[rows, k][:, None] != sig[cols, k][None, :]
     i, j = np.nonzero(share)
     if not len(i):
         return links, root
@@ -147,17 +147,19 @@ def _linked(nodes, copies, left, sig, grams, counts, threshold: float, single: b
     return links, root
 
 
-def _verified(blocks: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Rows sorted by group -> (node, links, root) of each text in each block pair, in bulk."""
-    key = ["root", "x", "y"]
+def _verified(dealt: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Rows of texts in blocks of buckets -> (node, links, root) of each text in each block pair, in bulk."""
+    key = ["key", "x", "y"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def done(rows: list[tuple]) -> pa.RecordBatch:
-            texts = [r[7].lower().encode() for r in rows]
-            grams, counts = ngram_sets(texts, n)
+            places, text_at = {}, []  # a text that several buckets brought is cut up once
+            for r in rows:
+                text_at.append(places.setdefault(r[8], len(places)))
+            grams, counts = ngram_sets([t.lower().encode() for t in places], n)
             ends = np.cumsum(counts)
             out: list[tuple[np.ndarray, ...]] = []
             first = 0
@@ -167,11 +169,11 @@ def _verified(blocks: DataFrame, n: int, threshold: float) -> DataFrame:
                 part = rows[first:k]
                 nodes, where = np.unique(np.array([r[3] for r in part], np.int64), return_index=True)  # repeated rows bring a text twice
                 part = [part[w] for w in where]
-                own = where + first
+                own = np.array(text_at)[where + first]
                 if len(part) > 1:
                     sets = np.concatenate([grams[ends[o] - counts[o] : ends[o]] for o in own])
                     left = np.array([r[4] == r[1] for r in part])
-                    links, root = _linked(nodes, np.array([r[5] for r in part], np.int64), left, np.array([r[6] for r in part], np.int64), sets, counts[own], threshold, part[0][1] == part[0][2])
+                    links, root = _linked(nodes, np.array([r[5] for r in part], np.int64), left, np.array([r[7] for r in part], np.int64), sets, counts[own], threshold, part[0][1] == part[0][2], part[0][6])
                     some = links > 0
                     out.append((nodes[some], links[some], nodes[root][some]))
                 first = k
@@ -184,50 +186,71 @@ def _verified(blocks: DataFrame, n: int, threshold: float) -> DataFrame:
                     yield done(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[7])
+                size += len(r[8])
         if held:
             yield done(held)
 
-    dealt = blocks.repartition(*key).sortWithinPartitions(*key)
-    return dealt.select(*key, "node", "block", "copies", "bands", "text").mapInArrow(work, "node bigint, links bigint, top bigint")
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
+    return dealt.select(*key, "node", "block", "copies", "band", "bands", "text").mapInArrow(work, "node bigint, links bigint, top bigint")
+
+
+def buckets(first: DataFrame) -> DataFrame:
+    """(node, bands, n_grams) -> (key, band, n_blocks) of the buckets that must be verified.
+
+    A bucket of one text has no pairs. Where the same texts share several bands, only the first of these
+    buckets stays: a pair belongs to the least band that it shares, and that bucket is never left out.
+    The same texts are told by their number, the least of them and two 64-bit sums of hashes.
+    """
+    keys = first.select("node", "n_grams", F.posexplode("bands").alias("band", "key"))
+    full = keys.groupBy("key").agg(
+        F.min("band").alias("band"),
+        F.count("*").alias("n"),
+        F.min("node").alias("lead"),
+        F.bit_xor(F.xxhash64("node")).alias("h1"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"),
+        F.greatest(F.ceil(F.sum("n_grams") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("n_blocks"),
+    )
+    once = full.filter("n > 1").groupBy("n", "lead", "h1", "h2").agg(F.min(F.struct("band", "key", "n_blocks")).alias("b"))
+    return once.select("b.key", "b.band", "b.n_blocks")
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, n_links, digest (MD5 of the text).
 
-    Texts are linked when the Jaccard similarity of their sets of n-grams (lower-cased words between
+    The id column keeps its type. Texts are linked when the Jaccard similarity of their sets of n-grams (lower-cased words between
     ASCII white space; a shorter text is one n-gram) is at least ``threshold``. ``n_links`` is the
     number of other rows that a row is linked to, copies included; ``class_id`` is the least doc_id
     among the rows it reaches over links. A text without words (null, empty, blank) has no links and
     is its own class. Repeated rows are copies of each other. An empty table gives no rows; other
     columns are not read.
 
-    Texts with the same n-gram set are folded into one node. Nodes that share a band are candidates;
-    candidate components (not only buckets) are dealt out in blocks and pairs of blocks, so that a
-    text is sent once in all but the largest components, each pair is verified in one place however
-    many bands it shares, and a hot bucket is spread over many tasks, none left out. A task returns
-    each text's number of links and one edge to its group's least text: never the pairs.
+    Very long texts are compared on their whole sets, too.
+
+    Texts with the same n-gram set are folded into one node. Nodes are shuffled on the hashes of their
+    bands; a bucket is verified in blocks and pairs of blocks, so that a hot one is spread over many
+    tasks, none left out. A pair is verified in the bucket of the least band that it shares, and
+    buckets that hold the same texts as an earlier one are passed over. A task returns each text's
+    number of links and one edge to its group's least text: never the pairs.
     """
     bands, rows = choose_bands(threshold, recall, max_hashes)
-    base = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.md5(text_of(text_column).cast("binary")).alias("digest"), text_of(text_column).alias("text"))
+    base = docs.select(F.col(id_column).alias("doc_id"), F.md5(text_of(text_column).cast("binary")).alias("digest"), text_of(text_column).alias("text"))
     sig = written(signatures(base, n=n, bands=bands, rows=rows).withColumn("row", F.monotonically_increasing_id()), "signatures")
     some = sig.filter("n_grams > 0")
     nodes = written(some.groupBy("f1", "f2").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id")), "nodes")
     first = sig.join(nodes.select("node", "copies"), F.col("row") == F.col("node"))
-    keys = first.select("node", F.explode("bands").alias("key"))
-    full = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select(F.bitwise_not("key").alias("other"), "lead")
+    full = buckets(first).select(F.bitwise_not("key").alias("other"), F.col("band").alias("b"), "n_blocks")
+    keys = first.select("node", F.posexplode("bands").alias("band", "key"))
     # By the complement, as in components(): a bucket with most of the texts may be split.
-    star = keys.join(full, F.bitwise_not("key") == F.col("other")).select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    candidates = components(star)
-    members = written(candidates.join(first.select("node", "copies", "doc_id", "digest", "n_grams", "bands"), "node"), "members")
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n_grams") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("n_blocks"))
-    placed = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    few = members.count() <= BROADCAST_TEXTS
-    wanted = placed.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "node", "root", "block", "n_blocks", "copies", "bands")
+    member = keys.join(full, (F.bitwise_not("key") == F.col("other")) & (F.col("band") == F.col("b")))
+    member = member.select("node", F.struct("key", "band", "n_blocks", F.pmod(F.xxhash64("node", "key"), F.col("n_blocks")).cast("int").alias("block")).alias("bucket"))
+    member = member.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # one a band at most
+    wanted = written(member.join(first.select("node", "copies", "doc_id", "digest", "bands"), "node"), "members").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "node", "copies", "bands", "buckets")
+    few = wanted.count() <= BROADCAST_TEXTS
     texts = base.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
-    blocks = texts.withColumn("pair", F.explode(pairs)).select("root", "pair.x", "pair.y", "node", "block", "copies", "bands", "text")
-    found = written(_verified(blocks, n, threshold), "links")
+    sent = texts.select("node", "copies", "bands", "text", F.explode("buckets").alias("b"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("b.n_blocks") - 1), lambda o: F.struct(F.least("b.block", o).alias("x"), F.greatest("b.block", o).alias("y")))
+    dealt = sent.select("node", "copies", "bands", "text", "b.key", "b.band", "b.block", F.explode(pairs).alias("pair")).select("key", "pair.x", "pair.y", "node", "block", "copies", "band", "bands", "text")
+    found = written(_verified(dealt, n, threshold), "links")
     classes = components(found.select(F.col("node").alias("a"), F.col("top").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = nodes.join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
