@@ -1,13 +1,13 @@
 """The pipeline's stages against brute force, each on what its predecessor kept."""
 
-import hashlib
 import os
+import random
 import sys
 from collections import Counter
 
 import public_tokenizers
-from helpers import BLANK, words
-from test_mixing import targets
+from helpers import BLANK, awkward_rows, prose, words
+from test_mixing import brute as mix
 from test_ngram_join import brute
 from tokenizers import Tokenizer
 
@@ -18,24 +18,10 @@ SF = "/root/testdata/sf0.001"
 
 
 def mixed(rows):
-    """Copies of each document: its source's order is that of the ids' digests, three times over."""
-    sizes, by_source = Counter(), {}
-    for r in rows:
-        sizes[r["source"]] += len(words(r["text"]))
-        by_source.setdefault(r["source"], []).append(r)
-    out = Counter()
-    for source, target in targets(dict(sizes)).items():
-        left = int(target)
-        own = sorted(by_source[source], key=lambda r: hashlib.md5(str(r["doc_id"]).encode()).hexdigest())
-        taken = Counter()
-        for r in own * 3:
-            n = min(left, len(words(r["text"])))
-            taken[r["doc_id"]] += n
-            left -= n
-        for r in own:
-            if taken[r["doc_id"]]:
-                out[r["doc_id"]] = -(-taken[r["doc_id"]] // len(words(r["text"])))
-    return out
+    """Copies of each document that the mix takes, by the queue's definition."""
+    size = {r["doc_id"]: len(words(r["text"])) for r in rows}
+    taken, _ = mix([(r["doc_id"], r["source"], size[r["doc_id"]]) for r in rows])
+    return Counter({d: -(-n // size[d]) for (d, _, _), n in taken.items() if n})
 
 
 def test_stages(spark):
@@ -63,9 +49,9 @@ def test_stages(spark):
     near, rows = after("ngram_join", exact)
     assert sorted(r["doc_id"] for r in rows) == want
     copies = mixed(rows)
-    mix, rows = after("mixing", near)
+    in_order, rows = after("mixing", near)
     assert Counter(r["doc_id"] for r in rows) == copies
-    packed = stages["packing"](spark, mix, SF).collect()
+    packed = stages["packing"](spark, in_order, SF).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path(C.TOKENIZER))
     assert sum(r["length"] for r in packed) == sum(len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1 for r in rows)
     assert len(C.run(spark, SF).columns) == 7
@@ -76,3 +62,24 @@ def test_empty_documents(spark):
     for name, stage in C.STAGES:
         docs = C.written(stage(spark, docs, SF), name)
         assert docs.count() == 0
+
+
+CLASHING = ["_id", "_time", "_times", "_key", "_own", "_score", "_digest", "_sha256", "_d", "_t0", "_stretch", "_first", "_finish", "size", "key", "node", "root", "fp", "block", "target", "stream", "number"]
+
+
+def test_awkward_documents_with_clashing_columns(spark):
+    """Nulls, blanks, ties, repeated rows and long texts pass every stage with columns of any name whole."""
+    base = [(r[0], r[1], r[2], r[3], 1) for r in awkward_rows()]
+    base += [(1000 + i, prose(random.Random(i), 90), "en", f"s{i % 3}", 1) for i in range(30)]
+    rows = [(*r, *(f"{c}{i}" for c in CLASHING)) for i, r in enumerate(base)]
+    schema = ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{c}` string" for c in CLASHING)])
+    docs = spark.createDataFrame(rows, schema)
+    known = Counter(rows)
+    for name, stage in C.STAGES[:-1]:
+        docs = C.written(stage(spark, docs, SF), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *CLASHING]
+        out = [tuple(r) for r in docs.collect()]
+        assert set(out) <= set(known), name
+        if name == "exact_dedup":
+            assert len({BLANK.sub(" ", r[1] or "") for r in out}) == len(out)
+    assert dict(C.STAGES)["packing"](spark, docs, SF).count() > 0
