@@ -10,46 +10,72 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of, written
+from tidemark.llm.common import text_of
 from tidemark.llm.exact_dedup import drop_exact_duplicates
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.ngram_join import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.toxicity import drop_toxic
+from tidemark.scratch import fresh, written
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones among them, rejects go."""
+    """Documents that the classifier, trained on the labelled ones among them, rejects go.
+
+    Null and empty texts have no features and score by the bias and length alone; very long texts are scored whole; repeated rows score
+    alike and go or stay together; an empty table stays empty; columns of any name pass through.
+    """
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id stays."""
+    """Of equal texts the one with the smallest doc_id stays.
+
+    Null, empty and blank texts: null and empty ones are equal, blank ones are a space; very long texts
+    are compared chunk by chunk; of repeated rows one stays; a null id stays only where no other has
+    the text; an empty table stays empty; columns of any name pass through.
+    """
     return drop_exact_duplicates(docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document that names it, the smallest doc_id, stays."""
+    """Of each class of near duplicates the document that names it, the smallest doc_id, stays.
+
+    Texts without words are classes of their own and stay, and so do documents without an id whose
+    class has no other; very long texts are compared on their whole n-gram sets; repeated rows that
+    name their class all stay (exact_dedup goes before); an empty table stays empty; columns of any
+    name pass through.
+    """
+    id_, digest_, own = fresh(docs, "_id", "_digest", "_own")
     named = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    stay = named.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    stay = named.select(F.col("doc_id").alias(id_), F.col("digest").alias(digest_))
     digest = F.md5(text_of("text").cast("binary"))
-    return docs.withColumn("_own", digest).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi").drop("_own")
+    return docs.withColumn(own, digest).join(stay, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(digest_)), "left_semi").drop(own)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; one that is cut by the budget comes whole that once.
+    """Each document as often as the mix takes it, in the global order of virtual finish times; one
+    that is cut by the budget comes whole that once.
 
-    Rows that share a doc_id all come as often as the best served of them.
+    Null and empty texts have no words and are never taken; very long texts are served like others;
+    rows that share a doc_id, repeated ones too, all come as often as the best served of them; an
+    empty table stays empty; columns of any name pass through.
     """
-    served = mix_documents(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    taken = docs.join(served, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_time", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*docs.columns)
+    id_, times, first, lap, epoch, finish = fresh(docs, "_id", "_times", "_first", "_lap", "_epoch", "_finish")
+    queue = mix_documents(docs).filter("taken > 0")
+    served = queue.groupBy(F.col("doc_id").alias(id_)).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(times), F.min((F.col("start") + F.col("size")) / F.col("target")).alias(first), F.min(F.col("source_size") / F.col("target")).alias(lap))
+    taken = docs.join(served, F.col("doc_id").eqNullSafe(F.col(id_))).withColumn(epoch, F.explode(F.sequence(F.lit(0), F.col(times) - 1)))
+    return taken.withColumn(finish, F.col(first) + F.col(epoch) * F.col(lap)).orderBy(finish, "doc_id").drop(id_, times, first, lap, epoch, finish)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows without padding; see pack_documents() for the columns."""
+    """Token windows without padding, a row per piece; see pack_documents() for the columns.
+
+    Null and empty texts are their end id alone; very long texts are many windows; repeated rows are
+    documents of their own; an empty table has no pieces; other columns are not read.
+    """
     return pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
