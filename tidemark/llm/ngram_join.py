@@ -19,7 +19,7 @@ THRESHOLD = 0.8
 RECALL = 0.999
 MAX_HASHES = 256
 #: A block of a bucket: so many n-grams or texts at most, on average.
-BLOCK_GRAMS, BLOCK_TEXTS = 400_000, 600
+BLOCK_GRAMS, BLOCK_TEXTS = 400_000, 300
 #: Up to so many candidate texts their keys are broadcast (with their bands under 1 KB each); beyond, texts are shuffled.
 BROADCAST_TEXTS = 50_000
 BATCH_CHARS = 1_000_000
