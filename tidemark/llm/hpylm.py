@@ -35,7 +35,9 @@ STRENGTH = 1.0
 BURN_IN, SAMPLES = 6, 4
 BLOCK_CHARS = 12_000_000
 #: Words that blocks send to a shard, about.
-SHARD_WORDS = 800_000
+SHARD_WORDS = 500_000
+#: Contexts are told apart by the upper bits of their words' hashes, without so many of the lower.
+CONTEXT_CUT = np.uint64(24)
 #: Bytes of text that are hashed at a time.
 HASH_BYTES = 2_000_000
 END, START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A2757A2757A275)
@@ -117,12 +119,33 @@ def blocks_of(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
 def _planes(numbers: np.ndarray) -> bytes:
     """Numbers of 32 bits, byte by byte, compressed: most bytes are alike."""
-    plain = np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    return _packed(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4))
+
+
+def _packed(table: np.ndarray) -> bytes:
+    plain = np.ascontiguousarray(table.T).tobytes()
     return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
 
 
+def _unpacked(packed: bytes, width: int) -> np.ndarray:
+    plain = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(width, -1).T)
+
+
+def _names(contexts: np.ndarray) -> bytes:
+    """Sorted contexts, 40 bits each."""
+    return _packed(contexts.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :5])
+
+
+def _contexts(names: bytes) -> np.ndarray:
+    table = _unpacked(names, 5)
+    return np.hstack([table, np.zeros((len(table), 3), np.uint8)]).view(np.uint64).ravel()
+
+
 def _float_planes(x: np.ndarray) -> bytes:
-    return _planes(np.ascontiguousarray(x, np.float32).view(np.uint32))
+    """Floats to 16 bits of mantissa, 1e-5 of their value."""
+    bits = np.ascontiguousarray(x, np.float32).view(np.uint32)
+    return _planes(bits + np.uint32(64) & ~np.uint32(127))
 
 
 def _floats(planes: bytes) -> np.ndarray:
@@ -130,8 +153,7 @@ def _floats(planes: bytes) -> np.ndarray:
 
 
 def _numbers(planes: bytes) -> np.ndarray:
-    plain = pa.decompress(planes[8:], int.from_bytes(planes[:8], "little"), codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+    return _unpacked(planes, 4).view(np.uint32).ravel().astype(np.int64)
 
 
 def _pairs(tokens: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
@@ -143,8 +165,8 @@ def _pairs(tokens: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
 
 
 def _shard_bounds(words: np.ndarray, shards: int) -> np.ndarray:
-    """Shards are ranges of the hash; the words are sorted by it."""
-    edges = np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)
+    """Shards are ranges of the hash, cut where its upper bits change; the words are sorted by it."""
+    edges = np.array([(k << 40) // shards for k in range(1, shards)], np.uint64) << CONTEXT_CUT
     return np.concatenate([[0], np.searchsorted(words, edges), [len(words)]])
 
 
@@ -180,7 +202,7 @@ def _asked(blocks: DataFrame, shards: int) -> DataFrame:
                                 "n_pairs": _planes(n_pairs[w[s] : w[s + 1]]),
                                 "pair_context": _planes(at),
                                 "pair_count": _planes(times[p[s] : p[s + 1]]),
-                                "contexts": words[used].tobytes(),
+                                "contexts": _names(words[used] >> CONTEXT_CUT),
                                 "context_count": _planes(as_context[used]),
                             }
                         )
@@ -390,7 +412,7 @@ def _answers(asked: DataFrame, shards: int, **kw) -> DataFrame:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         shard = rows[0]["shard"]
         names, own = merged([np.frombuffer(r["words"], np.uint64) for r in rows])
-        contexts, near = merged([np.frombuffer(r["contexts"], np.uint64) for r in rows])
+        contexts, near = merged([_contexts(r["contexts"]) for r in rows])
         counts = np.bincount(np.concatenate(own), np.concatenate([_numbers(r["counts"]) for r in rows]), len(names)).astype(np.int64)
         seen = np.bincount(np.concatenate(near), np.concatenate([_numbers(r["context_count"]) for r in rows]), len(contexts))
         pairs, asked_pairs = merged([np.repeat(o, _numbers(r["n_pairs"])) << CONTEXT_BITS | c[_numbers(r["pair_context"])] for r, o, c in zip(rows, own, near, strict=True)])
@@ -400,8 +422,8 @@ def _answers(asked: DataFrame, shards: int, **kw) -> DataFrame:
         sums = seat(counts, pairs >> CONTEXT_BITS, after, times, len(contexts), shards=shards, scale=scale, seed=shard, **kw)
         root, pair = sums["root"].astype(np.float32), sums["pair"].astype(np.float32)
         out = [{"block": r["block"], "shard": shard, "counts": _planes(counts[o]), "root": _float_planes(root[o]), "pair": _float_planes(pair[p]), "own": _planes(np.diff(o, prepend=0))} for r, o, p in zip(rows, own, asked_pairs, strict=True)]
-        w = _shard_bounds(contexts, shards)
-        out += [{"block": -1, "shard": k, "contexts": contexts[i:j].tobytes(), "tables": _float_planes(sums["tables"][i:j]), "customers": _planes(sums["context_customers"][i:j])} for k, (i, j) in enumerate(zip(w[:-1], w[1:], strict=True)) if i < j]
+        w = _shard_bounds(contexts << CONTEXT_CUT, shards)
+        out += [{"block": -1, "shard": k, "contexts": _names(contexts[i:j]), "tables": _float_planes(sums["tables"][i:j]), "customers": _planes(sums["context_customers"][i:j])} for k, (i, j) in enumerate(zip(w[:-1], w[1:], strict=True)) if i < j]
         out.append({"block": -2, "shard": shard, "s1": float(sums["known"]), "s2": float(sums["root"].sum() + sums["root_tables"]), "s3": float(sums["root_tables"])})
         out.append({"block": -3, "shard": shard, "contexts": names.tobytes()})
         return pa.Table.from_pylist(out, schema)
@@ -413,20 +435,20 @@ def _context_totals(answers: DataFrame) -> DataFrame:
     """(block, shard, tables, customers): the sums of all shards for each word of a block, as a context."""
 
     def add(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        words, tables, customers = np.empty(0, np.uint64), np.empty(0), np.empty(0)
+        context_of, tables, customers = np.empty(0, np.int64), np.empty(0), np.empty(0)
         sent = right.to_pylist()
         for r in sent:
             if r["kind"] == -3:
-                words = np.frombuffer(r["contexts"], np.uint64)
-                tables, customers = np.zeros(len(words)), np.zeros(len(words))
+                contexts, context_of = np.unique(np.frombuffer(r["contexts"], np.uint64) >> CONTEXT_CUT, return_inverse=True)
+                tables, customers = np.zeros(len(contexts)), np.zeros(len(contexts))
         for r in sent:
             if r["kind"] == -1:
-                at = np.searchsorted(words, np.frombuffer(r["contexts"], np.uint64))  # every context is a word of its shard
+                at = np.searchsorted(contexts, _contexts(r["contexts"]))  # every context is a word of its shard
                 tables[at] += _floats(r["tables"])
                 customers[at] += _numbers(r["customers"])
         out = {"block": [], "shard": [], "tables": [], "customers": []}
         for r in left.to_pylist():
-            own = np.cumsum(_numbers(r["own"]))
+            own = context_of[np.cumsum(_numbers(r["own"]))]
             for name, value in (("block", r["block"]), ("shard", r["shard"]), ("tables", _float_planes(tables[own])), ("customers", _float_planes(customers[own]))):
                 out[name].append(value)
         return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
@@ -444,7 +466,8 @@ def score_texts(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from rows whose crc32(id as text) modulo ``folds`` is not ``held_fold``. Scores are
-    sums of log10 over a text's tokens. Words are told apart by 64-bit hashes. Null and empty texts are
+    sums of log10 over a text's tokens. Words are told apart by 64-bit hashes, contexts by their upper 40
+    bits (two words in a million million share a restaurant). Null and empty texts are
     one end token; repeated rows count each; without training rows every token is unknown; an empty
     table gives no rows; other columns are not read.
     """
