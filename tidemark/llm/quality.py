@@ -13,9 +13,8 @@ from tidemark.scratch import written
 
 #: What the rules may test; all are ratios or counts that a reader can check by hand.
 FEATURES = ("n_words", "mean_word", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share", "upper_share", "digit_share", "stop_share", "line_words")
-#: Characters translate() removes for each count.
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+#: Characters of each count.
+SYMBOLS, UPPER, DIGITS = "[#*$%&|<>]", "[A-Z]", "[0-9]"
 #: Frequent function words of the languages at hand.
 STOP_WORDS = ("the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "de", "la", "le", "et", "les", "des", "un", "une", "que", "en", "el", "los", "y", "se", "der", "die", "das", "und", "den", "von", "zu", "mit")
 #: A rule cuts at so many quantiles of the rows that are not covered yet, and of the bad ones among them.
@@ -30,37 +29,40 @@ MIN_PRECISION = 0.75
 def text_statistics(docs: DataFrame, keep=("doc_id",), text_column: str = "text") -> DataFrame:
     """The columns ``keep`` and, of each whole text, the counts that the base rule and the features need.
 
-    Null and empty texts have no words and zero counts. Windows of three words are compared by a
-    64-bit hash within one text; only texts in which two windows agree are sorted by it.
+    Null and empty texts have no words and zero counts. Words and windows of three words are compared
+    by 64-bit hashes within one text; only texts in which two windows agree are sorted by them.
     """
     text = F.col("_t")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     a = docs.select(*keep, text_of(text_column).alias("_t"))
     a = a.select(*keep, "_t", words_of(text).alias("_w"), lines.alias("_l"))
     w = F.col("_w")
-    n = F.size(w)
-    windows = F.when(n >= 3, F.transform(F.slice(w, F.lit(1), n - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    count = lambda kind: F.length(text) - F.length(F.translate(text, kind, ""))
+    a = a.select(*keep, "_t", "_w", "_l", F.transform(w, lambda x: F.xxhash64(x)).alias("_x"))
+    x = F.col("_x")
+    n = F.size(x)
+    windows = F.when(n >= 3, F.transform(F.slice(x, F.lit(1), n - 2), lambda h, i: F.xxhash64(h, F.get(x, i + 1), F.get(x, i + 2)))).otherwise(F.array().cast("array<bigint>"))
+    stop = [F.xxhash64(F.lit(v)) for word in STOP_WORDS for v in (word, word.capitalize())]
+    count = lambda kind: F.regexp_count(text, F.lit(kind)).cast("long")
     a = a.select(
         *keep,
         n.cast("long").alias("n_words"),
-        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        count(SYMBOLS).cast("long").alias("n_symbols"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        count(SYMBOLS).alias("n_symbols"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
-        count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
-        count("0123456789").cast("long").alias("n_digits"),
-        F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop"),
+        F.size(F.array_distinct(x)).cast("long").alias("n_distinct"),
+        count(UPPER).alias("n_upper"),
+        count(DIGITS).alias("n_digits"),
+        F.size(F.filter(x, lambda h: h.isin(stop))).cast("long").alias("n_stop"),
         windows.alias("_h"),
     )
     stats = [c for c in a.columns if c not in (*keep, "_h")]
     h = F.col("_h")
-    ordered = F.when(F.size(F.array_distinct(h)) < F.size(h), F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
+    ordered = F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
     a = a.select(*keep, *stats, ordered.alias("_s"))
     s = F.col("_s")
     twice = F.transform(s, lambda x, i: F.when((x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]), x["i"]))
-    a = a.select(*keep, *stats, F.array_sort(F.array_compact(twice)).alias("_p"))
+    a = a.select(*keep, *stats, F.sort_array(F.array_compact(twice)).alias("_p"))
     p = F.col("_p")
     covered = F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda acc, x: acc + x)
     return a.select(*keep, *stats, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
