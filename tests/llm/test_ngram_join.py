@@ -121,3 +121,21 @@ def test_empty_blocks_count_no_pair_twice(spark, monkeypatch):
     rows = [(*r, *[None] * (len(DOCS.split(", ")) - 2)) for r in rows]
     monkeypatch.setattr(J, "BLOCK_GRAMS", 200)
     assert result(spark.createDataFrame(rows, DOCS)) == brute(rows)
+
+
+def test_recall_on_planted_pairs(spark):
+    """Pairs with similarities from 0.8 to 0.9, none of their texts near any other: found, against all pairs by brute force."""
+    rnd = random.Random(12)
+    rows, near = [], set()
+    for i in range(800):
+        w = [f"v{i}x{rnd.randrange(10**6)}" for _ in range(rnd.randrange(150, 500))]
+        other = list(w)
+        for _ in range(max(1, int(len(w) * rnd.uniform(0.008, 0.022)))):
+            other[rnd.randrange(len(w))] = f"u{rnd.randrange(10**9)}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+        a, b = grams(rows[-2][1]), grams(rows[-1][1])
+        if 0.8 <= len(a & b) / len(a | b) <= 0.9:
+            near.add(i)
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_links > 0").collect()
+    found = {r["doc_id"] // 2 for r in got if r["class_id"] == r["doc_id"] // 2 * 2}
+    assert len(near) > 300 and len(found & near) >= 0.99 * len(near)

@@ -70,7 +70,7 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
 def scan_blobs(blobs: DataFrame, rules=RULES, version: str | None = None) -> DataFrame:
     """(blob, text) -> ledger rows (blob, rule_version, findings), findings by start, then rule."""
     found = F.concat(*[_spans(F.col("text"), r, i) for i, r in enumerate(rules)])
-    return blobs.select("blob", F.lit(version or rule_version(rules)).alias("rule_version"), F.array_sort(found).alias("findings"))
+    return blobs.select("blob", F.lit(version or rule_version(rules)).alias("rule_version"), F.sort_array(found).alias("findings"))
 
 
 def secret_ledger(versions: DataFrame, ledger: DataFrame | None = None, *, text_column: str = "text", rules=RULES, version: str | None = None) -> DataFrame:
