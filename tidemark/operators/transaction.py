@@ -74,7 +74,8 @@ class _Replay:
         self.state: list[bool | None] = []  # None while the group is open for events
         self.queue: deque[tuple[int, int]] = deque()
         self.live: dict[tuple, int] = {}
-        self.stack: list[int] = []
+        self.stack: dict[int, None] = {}  # in order of opening; any of them may leave
+        self.waiting: list[int] = []  # events of the live group while only ends are told
         self.limit = params.max_events if params.max_events is not None else 1 << 62
 
     def new(self, time: int, start: bool = False, end: bool = False) -> int:
@@ -95,13 +96,15 @@ class _Replay:
         self.live[key], self.key_of[group] = group, key
         return group
 
+    def top(self) -> int:
+        return next(reversed(self.stack))
+
     def full(self, group: int) -> bool:
         return self.count[group] >= self.limit
 
     def freeze(self, group: int, closed: bool | None = None) -> None:
         self.state[group] = self.p.closed(self.start[group], self.end[group]) if closed is None else closed
-        if group in self.stack:
-            self.stack.remove(group)
+        self.stack.pop(group, None)
         if self.live.get(key := self.key_of.pop(group, None)) == group:
             del self.live[key]
 
@@ -129,13 +132,13 @@ class _Replay:
             if start:
                 self.freeze(group, True)
             else:
-                self.stack.append(group)
+                self.stack[group] = None
             return
         if start:
-            if self.stack and self.full(self.stack[-1]):
-                self.freeze(self.stack[-1])
+            if self.stack and self.full(self.top()):
+                self.freeze(self.top())
             if self.stack:
-                group = self.stack[-1]
+                group = self.top()
                 self.put(group, i, time)
                 self.start[group] = True
                 self.freeze(group, True)
@@ -148,7 +151,7 @@ class _Replay:
                     self.freeze(live, False)
                 self.put(self.wait(self.new(time, True)), i, time)
         elif self.stack:
-            group = self.stack[-1]
+            group = self.top()
             if not self.full(group):
                 self.put(group, i, time)
             if self.full(group):
@@ -169,42 +172,42 @@ class _Replay:
         self.put(live, i, time)
         if start:
             if self.stack:
-                self.freeze(self.stack[-1], True)
+                self.freeze(self.top(), True)
             self.start[live] = True
             del self.live[()]
-            self.stack.append(live)
+            self.stack[live] = None
         self.cap(())
 
     def ended(self, i: int, time: int, start: bool, end: bool, key: tuple) -> None:
         if end:
             group = self.new(time, False, True)
             self.put(group, i, time)
-            self.stack.append(group)
+            self.stack[group] = None
             # Of earlier (newer) events that wait, only those of the same instant can still join.
             while self.p.span and (live := self.live.get(())) is not None and not self.full(group) and self.oldest[live] == time:
-                j = max(k for k in range(i) if self.group_of[k] == live)
+                j = self.waiting.pop()
                 self.group_of[j] = group
                 self.count[group] += 1
                 self.count[live] -= 1
-                rest = [k for k in range(j) if self.group_of[k] == live]
-                if not rest:
+                if not self.waiting:
                     self.freeze(live, False)
                     break
-                self.oldest[live] = self.times[rest[-1]]
+                self.oldest[live] = self.times[self.waiting[-1]]
             if self.full(group):
                 self.freeze(group, True)
             return
-        while self.stack and (self.full(self.stack[-1]) or self.p.span and time < self.newest[self.stack[-1]] - self.p.span):
-            self.freeze(self.stack[-1])
+        while self.stack and (self.full(self.top()) or self.p.span and time < self.newest[self.top()] - self.p.span):
+            self.freeze(self.top())
         if self.stack:
-            group = self.stack[-1]
+            group = self.top()
             self.put(group, i, time)
             if self.full(group):
                 self.freeze(group)
             return
         live = self.live.get(())
         if live is None:
-            live = self.wait(self.new(time))
+            live, self.waiting = self.wait(self.new(time)), []
+        self.waiting.append(i)
         self.group_of[i] = live  # the waiting events have no cap; drain() cuts them
         self.count[live] += 1
         self.oldest[live] = time
