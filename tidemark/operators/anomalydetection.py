@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.args import ArgumentError, names_of
+from tidemark.functions.quantiles import at_ranks, quantiles
+from tidemark.scratch import fresh, written
 
 # Actions by method, floors of probabilities, steps of the thresholds.
 ACTIONS = {"histogram": ("filter", "annotate", "summary"), "zscore": ("filter", "annotate", "summary"), "iqr": ("remove", "rm", "transform", "tf")}
@@ -47,8 +49,9 @@ def anomalydetection(df: DataFrame, *, method: str = "histogram", action: str |
     transform: the schema as it is, numeric columns of flagged rows clamped (nulls stay null).
     A column whose values are numbers in more than four of five rows is cut into ``bins`` of equal
     counts if it has more distinct values. Frequencies are grouped counts joined back to the rows;
-    the quantiles are exact, from counts of equal values. ``mark`` has no effect. An empty table gives
-    no rows with the full schema.
+    thresholds come from the counts of equal combinations, and quantiles are exact, from counts of
+    equal values laid out in ranges. ``mark`` has no effect. An empty table gives no rows with the full
+    schema; columns of any name pass through.
     """
     if method not in ACTIONS:
         raise ArgumentError(f"unknown method {method}")
@@ -62,62 +65,73 @@ def anomalydetection(df: DataFrame, *, method: str = "histogram", action: str |
     for n in names:
         if n not in kinds:
             raise ArgumentError(f"field '{n}' not found")
-    rows = df.select("*", *[_text(F.col(f"`{n}`"), kinds[n]).alias(f"_t{i}") for i, n in enumerate(names)])
-    numbers = [_number(F.col(f"_t{i}"), F.col(f"`{n}`"), kinds[n]) for i, n in enumerate(names)]
+    texts, keys, joins, freqs = (fresh(df, *[f"_{x}{i}" for i in range(len(names))]) for x in "tkjf")
+    (lp,) = fresh(df, "_lp")
+    rows = df.select("*", *[_text(F.col(f"`{n}`"), kinds[n]).alias(t) for n, t in zip(names, texts, strict=True)])
+    numbers = [_number(F.col(t), F.col(f"`{n}`"), kinds[n]) for n, t in zip(names, texts, strict=True)]
     facts = rows.agg(F.count("*").alias("n"), *[F.count(x).alias(f"c{i}") for i, x in enumerate(numbers)]).first()
-    n = facts["n"]
-    share = [facts[f"c{i}"] / n if n else 0.0 for i in range(len(names))]
-    types = ["numerical" if s > 0.8 else "categorical" if s < 0.2 else "mixed" for s in share]
-    scored, tables = _frequencies(rows, names, numbers, types, bins, n, [facts[f"c{i}"] for i in range(len(names))])
-    freq = [F.col(f"_f{i}") for i in range(len(names))]
-    kept = [i for i in range(len(names)) if types[i] != "numerical" or facts[f"c{i}"]]
+    n, present = facts["n"], [facts[f"c{i}"] for i in range(len(names))]
+    share = [c / n if n else 0.0 for c in present]
+    types = ["numerical" if x > 0.8 else "categorical" if x < 0.2 else "mixed" for x in share]
+    keyed, tables = _frequencies(rows, texts, keys, numbers, types, bins, n, present)
+    combined = written(keyed.groupBy(*keys).agg(F.count("*").alias("n")), "keys")
+    for i, table in tables.items():
+        if table is None:  # each value is a key of its own
+            known = max(present[i] if types[i] == "numerical" else n, 1)
+            table = combined.filter(F.col(keys[i]).isNotNull()).groupBy(F.col(keys[i]).alias("_key")).agg((F.sum("n") / F.lit(known)).alias("_freq"), F.lit(1).cast("bigint").alias("_values"))
+        tables[i] = table
+    kept = [i for i in range(len(names)) if types[i] != "numerical" or present[i]]
+    freq = [F.col(f) for f in freqs]
     prob = reduce(mul, [F.coalesce(freq[i], F.lit(UNSEEN)) for i in kept], F.lit(1.0))
-    scored = scored.withColumn("_lp", F.log(F.greatest(prob, F.lit(LEAST))))
+
+    def scored(x: DataFrame) -> DataFrame:
+        for i in range(len(names)):
+            own = tables[i].select(F.col("_key").alias(joins[i]), F.col("_freq").alias(freqs[i]))
+            x = x.join(own, F.col(keys[i]) == F.col(joins[i]), "left").drop(joins[i])
+        return x.withColumn(lp, F.log(F.greatest(prob, F.lit(LEAST))))
+
+    spread = written(scored(combined).groupBy(F.col(lp).alias("value")).agg(F.sum("n").alias("n")), "spread")
     cause, cause_freq = _cause(names, types, kept, freq)
-    max_freq = _max_freq(tables, sum(t == "categorical" for t in types) >= len(names) // 2)
-    threshold, least = _threshold(scored, method, types, cutoff, pthresh, param, sensitivity, n)
-    flag = F.col("_lp") < F.lit(threshold)
-    shown = F.when(flag, F.lit(least).cast("double")).otherwise(F.col("_lp"))  # the least of all is the least flagged one
+    max_freq = _max_freq(list(tables.values()), sum(t == "categorical" for t in types) >= len(names) // 2)
+    threshold, least = _threshold(spread, method, types, cutoff, pthresh, param, sensitivity, n)
+    shown_of = lambda c: F.when(c < F.lit(threshold), F.lit(least).cast("double")).otherwise(c)  # noqa: E731  the least of all is the least flagged one
+    if action == "summary":
+        return _summary(spread, shown_of, threshold, n)
+    rows = scored(keyed)
+    flag, shown = F.col(lp) < F.lit(threshold), shown_of(F.col(lp))
     columns = [F.col(f"`{c}`") for c in df.columns]
     extra = [shown.alias("log_event_prob"), F.lit(max_freq).alias("max_freq"), cause.alias("probable_cause"), cause_freq.alias("probable_cause_freq")]
     if action == "filter":
-        return scored.filter(flag).select(*columns, *extra)
+        return rows.filter(flag).select(*columns, *extra)
     if action in ("remove", "rm"):
-        return scored.filter(~flag).select(*columns, *extra)
+        return rows.filter(~flag).select(*columns, *extra)
     if action == "annotate":
-        return scored.select(*columns, flag.alias("is_anomaly"), *extra)
-    if action == "summary":
-        q = F.percentile(shown, [0.25, 0.75])
-        return scored.agg(F.count(F.when(flag, F.lit(1))).alias("num_anomalies"), F.max(shown).alias("max_logprob"), F.min(shown).alias("min_logprob"), q.alias("_q")).select("num_anomalies", F.lit(threshold).alias("thresh"), "max_logprob", "min_logprob", F.get("_q", F.lit(0)).alias("1st_quartile"), F.get("_q", F.lit(1)).alias("3rd_quartile"))
-    return _clamped(scored, df, flag, param, uselower)
-
-
-def _frequencies(rows: DataFrame, names, numbers, types, bins: int, total: int, present: list[int]):
-    """Rows with _f0, _f1, ... and one table (value, frequency) per field."""
-    numeric = [i for i, t in enumerate(types) if t == "numerical"]
-    wide = [i for i in numeric if rows.select(numbers[i].alias("x")).filter("x IS NOT NULL").distinct().limit(bins + 1).count() > bins]
-    edges = rows.agg(*[F.percentile(numbers[i], [k / bins for k in range(bins + 1)]).alias(f"e{i}") for i in wide]).first() if wide else {}
-    keyed = rows
-    for i in range(len(names)):
-        key = F.col(f"_t{i}")
-        if i in wide:
-            cuts = [x for k, x in enumerate(edges[f"e{i}"]) if k == 0 or abs(x - edges[f"e{i}"][k - 1]) >= 1e-10]
-            inner = F.array(*[F.lit(x) for x in cuts[1:]]).cast("array<double>")
-            bin_of = F.least(F.size(F.filter(inner, _at_most(numbers[i]))), F.lit(bins - 1))
-            key = F.when(numbers[i].isNotNull(), bin_of.cast("string"))
-        elif types[i] == "numerical":
-            key = F.when(numbers[i].isNotNull(), key)
-        keyed = keyed.withColumn(f"_k{i}", key)
-    out, tables = keyed, []
-    for i in range(len(names)):
-        values = keyed.filter(F.col(f"_k{i}").isNotNull()).groupBy(F.col(f"_k{i}").alias("_key"), f"_t{i}").agg(F.count("*").alias("_n"))
-        counts = values.groupBy("_key").agg(F.sum("_n").alias("_n"), F.count("*").alias("_values"))
-        known = present[i] if types[i] == "numerical" else total
-        table = counts.select("_key", (F.col("_n") / F.lit(max(known, 1))).alias("_freq"), "_values")
-        tables.append(table)
-        own = table.select(F.col("_key").alias(f"_j{i}"), F.col("_freq").alias(f"_f{i}"))
-        out = out.join(own, F.col(f"_k{i}") == F.col(f"_j{i}"), "left").drop(f"_j{i}")
-    return out, tables
+        return rows.select(*columns, flag.alias("is_anomaly"), *extra)
+    return _clamped(rows, df, flag, param, uselower)
+
+
+def _frequencies(rows: DataFrame, texts, keys, numbers, types, bins: int, total: int, present: list[int]):
+    """Rows with each field's key, and by field the table (key, frequency, number of values) of those
+    that are cut into bins, None for the others. Cuts and counts of bins come from counts of equal values."""
+    tables: dict[int, DataFrame | None] = {}
+    keyed = {}
+    for i, t in enumerate(texts):
+        tables[i], keyed[keys[i]] = None, F.col(t)
+        if types[i] != "numerical":
+            continue
+        keyed[keys[i]] = F.when(numbers[i].isNotNull(), F.col(t))
+        values = written(rows.select(numbers[i].alias("value"), F.col(t).alias("text")).filter("value IS NOT NULL").groupBy("value", "text").agg(F.count("*").alias("n")), "values")
+        counts = values.groupBy("value").agg(F.sum("n").alias("n"))
+        if counts.limit(bins + 1).count() <= bins:
+            continue
+        edges = quantiles(counts, present[i], [k / bins for k in range(bins + 1)])
+        cuts = [x for k, x in enumerate(edges) if k == 0 or abs(x - edges[k - 1]) >= 1e-10]
+        inner = F.array(*[F.lit(x) for x in cuts[1:]]).cast("array<double>")
+        bin_of = lambda c, inner=inner: F.least(F.size(F.filter(inner, _at_most(c))), F.lit(bins - 1)).cast("string")
+        keyed[keys[i]] = F.when(numbers[i].isNotNull(), bin_of(numbers[i]))
+        binned = values.select(bin_of(F.col("value")).alias("_key"), "n").groupBy("_key")
+        tables[i] = binned.agg((F.sum("n") / F.lit(present[i])).alias("_freq"), F.count("*").alias("_values"))
+    return rows.withColumns(keyed), tables
 
 
 def _at_most(value: Column):
@@ -142,20 +156,23 @@ def _max_freq(tables: list[DataFrame], categorical: bool) -> float:
     if categorical:
         return every.agg(F.max("_freq")).first()[0] or 1.0
     total = 0.0
-    for r in every.groupBy("_freq").agg(F.sum("_values").alias("n")).orderBy(F.desc("_freq")).limit(10_000).collect():
-        for _ in range(r["n"]):
-            total += r["_freq"]
-            if total >= COVERAGE:
-                return total
+    for r in every.groupBy("_freq").agg(F.sum("_values").alias("n")).orderBy(F.desc("_freq")).toLocalIterator():
+        short = math.ceil((COVERAGE - total) / r["_freq"] - 1e-9)  # so many more of these reach it
+        total += min(max(short, 1), r["n"]) * r["_freq"]
+        if short <= r["n"]:
+            return total
     return total or 1.0
 
 
-def _threshold(scored: DataFrame, method, types, cutoff, pthresh, param, sensitivity, n) -> tuple[float, float | None]:
-    """(threshold, the least log probability)."""
+def _threshold(spread: DataFrame, method, types, cutoff, pthresh, param, sensitivity, n) -> tuple[float, float | None]:
+    """(threshold, the least log probability) from the counts of equal log probabilities."""
     if not n:
         return 0.0, None
-    s = scored.agg(F.percentile("_lp", [0.25, 0.5, 0.75]).alias("q"), F.avg("_lp").alias("mean"), F.stddev_pop("_lp").alias("std"), F.min("_lp").alias("min"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _lp)").alias("disc")).first()
-    (q1, median, q3), mean, std = s["q"], s["mean"], s["std"]
+    s = spread.agg((F.sum(F.col("value") * F.col("n")) / n).alias("mean"), F.min("value").alias("min")).first()
+    mean = s["mean"]
+    std = math.sqrt(spread.agg(F.sum(F.col("n") * (F.col("value") - mean) ** 2)).first()[0] / n)
+    std = std if spread.limit(2).count() > 1 else 0.0
+    q1, median, q3 = quantiles(spread, n, [0.25, 0.5, 0.75])
     iqr = q3 - q1
     base = q1 - 1.5 * iqr
     if method == "zscore":
@@ -167,11 +184,12 @@ def _threshold(scored: DataFrame, method, types, cutoff, pthresh, param, sensiti
     elif all(t == "categorical" for t in types):
         out = s["min"] + 0.001
     else:
-        mad = median - s["disc"]  # half the middle gap: the deviations are not sorted before their median is taken
+        k = int(max(0.01 * n, 3))
+        disc, kth = at_ranks(spread, [(n + 1) // 2 - 1, min(k, n) - 1])
+        mad = median - disc  # half the middle gap: the deviations are not sorted before their median is taken
         by_mad = median - 3 * mad if mad > 0 else base
         if "mixed" in types:
-            k = int(max(0.01 * n, 3))
-            out = max(base, by_mad, _kth(scored, k) + 0.001) if k < n else max(base, by_mad)
+            out = max(base, by_mad, kth + 0.001) if k < n else max(base, by_mad)
         else:
             out = min(base, by_mad, mean - 3 * std if std > 0 else base)
     if sensitivity in SHIFT:
@@ -180,18 +198,23 @@ def _threshold(scored: DataFrame, method, types, cutoff, pthresh, param, sensiti
     return float(out), float(s["min"])
 
 
-def _kth(scored: DataFrame, k: int) -> float:
-    """The k-th smallest log probability, from counts of equal values below its quantile."""
-    share = (k - 1) / max(1, scored.count() - 1)
-    return scored.agg(F.expr(f"percentile(_lp, {share:.17g}D)")).first()[0]
+def _summary(spread: DataFrame, shown_of, threshold: float, n: int) -> DataFrame:
+    shown = spread.groupBy(shown_of(F.col("value")).alias("value")).agg(F.sum("n").alias("n"))
+    q1, q3 = quantiles(shown, n, [0.25, 0.75]) if n else (None, None)
+    flagged = F.coalesce(F.sum(F.when(F.col("value") < F.lit(threshold), F.col("n"))), F.lit(0)).cast("bigint")
+    seen = shown_of(F.col("value"))
+    return spread.agg(flagged.alias("num_anomalies"), F.lit(threshold).alias("thresh"), F.max(seen).alias("max_logprob"), F.min(seen).alias("min_logprob"), F.lit(q1).cast("double").alias("1st_quartile"), F.lit(q3).cast("double").alias("3rd_quartile"))
 
 
 def _clamped(scored: DataFrame, df: DataFrame, flag: Column, param: float, uselower: bool) -> DataFrame:
     numeric = [f for f in df.schema.fields if isinstance(f.dataType, (T.LongType, T.DoubleType))]
     bounds = {}
-    if numeric:
-        q = df.agg(*[F.percentile(F.when(~F.isnan(F.col(f"`{f.name}`").cast("double")), F.col(f"`{f.name}`").cast("double")), [0.25, 0.75]).alias(f"q{i}") for i, f in enumerate(numeric)]).first()
-        bounds = {f.name: (q[f"q{i}"][0] - param * (q[f"q{i}"][1] - q[f"q{i}"][0]), q[f"q{i}"][1] + param * (q[f"q{i}"][1] - q[f"q{i}"][0])) for i, f in enumerate(numeric) if q[f"q{i}"]}
+    for f in numeric:
+        x = F.col(f"`{f.name}`").cast("double")
+        counts = written(df.select(x.alias("value")).filter("value IS NOT NULL AND NOT isnan(value)").groupBy("value").agg(F.count("*").alias("n")), "values")
+        if total := counts.agg(F.sum("n")).first()[0]:
+            q1, q3 = quantiles(counts, total, [0.25, 0.75])
+            bounds[f.name] = (q1 - param * (q3 - q1), q3 + param * (q3 - q1))
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
