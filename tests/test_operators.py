@@ -55,6 +55,36 @@ def test_filldown_over_many_stretches(spark, monkeypatch):
         last = i if i % 701 == 5 else last
         want.append(last)
     assert got == want
+    monkeypatch.setattr(module, "CUTS", 7)  # cuts in lots
+    assert [r["v"] for r in call("filldown", df, order_by=["t"]).orderBy("t").collect()] == want
+
+
+def test_columns_of_any_name(spark, monkeypatch):
+    from tidemark.operators import filldown as module
+
+    monkeypatch.setattr(module, "STRETCH_ROWS", 50)
+    names = ["_stretch", "_of", "_end_0", "_ahead_0", "_t0", "_k0", "_j0", "_f0", "_lp", "_key", "_freq", "n", "range", "value"]
+    df = spark.range(400).select("id", F.when(F.col("id") % 90 == 5, F.col("id")).alias("v"), *[F.concat(F.lit(c), F.col("id") % 3).alias(c) for c in names])
+    got = call("filldown", df, ["v"], order_by=["id"])
+    assert got.columns == df.columns and [r["_stretch"] for r in got.orderBy("id").limit(3).collect()] == ["_stretch0", "_stretch1", "_stretch2"]
+    marked = call("anomalydetection", df, named={"action": "annotate", "fields": "id,n"})
+    assert marked.columns[: len(df.columns)] == df.columns and marked.count() == 400
+    assert {r["_lp"] for r in marked.collect()} == {"_lp0", "_lp1", "_lp2"}
+
+
+def test_quantiles_by_ranges(spark, monkeypatch):
+    import numpy as np
+
+    from tidemark.functions import quantiles as Q
+
+    rnd = np.random.default_rng(3)
+    values = np.round(rnd.normal(0, 50, 4000))
+    counts = spark.createDataFrame([(float(v), int(n)) for v, n in zip(*np.unique(values, return_counts=True), strict=True)], "value double, n long")
+    shares = [0.0, 0.01, 0.25, 0.5, 0.77, 1.0]
+    for most in (200_000, 20):
+        monkeypatch.setattr(Q, "RANGE_VALUES", most)
+        assert Q.quantiles(counts, 4000, shares) == pytest.approx(np.quantile(values, shares).tolist())
+        assert Q.at_ranks(counts, [0, 3999, 17, 17]) == [np.sort(values)[k] for k in (0, 3999, 17, 17)]
 
 
 def test_flatten(spark):
@@ -188,6 +218,7 @@ def test_sql_functions(spark):
     register(spark)
     spark.createDataFrame([(1, None, "x"), (2, 5, None), (3, None, None)], "i int, v int, s string").createOrReplaceTempView("t_sql")
     assert sorted(rows(spark.sql("SELECT i, v, s FROM filldown(TABLE(t_sql), 'v,s', 'i')"))) == [(1, None, "x"), (2, 5, "x"), (3, 5, "x")]
+    assert sorted(rows(spark.sql("SELECT i, v, s FROM filldown(TABLE(t_sql), 'v,s', 'i', 's')")), key=str) == [(1, None, "x"), (2, 5, None), (3, 5, None)]
     assert rows(spark.sql("SELECT * FROM count_column(TABLE(t_sql))")) == [("total_columns", 3)]
     assert sorted(r[-1] for r in rows(spark.sql("SELECT * FROM addtotals(TABLE(SELECT i, i * 2 AS j FROM t_sql))"))) == [3, 6, 9]
     assert rows(spark.sql("SELECT * FROM addtotals(TABLE(SELECT CAST(1.5 AS DECIMAL(5,2)) AS d, CAST(NULL AS STRING) AS s, 2 AS i), 'sum')")) == [(Decimal("1.50"), None, 2, 3.5)]

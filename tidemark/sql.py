@@ -14,7 +14,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
-from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from tidemark.args import ArgumentError, names_of
 from tidemark.operators.filldown import matching
@@ -91,16 +91,18 @@ class _Flatten:
 
 
 class _Filldown:
-    """One partition in the given order; PARTITION BY in the call fills each key apart."""
+    """Rows in the given order, each key of ``partition_by`` apart; without keys all in one task, which
+    run_sql(spark, "filldown", ...) avoids."""
 
     def __init__(self):
         self.last: dict[int, object] = {}
 
     @staticmethod
-    def analyze(row: AnalyzeArgument, columns: AnalyzeArgument, order_by: AnalyzeArgument) -> AnalyzeResult:
-        return AnalyzeResult(schema=row.dataType, withSinglePartition=True, orderBy=[OrderingColumn(n) for n in names_of(order_by.value)])
+    def analyze(row: AnalyzeArgument, columns: AnalyzeArgument, order_by: AnalyzeArgument, partition_by: AnalyzeArgument | None = None) -> AnalyzeResult:
+        keys = names_of(partition_by.value) if partition_by else []
+        return AnalyzeResult(schema=row.dataType, withSinglePartition=not keys, partitionBy=[PartitioningColumn(k) for k in keys], orderBy=[OrderingColumn(n) for n in names_of(order_by.value)])
 
-    def eval(self, row, columns: str, order_by: str):
+    def eval(self, row, columns: str, order_by: str, partition_by: str = ""):
         wanted = set(matching(list(row.__fields__), columns))
         out = []
         for i, (n, v) in enumerate(zip(row.__fields__, row, strict=True)):
