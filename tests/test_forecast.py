@@ -49,3 +49,16 @@ def test_period():
     assert S.find_period(gaps) == 4
     periodic = S.periodic(np.array([math.nan, 2.0, 3.0, 1.0, 2.0, 3.0]), 3, 3)
     assert np.isfinite(periodic.state).all()
+
+
+def test_trend_vector(spark):
+    """A published input and its trend forecast, to the optimiser's tolerance."""
+    from tidemark.operators.predict import predict
+
+    counts = [4991.0, 5804.0, 5847.0, 5578.0, 5552.0, 5414.0, 5747.0, 599.0]
+    want = [4991.0, 5804.0, 5477.298068047165, 5479.23770444985, 5499.003019533617, 5358.135655380545, 5772.073516337712, 42.02676356023676, -482.0252994484413, -1006.0773624571193, -1530.1294254657973, -2054.1814884744754, -2578.2335514831534]
+    times = ["2025-12-30T00:00:00.000+0800", "2025-12-31T00:00:00.000+0800", *(f"2026-01-0{i}T00:00:00.000+0800" for i in range(1, 7))]
+    df = spark.createDataFrame(list(zip(times, counts, strict=True)), "_time string, count double")
+    rows = predict(df, "count", algorithm="LLT", future_timespan=7, mode="model").orderBy("_time").collect()
+    assert len(rows) == 15
+    assert [r["prediction_count"] for r in rows][: len(want)] == pytest.approx(want, rel=1e-3)

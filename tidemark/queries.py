@@ -102,6 +102,39 @@ def output_csv_status(spark, sf_dir):
     return call("output_csv", table(spark, sf_dir, "nation"), [f"{tempfile.mkdtemp()}/nation.csv"]).select("status", "rows_written")
 
 
+def output_csv_content(spark, sf_dir):
+    """The file's lines after a first write and an append whose columns differ: one is missing, one is dropped."""
+    import tempfile
+
+    target = f"{tempfile.mkdtemp()}/places.csv"
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.col("n_name"), F.lit(', "n"')).alias("name"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey")).alias("region"))
+    call("output_csv", nation, [target], order_by=["n_nationkey"]).count()
+    region = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("region"), F.lit(1).alias("other"))
+    call("output_csv", region, [target], {"append": True}, order_by=["region"]).count()
+    with open(target, encoding="utf-8") as f:
+        lines = f.read().splitlines()  # thirty lines
+    return spark.createDataFrame(list(enumerate(lines, 1)), "line_no bigint, line string")
+
+
+def error_message(spark, sf_dir):
+    """What the failing sample says: the error itself would end the caller's run."""
+    from pyspark.errors import PySparkException
+
+    try:
+        call("error_producer", table(spark, sf_dir, "region")).collect()
+    except PySparkException as e:
+        found = "error_producer always fails" in str(e)
+        return spark.range(1).select(F.lit(found).alias("failed"), F.lit("error_producer always fails").alias("message"))
+    return spark.range(1).select(F.lit(False).alias("failed"), F.lit(None).cast("string").alias("message"))
+
+
+def transaction_two_keys(spark, sf_dir):
+    """Groups by two keys, four events at most."""
+    events = _events(spark, sf_dir).withColumn("part", (F.col("event_id").cast("bigint") % 3).cast("string"))
+    out = call("transaction", events, ["user_id, part"], {"max_events": 4})
+    return out.select("user_id", "part", F.unix_micros("_time").alias("start_us"), F.array_join("_message", ">").alias("messages"), F.col("_event_count").alias("events"), F.col("_is_closed").alias("closed"))
+
+
 def predict_hourly(algorithm: str, **named):
     def run(spark, sf_dir):
         hourly = table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp").alias("_time")).agg(F.sum("value").alias("total"))
@@ -129,6 +162,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "flatten_missing": flatten_missing,
         "transaction_grouping": _tx(max_events=-1),
         "transaction_max_events": _tx(max_events=7),
+        "transaction_two_keys": transaction_two_keys,
         "transaction_max_span": _tx(max_span="6h", max_events=-1),
         "transaction_starts": _tx(starts_with="view", max_events=-1),
         "transaction_ends": _tx(ends_with="purchase", max_events=-1),
@@ -139,9 +173,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "anomaly_bins_annotate": anomaly(columns=("value",), action="annotate"),
         "anomaly_zscore": anomaly(columns=("o_orderstatus", "o_orderpriority"), table="orders", method="zscore", action="annotate", pthresh=0.3),
         "anomaly_iqr_remove": anomaly(columns=("o_orderstatus", "o_orderpriority"), table="orders", method="iqr", action="remove", param=0.1),
+        "anomaly_no_cutoff": anomaly(columns=("value",), action="annotate", cutoff=False),
+        "anomaly_strict": anomaly(columns=("value",), action="annotate", cutoff=False, sensitivity="strict"),
+        "anomaly_very_lenient": anomaly(columns=("o_orderstatus",), table="orders", action="annotate", sensitivity="very_lenient"),
         "anomaly_iqr_transform": anomaly(columns=("o_totalprice",), table="orders", method="iqr", action="transform", param=0.2, uselower=True),
         "count_column": count_columns,
         "output_csv_status": output_csv_status,
+        "output_csv_content": output_csv_content,
+        "error_producer": error_message,
         "predict_llp5": predict_hourly("LLP5"),
         "predict_llt": predict_hourly("LLT"),
         "predict_llp": predict_hourly("LLP", period=24),
@@ -237,6 +276,13 @@ def oracle_sql() -> dict[str, str]:
         "anomaly_iqr_remove": _categorical(status, "orders", "o_orderkey", "quantile_cont(lp, 0.25) - 0.1 * (quantile_cont(lp, 0.75) - quantile_cont(lp, 0.25))") + f" SELECT id, o_orderstatus, o_orderpriority, {_TAIL} FROM n, s WHERE NOT lp < th",
         "anomaly_iqr_transform": _binned("o_totalprice", "orders", "o_orderkey", "q1 - 0.2 * (q3 - q1)") + ", r AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS z FROM orders), i AS (SELECT quantile_cont(o_orderkey::DOUBLE, 0.25) AS a, quantile_cont(o_orderkey::DOUBLE, 0.75) AS z FROM orders) SELECT CASE WHEN NOT lp < th THEN id WHEN id > trunc(i.z + 0.2 * (i.z - i.a)) THEN trunc(i.z + 0.2 * (i.z - i.a))::BIGINT WHEN id < trunc(i.a - 0.2 * (i.z - i.a)) THEN trunc(i.a - 0.2 * (i.z - i.a))::BIGINT ELSE id END AS id, round(CASE WHEN NOT lp < th THEN o_totalprice WHEN o_totalprice > r.z + 0.2 * (r.z - r.a) THEN r.z + 0.2 * (r.z - r.a) WHEN o_totalprice < r.a - 0.2 * (r.z - r.a) THEN r.a - 0.2 * (r.z - r.a) ELSE o_totalprice END, 6) AS o_totalprice FROM n, s, r, i",
         "anomaly_bins_annotate": _binned("value", "events", "event_id", _NUMERIC_CUT) + f" SELECT id, round(value, 6) AS value, lp < th AS is_anomaly, {_TAIL} FROM n, s",
+        "anomaly_no_cutoff": _binned("value", "events", "event_id", "q1 - 1.5 * (q3 - q1)") + f" SELECT id, round(value, 6) AS value, lp < th AS is_anomaly, {_TAIL} FROM n, s",
+        "anomaly_strict": _binned("value", "events", "event_id", "q1 - 1.5 * (q3 - q1) + CASE WHEN q3 - q1 > 0 THEN -0.3 * (q3 - q1) ELSE -0.5 END") + f" SELECT id, round(value, 6) AS value, lp < th AS is_anomaly, {_TAIL} FROM n, s",
+        "anomaly_very_lenient": _categorical(("o_orderstatus",), "orders", "o_orderkey", lenient.replace("0.5 *", "1.0 *").replace("ELSE 1.0", "ELSE 2.0")) + f" SELECT id, o_orderstatus, lp < th AS is_anomaly, {_TAIL} FROM n, s",
+        "output_csv_content": '''WITH l AS (SELECT 0 AS part, 0 AS k, 'n_nationkey,name,region' AS line UNION ALL SELECT 1, n_nationkey, n_nationkey || ',"' || n_name || ', ""n""",' || CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey::VARCHAR ELSE '' END FROM nation
+UNION ALL SELECT 2, r_regionkey, ',' || r_name || ',' || r_regionkey FROM region) SELECT row_number() OVER (ORDER BY part, k) AS line_no, line FROM l''',
+        "error_producer": "SELECT true AS failed, 'error_producer always fails' AS message",
+        "transaction_two_keys": f"WITH {_EVENTS}, p AS (SELECT *, (event_id % 3)::VARCHAR AS part FROM e), n AS (SELECT *, (row_number() OVER (PARTITION BY user_id, part ORDER BY t DESC) - 1) // 4 AS g FROM p) SELECT user_id, part, min(t) AS start_us, string_agg(m, '>' ORDER BY t) AS messages, count(*) AS events, count(*) = 4 AS closed FROM n GROUP BY user_id, part, g",
         "count_column": "SELECT 'total_columns' AS metric, count(*) AS column_count FROM (SELECT unnest(range(0, (SELECT count(*) FROM (DESCRIBE customer)))))",
         "output_csv_status": "SELECT 'completed' AS status, count(*) AS rows_written FROM nation",
         "predict_times": "WITH h AS (SELECT event_type, date_trunc('hour', ts) AS t FROM events GROUP BY ALL), f AS (SELECT event_type, max(t) AS last, (list(t ORDER BY t))[1:2] AS two FROM h GROUP BY event_type) SELECT event_type, epoch_us(last) + i * (epoch_us(two[2]) - epoch_us(two[1])) AS time_us FROM f, range(1, 4) r(i)",
