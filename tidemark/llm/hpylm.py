@@ -33,9 +33,9 @@ STIRLING = 512
 CONTEXT_BITS = 32
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 6, 4
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 9_000_000
 #: Words that blocks send to a shard, about.
-SHARD_WORDS = 500_000
+SHARD_WORDS = 400_000
 #: Contexts are told apart by the upper bits of their words' hashes, without so many of the lower.
 CONTEXT_CUT = np.uint64(24)
 #: Bytes of text that are hashed at a time.
@@ -468,8 +468,8 @@ def score_texts(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     The model learns from rows whose crc32(id as text) modulo ``folds`` is not ``held_fold``. Scores are
     sums of log10 over a text's tokens. Words are told apart by 64-bit hashes, contexts by their upper 40
     bits (two words in a million million share a restaurant). Null and empty texts are
-    one end token; repeated rows count each; without training rows every token is unknown; an empty
-    table gives no rows; other columns are not read.
+    one end token; very long texts are scored whole, in a block of their own; repeated rows count each; without training rows every token is unknown; an empty
+    table gives no rows; other columns are not read, so none can clash. Ids must be integers (TypeError).
     """
     if docs.schema[id_column].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise TypeError(f"{id_column} must be a column of integers")
