@@ -91,7 +91,8 @@ def exact_groups(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     Texts are equal when identical after white space is folded (null: empty); empty texts are equal
     to each other. The smallest doc_id of equal texts stays (null ids come last). Rows that repeat
     a doc_id with an equal text are one document: they count in group_size and share ``kept``.
-    An empty table gives no rows; other columns are not read.
+    Very long texts are hashed and compared in chunks, never whole. An empty table gives no rows; other
+    columns are not read, so none can clash.
 
     Equal fingerprints only nominate: the texts of every group of two or more are then compared
     chunk by chunk. The comparison is a grouped count over (fingerprint, chunk number, chunk), which

@@ -243,7 +243,8 @@ def archived_pages(pages: DataFrame, path: str | None = None, *, id_column: str
 
     Null html counts as empty and a null url has no target line; a null page_id is never referred to
     unless its group has no other; rows that repeat the largest page_id of a group are all responses;
-    an empty table gives no rows; other columns are not archived.
+    very long payloads make smaller files (one payload must fit Spark's two gigabytes a row); an empty
+    table gives no rows; other columns are not archived, so none can clash.
     """
     spark = pages.sparkSession
     path = path or shared_path(spark, "warc")
