@@ -52,6 +52,29 @@ def test_learned_list(spark):
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
 
 
+def test_a_rare_kind_of_bad_text_gets_a_rule_of_its_own(spark):
+    """Three in a hundred rows are bad by digits alone, far beyond the sixteenths of all rows; a useless first rule does not end the learning."""
+    rnd = random.Random(9)
+    docs, marks = [], []
+    for i in range(900):
+        kind = "symbols" if i % 5 == 0 else "digits" if i % 33 == 1 else "noise" if i % 10 == 3 else ""
+        w = prose(rnd, rnd.randrange(80, 200)).split()
+        w = [x + "%#" if kind == "symbols" else x + "20240613" if kind == "digits" else x for x in w]
+        docs.append((i, " ".join(w)))
+        marks.append((i, int(not kind or kind == "noise" and rnd.random() < 0.5), 0))
+    df, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in Q.quality_report(df, labels).collect() if not r["base_failed"]}
+    digits = [i for i in kept if i % 33 == 1 and i % 5]
+    clean = [i for i in kept if i % 5 and i % 33 != 1 and i % 10 != 3]
+    assert len(digits) > 15 and sum(kept[i] for i in digits) <= 1 and sum(kept[i] for i in clean) > 0.97 * len(clean)
+
+
+def test_two_opinions_count_as_bad(spark):
+    docs, labels = corpus(spark, 60)
+    both = labels.unionAll(labels.select("doc_id", (1 - labels["quality"]).alias("quality"), "toxic"))
+    assert all(r["kept"] != r["base_failed"] for r in Q.quality_report(docs, both).collect())  # all rows bad: no rules
+
+
 def test_rules_are_conditional_expressions(spark):
     rules = [Q.Rule((Q.Test("symbols_per_word", True, 0.5), Q.Test("n_words", False, 300.0)))]
     assert str(rules[0]) == "symbols_per_word > 0.5 and n_words <= 300"

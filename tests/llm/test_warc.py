@@ -82,6 +82,17 @@ def test_damaged_files_are_salvaged(spark, tmp_path):
     assert sum(r["stop"] - r["start"] for r in rows) == len(data)
 
 
+def test_gzip_files_read_alike(spark, tmp_path):
+    _, df = pages(spark)
+    seen = []
+    for kind in ("none", "gzip"):
+        path = f"file://{tmp_path}/{kind}"
+        W.write_warc(df, path, compression=kind)
+        assert any(x.name.endswith(".gz") for x in (tmp_path / kind).iterdir()) == (kind == "gzip")
+        seen.append(sorted((str(r["record_id"]), r["record_type"], r["payload_digest"]) for r in W.read_warc(spark, path).filter("problem IS NULL").collect()))
+    assert seen[0] == seen[1] and len(seen[0]) == df.count()
+
+
 def test_empty_table(spark):
     assert W.archived_pages(spark.createDataFrame([], PAGES)).count() == 0
 

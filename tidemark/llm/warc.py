@@ -41,11 +41,12 @@ def with_revisits(pages: DataFrame, *, id_column: str = "page_id", least: int =
     return found.withColumn("_refers", F.when(F.col("_keep") != F.coalesce(F.col(id_column), F.col("_keep") - 1), F.col("_keep"))).drop("_group", "_keep")
 
 
-def write_warc(pages: DataFrame, path: str, *, id_column: str = "page_id", least: int = LEAST_REVISIT, date: str = DATE) -> None:
-    """Write a record per page to WARC/1.1 files under ``path``.
+def write_warc(pages: DataFrame, path: str, *, id_column: str = "page_id", least: int = LEAST_REVISIT, date: str = DATE, compression: str = "none") -> None:
+    """Write a record per page to WARC/1.1 files under ``path``, plain or with ``compression="gzip"``.
 
     A record is one line of Spark's text writer, whose line separator is the record separator: the
-    files come by the writer's commit protocol, so a lost executor leaves no half archive.
+    files come by the writer's commit protocol, so a lost executor leaves no half archive. A gzip file
+    is one member; archives with a member for each record can be read, not written.
     """
     rows = with_revisits(pages.select(id_column, "url", "html"), id_column=id_column, least=least)
     revisit = F.col("_refers").isNotNull()
@@ -69,7 +70,7 @@ def write_warc(pages: DataFrame, path: str, *, id_column: str = "page_id", least
     )
     largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
     per_file = max(1, min(RECORDS_PER_FILE, FILE_BYTES // (largest + 1024)))
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
 
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
