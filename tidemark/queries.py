@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.anomalydetection import anomalydetection
 from tidemark.operators.filldown import filldown
 from tidemark.registry import call
+from tidemark.scratch import shared_path
+from tidemark.streaming.operators import filldown_stream, transactions_stream
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,6 +137,32 @@ def transaction_two_keys(spark, sf_dir):
     return out.select("user_id", "part", F.unix_micros("_time").alias("start_us"), F.array_join("_message", ">").alias("messages"), F.col("_event_count").alias("events"), F.col("_is_closed").alias("closed"))
 
 
+def _streamed(stream: DataFrame) -> DataFrame:
+    """What a stream gives over all that its source has now."""
+    spark = stream.sparkSession
+    out = shared_path(spark, "stream")
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def _event_stream(spark, sf_dir):
+    # A pattern: a stream's source is a folder or a pattern, and the table may be one file.
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+def stream_filldown(spark, sf_dir):
+    big = F.col("value") > 50
+    rows = _event_stream(spark, sf_dir).select("event_id", "user_id", F.when(big, F.col("value")).alias("value"), F.when(~big, F.col("event_type")).alias("other"))
+    return _streamed(filldown_stream(rows, "value, other", key="user_id", order_by="event_id"))
+
+
+def stream_transactions(spark, sf_dir):
+    rows = _event_stream(spark, sf_dir).select(F.unix_micros(F.col("ts").cast("timestamp")).alias("_time"), F.col("event_type").alias("_message"), F.col("user_id").cast("string").alias("user_id"))
+    done = _streamed(transactions_stream(rows, key="user_id", starts_with="view"))
+    return done.select("user_id", F.col("_time").alias("start_us"), F.array_join("_message", ">").alias("messages"), F.col("_duration").alias("duration"), F.col("_event_count").alias("events"), F.col("_is_closed").alias("closed"))
+
+
 def predict_hourly(algorithm: str, **named):
     def run(spark, sf_dir):
         hourly = table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp").alias("_time")).agg(F.sum("value").alias("total"))
@@ -181,6 +209,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "output_csv_status": output_csv_status,
         "output_csv_content": output_csv_content,
         "error_producer": error_message,
+        "stream_filldown": stream_filldown,
+        "stream_transactions": stream_transactions,
         "predict_llp5": predict_hourly("LLP5"),
         "predict_llt": predict_hourly("LLT"),
         "predict_llp": predict_hourly("LLP", period=24),
@@ -283,6 +313,8 @@ def oracle_sql() -> dict[str, str]:
 UNION ALL SELECT 2, r_regionkey, ',' || r_name || ',' || r_regionkey FROM region) SELECT row_number() OVER (ORDER BY part, k) AS line_no, line FROM l''',
         "error_producer": "SELECT true AS failed, 'error_producer always fails' AS message",
         "transaction_two_keys": f"WITH {_EVENTS}, p AS (SELECT *, (event_id % 3)::VARCHAR AS part FROM e), n AS (SELECT *, (row_number() OVER (PARTITION BY user_id, part ORDER BY t DESC) - 1) // 4 AS g FROM p) SELECT user_id, part, min(t) AS start_us, string_agg(m, '>' ORDER BY t) AS messages, count(*) AS events, count(*) = 4 AS closed FROM n GROUP BY user_id, part, g",
+        "stream_filldown": f"{_GAPPY} SELECT event_id, user_id, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in ("value", "other")) + " FROM g",
+        "stream_transactions": f"WITH {_EVENTS}, n AS (SELECT *, sum(CASE WHEN contains(m, 'view') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS g FROM e), l AS (SELECT *, max(g) OVER (PARTITION BY user_id) AS last FROM n) SELECT user_id, min(t) AS start_us, string_agg(m, '>' ORDER BY t) AS messages, (max(t) - min(t)) / 1e6 AS duration, count(*) AS events, max(g) > 0 AS closed FROM l WHERE g < last GROUP BY user_id, g",
         "count_column": "SELECT 'total_columns' AS metric, count(*) AS column_count FROM (SELECT unnest(range(0, (SELECT count(*) FROM (DESCRIBE customer)))))",
         "output_csv_status": "SELECT 'completed' AS status, count(*) AS rows_written FROM nation",
         "predict_times": "WITH h AS (SELECT event_type, date_trunc('hour', ts) AS t FROM events GROUP BY ALL), f AS (SELECT event_type, max(t) AS last, (list(t ORDER BY t))[1:2] AS two FROM h GROUP BY event_type) SELECT event_type, epoch_us(last) + i * (epoch_us(two[2]) - epoch_us(two[1])) AS time_us FROM f, range(1, 4) r(i)",
