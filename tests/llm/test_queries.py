@@ -23,4 +23,4 @@ def test_query(spark, name):
 
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))

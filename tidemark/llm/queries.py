@@ -74,6 +74,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality_net import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.importance import importance_resample
+
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.periodic import run_report
+
+    return run_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,6 +110,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_quality": op9_quality,
         "op10_ngram_join": op10_ngram_join,
+        "op11_quality_net": op11_quality_net,
+        "op12_importance": op12_importance,
+        "op13_periodic": op13_periodic,
         "pipeline": pipeline,
     }
 
@@ -164,5 +185,22 @@ k AS (SELECT r, sum(greatest(0, least(words, (SELECT sum(size) FROM d) - ahead))
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM q LEFT JOIN k ON q.r = k.r"""
 
 
+# The words of all texts and their CRC-32 by its definition: eight steps for a table of bytes, then one a byte.
+IMPORTANCE_SQL = r"""WITH RECURSIVE z(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM z WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS steps FROM z WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS w FROM benchmark),
+p AS (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY r, w),
+o AS (SELECT w, sum(n) AS s FROM p GROUP BY w), x AS (SELECT w, count(*) AS t FROM b GROUP BY w),
+h AS (SELECT w, hex(encode(w)) AS bytes FROM (SELECT w FROM o UNION SELECT w FROM x)),
+k AS (SELECT w, xor(list_reduce(list_transform(range(length(bytes) // 2), lambda i: ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT), lambda acc, v: xor(acc >> 8, steps[xor(acc & 255, v) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM h, crc),
+g AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM (SELECT w, s, 0 AS t FROM o UNION ALL SELECT w, 0, t FROM x) JOIN k USING (w) GROUP BY bucket),
+v AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM g) + 10000) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM g) + 10000))))::BIGINT AS gain FROM g),
+m AS (SELECT r, sum(n * gain)::BIGINT AS weight FROM p JOIN k USING (w) JOIN v USING (bucket) GROUP BY r),
+q AS (SELECT doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN m USING (r)),
+n AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id, n_features) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS able FROM q)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": _secret_sql(), "op4_licenses": _license_sql(), "op6_exact_dedup": EXACT_SQL, "op7_warc": WARC_SQL, "op8_mixing": MIX_SQL}
+    return {"op2_secrets": _secret_sql(), "op4_licenses": _license_sql(), "op6_exact_dedup": EXACT_SQL, "op7_warc": WARC_SQL, "op8_mixing": MIX_SQL, "op12_importance": IMPORTANCE_SQL}
