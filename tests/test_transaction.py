@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.transaction import Params, replay, span_micros, transaction
+from replay import replay
+
+from tidemark.operators.transaction import Params, span_micros, transaction
 
 MINUTE = 60_000_000
 
