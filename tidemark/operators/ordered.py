@@ -132,5 +132,6 @@ def reached(roots: DataFrame, links: DataFrame) -> DataFrame:
         doubled.append(g)
     found = roots.select("no")
     for f in reversed(doubled):
-        found = written(found.unionAll(found.join(f, F.col("no") == F.col("x")).select("y")), "heads")
+        both = F.array_compact(F.array("no", "y"))
+        found = found.join(f, F.col("no") == F.col("x"), "left").select(F.explode(both).alias("no"))
     return found
