@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force, each on what its predecessor kept."""
 
+import hashlib
 import os
 import random
 import sys
@@ -7,6 +8,7 @@ from collections import Counter
 
 import public_tokenizers
 from helpers import BLANK, awkward_rows, prose, words
+from pyspark.sql import functions as F
 from test_mixing import brute as mix
 from test_ngram_join import brute
 from tokenizers import Tokenizer
@@ -24,6 +26,38 @@ def mixed(rows):
     return Counter({d: -(-n // size[d]) for (d, _, _), n in taken.items() if n})
 
 
+def mix_order(rows):
+    """doc_ids of the mix by finish time: whole copies, the words of a source served one after the other."""
+    size = {r["doc_id"]: len(words(r["text"])) for r in rows}
+    source = {r["doc_id"]: r["source"] for r in rows}
+    taken, want = mix([(d, source[d], size[d]) for d in size])
+    out, total = [], Counter()
+    for d in size:
+        total[source[d]] += size[d]
+    for s in total:
+        at = 0
+        for d in sorted((d for d in size if source[d] == s), key=lambda d: hashlib.md5(str(d).encode()).hexdigest()):
+            at += size[d]
+            times = -(-taken[d, s, size[d]] // size[d]) if size[d] else 0
+            out += [((at + e * total[s]) / want[s], d) for e in range(times)]
+    return [d for _, d in sorted(out)]
+
+
+def test_order_survives_files_of_any_size(spark, tmp_path):
+    """Files are read by size; ranks follow their numbers. Streams are stretches of the order."""
+    rows = [(i, "w " * (1 + (i * 37) % 90), "k") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _rank string").coalesce(1)
+    path = f"file://{tmp_path}/order"
+    df.repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.option("maxRecordsPerFile", 30).parquet(path)
+    for source in (spark.read.parquet(path), df):
+        placed, rank = C.ranked(source)
+        assert rank == "_rank_" and [(r["doc_id"], r["doc_id"]) for r in placed.collect()] == [(r["doc_id"], r[rank]) for r in placed.collect()]
+    placed, rank = C.ranked(spark.read.parquet(path))
+    pieces = C.pack_documents(placed, public_tokenizers.path(C.TOKENIZER), stream_docs=100, rank=F.col(rank)).collect()
+    stream = {p["doc_id"]: p["sequence_id"] >> 32 & 0xFFFF for p in pieces}
+    assert [stream[i] for i in range(500)] == [i // 100 for i in range(500)]
+
+
 def test_stages(spark):
     stages = dict(C.STAGES)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -51,6 +85,10 @@ def test_stages(spark):
     copies = mixed(rows)
     in_order, rows = after("mixing", near)
     assert Counter(r["doc_id"] for r in rows) == copies
+    placed, rank = C.ranked(in_order)
+    got = [(r["doc_id"], r[rank]) for r in placed.collect()]
+    assert sorted(r for _, r in got) == list(range(len(rows)))
+    assert [d for d, _ in sorted(got, key=lambda x: x[1])] == mix_order(near.collect())
     packed = stages["packing"](spark, in_order, SF).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path(C.TOKENIZER))
     assert sum(r["length"] for r in packed) == sum(len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1 for r in rows)

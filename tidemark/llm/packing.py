@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
@@ -217,9 +217,9 @@ def fill_open(left: list[list[tuple]], window: int = WINDOW) -> list[list[tuple]
     return out + cut_rest([spare], window)
 
 
-def _encoded(rows: DataFrame, tokenizer_path: str, streams: int, window: int, end_id: int) -> DataFrame:
+def _encoded(rows: DataFrame, tokenizer_path: str, streams: int, window: int, end_id: int, per_stream: int | None = None) -> DataFrame:
     """(doc_id, text) -> a row per full window of a document, a sequence of its own, and one per tail with
-    its ids and with the stream it is dealt to."""
+    its ids and with the stream it is dealt to: in turn or, if a rank follows the text, ``per_stream`` ranks each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordIds(tokenizer_path)
@@ -227,13 +227,15 @@ def _encoded(rows: DataFrame, tokenizer_path: str, streams: int, window: int, en
         n_docs = n_seq = 0
         for batch in batches:
             kind, ids_of, texts = batch.schema.field(0).type, batch.column(0).to_pylist(), batch.column(1)
+            ranks = batch.column(2).to_pylist() if per_stream else None
             for lo, hi in _slices(texts, BATCH_CHARS):
                 ids, counts = encode(texts.slice(lo, hi - lo).to_pylist())
                 at, out = 0, []
                 for k, n in enumerate(counts):
                     all_ids = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
                     at, total = at + n, len(all_ids)
-                    deal = ((partition * 40503 + n_docs) % streams, partition << 32 | n_docs, ids_of[lo + k])
+                    deal = (ranks[lo + k] // per_stream, ranks[lo + k]) if ranks else ((partition * 40503 + n_docs) % streams, partition << 32 | n_docs)
+                    deal = (*deal, ids_of[lo + k])
                     for start in range(0, total, window):
                         piece = all_ids[start : start + window].tobytes()
                         full = len(piece) == 4 * window
@@ -247,7 +249,7 @@ def _encoded(rows: DataFrame, tokenizer_path: str, streams: int, window: int, en
     return rows.mapInArrow(work, f"stream int, number bigint, doc_id {kind}, " + ", ".join(f"{x} bigint" for x in PIECE[1:-1]) + ", ids binary")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, end_id: int = END_ID, stream_docs: int = STREAM_DOCS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, end_id: int = END_ID, stream_docs: int = STREAM_DOCS, rank: Column | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Documents are tokenised where they lie; a document's full windows are sequences of their own. Its
@@ -256,14 +258,19 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_column: str = "do
     windows are taken apart to fill the others (see fill_open()), so that no sequence is padded; the
     longer the streams, the smaller that share. A task holds the ids of its stream's open windows.
 
+    With ``rank``, whole numbers from 0 that tell the documents' order, a stream is a stretch of that
+    order and takes its documents in it; sequence ids go up with the streams.
+
     A null or empty text is its end id alone; a very long text is many full windows and one tail; of
     levels that are equally good the fullest is taken; repeated rows are documents of their own; an
     empty table gives no rows; other columns are not read, so none can clash. The id column keeps its
     type. The tokenizer is read in each task from ``tokenizer_path``, which every executor has.
     """
-    rows = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
-    streams = min(MAX_STREAMS, max(1, -(-docs.count() // stream_docs)))
-    dealt = _encoded(rows, tokenizer_path, streams, window, end_id).repartition(streams, "stream").sortWithinPartitions("stream", "number")
+    rows = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"), *([] if rank is None else [rank.cast("bigint").alias("rank")]))
+    n_docs = docs.count()
+    streams = min(MAX_STREAMS, max(1, -(-n_docs // stream_docs)))
+    per_stream = None if rank is None else max(1, -(-n_docs // streams))
+    dealt = _encoded(rows, tokenizer_path, streams, window, end_id, per_stream).repartition(streams, "stream").sortWithinPartitions("stream", "number")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, packer, held, n_seq = None, LevelPacker(window), {}, 0
