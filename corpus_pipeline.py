@@ -7,7 +7,8 @@ read again as the next stage's docs. All but the last return the columns of docu
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
@@ -70,13 +71,35 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.withColumn(finish, F.col(first) + F.col(epoch) * F.col(lap)).orderBy(finish, "doc_id").drop(id_, times, first, lap, epoch, finish)
 
 
+def ranked(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with their rank, from 0, in the order in which they were written, and that column's name.
+
+    Spark writes a sorted table as numbered files in order, but reads files by size. Where the rows
+    come from files, their rank is the rows of all files with lower numbers and their place in their own; else it
+    is their place in ``docs`` as it stands.
+    """
+    (rank, file, at, ahead, rows) = fresh(docs, "_rank", "_file", "_at", "_ahead", "_rows")
+    try:
+        placed = docs.select("*", F.struct(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("bigint"), F.regexp_extract("_metadata.file_name", r"-c(\d+)", 1).cast("bigint"), "_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(at))
+        sums = placed.groupBy(file).agg(F.count("*").alias(rows))
+    except AnalysisException:  # no rows of files
+        placed = docs.select("*", F.struct(F.spark_partition_id()).alias(file), (F.monotonically_increasing_id() % (1 << 33)).alias(at))
+        sums = placed.groupBy(file).agg(F.count("*").alias(rows))
+    # A row for each file.
+    before = F.coalesce(F.sum(rows).over(Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(F.col(file).alias(rows), before.alias(ahead))
+    return placed.join(offsets, F.col(file) == F.col(rows)).withColumn(rank, F.col(ahead) + F.col(at)).drop(file, at, ahead, rows), rank
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows without padding, a row per piece; see pack_documents() for the columns.
+    """Token windows without padding, a row per piece; see pack_documents() for the columns. The documents are
+    packed in the order of the mix: a stretch of it after the other.
 
     Null and empty texts are their end id alone; very long texts are many windows; repeated rows are
     documents of their own; an empty table has no pieces; other columns are not read.
     """
-    return pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    placed, rank = ranked(docs)
+    return pack_documents(placed, public_tokenizers.path(TOKENIZER), rank=F.col(rank))
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("ngram_join", ngram_join), ("mixing", mixing), ("packing", packing)]
