@@ -252,20 +252,37 @@ def test_streams(spark, tmp_path):
     assert len(run(addtotals(stream()), "s_add")) == 6
 
 
-def test_output_csv_parts_are_shared_and_checked(spark, tmp_path, monkeypatch):
-    """Parts lie in the shared folder, not beside the target; lost ones raise."""
+def test_output_csv_keeps_the_old_file_when_anything_fails(spark, tmp_path, monkeypatch):
     from tidemark.sources import output_csv as O
 
-    df = spark.createDataFrame([(1, "a\nb"), (2, "ü")], "n int, z string")
-    join, seen = O._join, []
-
-    def spy(session, parts, target):
-        seen.extend([parts, sorted(x.name for x in target.parent.iterdir())])
-        join(session, parts, target)
+    path = tmp_path / "x.csv"
+    df = spark.createDataFrame([(i, "a\nb" if i % 2 else "ü") for i in range(50)], "n int, z string").repartitionByRange(5, "n").sortWithinPartitions("n")
+    monkeypatch.setattr(O, "CHUNK_BYTES", 7)  # parts are copied in many pieces
+    assert rows(O.output_csv(df, str(path))) == [(str(path), "completed", 50)]
+    good = path.read_bytes()
+    assert good.decode() == "n,z\n" + "".join(f'{i},"a\nb"\n' if i % 2 else f"{i},ü\n" for i in range(50))
+    failing = df.withColumn("z", F.when(F.col("n") == 33, F.raise_error("no")).otherwise(F.col("z")))
+    for append in (False, True):
+        with pytest.raises(Exception, match="no"):
+            O.output_csv(failing, str(path), append=append)
+        monkeypatch.setattr(O, "COPY_BYTES", 0)  # copies nothing
+        with pytest.raises(OSError, match="reached"):
+            O.output_csv(df, str(path), append=append)
+        monkeypatch.setattr(O, "COPY_BYTES", 5)
+        assert path.read_bytes() == good and [x.name for x in tmp_path.iterdir()] == ["x.csv"]
+    O.output_csv(df, str(path), append=True)
+    assert path.read_bytes() == good + good[4:]
+
+
+def test_output_csv_lists_only_committed_parts(tmp_path):
+    """What failed attempts and lost races left is not in the manifest; abort removes all."""
+    from tidemark.sources import output_csv as O
 
-    monkeypatch.setattr(O, "_join", spy)
-    assert rows(O.output_csv(df, str(tmp_path / "x.csv"))) == [(str(tmp_path / "x.csv"), "completed", 2)]
-    assert seen[0].startswith(spark.conf.get("spark.checkpoint.dir")) and seen[1] == ["x.csv"]
-    monkeypatch.setattr(O, "_join", lambda *_: None)
-    with pytest.raises(OSError):
-        O.output_csv(df, str(tmp_path / "y.csv"))
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    (folder / "0-stale").write_text("stale")
+    writer = O.LineWriter(str(folder))
+    writer.commit([O.Part(1, "b", 2, 3), None, O.Part(0, "a", 1, 2)])
+    assert (folder / "parts.json").read_text() == '[["a", 1, 2], ["b", 2, 3]]'
+    writer.abort([])
+    assert not folder.exists()

@@ -98,24 +98,24 @@ def count_columns(spark, sf_dir):
     return call("count_column", table(spark, sf_dir, "customer"))
 
 
-def output_csv_status(spark, sf_dir):
-    import tempfile
+def _shared_folder(spark) -> str:
+    """A folder that driver and executors share, as a plain path."""
+    return shared_path(spark, "csv").removeprefix("file://").removeprefix("file:")
+
 
-    return call("output_csv", table(spark, sf_dir, "nation"), [f"{tempfile.mkdtemp()}/nation.csv"]).select("status", "rows_written")
+def output_csv_status(spark, sf_dir):
+    return call("output_csv", table(spark, sf_dir, "nation"), [f"{_shared_folder(spark)}/nation.csv"]).select("status", "rows_written")
 
 
 def output_csv_content(spark, sf_dir):
     """The file's lines after a first write and an append whose columns differ: one is missing, one is dropped."""
-    import tempfile
-
-    target = f"{tempfile.mkdtemp()}/places.csv"
+    target = f"{_shared_folder(spark)}/places.csv"
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.col("n_name"), F.lit(', "n"')).alias("name"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey")).alias("region"))
     call("output_csv", nation, [target], order_by=["n_nationkey"]).count()
     region = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("region"), F.lit(1).alias("other"))
     call("output_csv", region, [target], {"append": True}, order_by=["region"]).count()
-    with open(target, encoding="utf-8") as f:
-        lines = f.read().splitlines()  # thirty lines
-    return spark.createDataFrame(list(enumerate(lines, 1)), "line_no bigint, line string")
+    lines = spark.read.text(target, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("at", "line"))
+    return lines.select((F.col("at") + 1).cast("bigint").alias("line_no"), "line")
 
 
 def error_message(spark, sf_dir):
