@@ -15,6 +15,7 @@ from tidemark.operators.filldown import filldown
 from tidemark.registry import call
 from tidemark.scratch import shared_path
 from tidemark.streaming.operators import filldown_stream, transactions_stream
+from tidemark.streaming.spans import late_rows, transactions_by_span
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,6 +164,37 @@ def stream_transactions(spark, sf_dir):
     return done.select("user_id", F.col("_time").alias("start_us"), F.array_join("_message", ">").alias("messages"), F.col("_duration").alias("duration"), F.col("_event_count").alias("events"), F.col("_is_closed").alias("closed"))
 
 
+_BATCHES, _LATE_BY = 3, 2 * 86_400_000_000
+
+
+def _spans_of_batches(late: bool):
+    """Events arrive in batches by time, with ``late`` one in seven two days behind; after each the stream
+    is started again from its checkpoint. Closed groups and, in one row, the number of late events."""
+
+    def run(spark, sf_dir):
+        rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_time"), F.col("event_type").alias("_message"))
+        arrival = F.col("_time") + (F.when(F.col("event_id") % 7 == 3, _LATE_BY).otherwise(0) if late else 0)
+        rows = rows.withColumn("arrival", arrival)
+        lo, hi = rows.agg(F.min("arrival"), F.max("arrival")).first()
+        source, out, progress = (shared_path(spark, n) for n in ("arrivals", "stream", "progress"))
+        n_late = 0
+        for k in range(_BATCHES):
+            batch = rows.filter(F.floor((F.col("arrival") - lo) * _BATCHES / (hi - lo + 1)) == k).select("user_id", "_time", "_message")
+            batch.write.mode("append").parquet(source)
+            groups = transactions_by_span(spark.readStream.schema(batch.schema).parquet(source), key="user_id", max_span="6h", delay="1 hour")
+            query = groups.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start()
+            query.awaitTermination()
+            n_late += late_rows(query)
+        found = spark.read.schema(groups.schema).parquet(out)
+        closed = found.filter("NOT _late").select("user_id", F.col("_time").alias("start_us"), F.array_join("_message", ">").alias("messages"), F.col("_duration").alias("duration"), F.col("_event_count").alias("events"))
+        if not late:
+            return closed
+        none = F.lit(None)
+        return closed.unionAll(found.filter("_late").agg((F.count("*") + n_late).alias("n")).select(none.cast("string"), none.cast("bigint"), F.lit("late"), none.cast("double"), "n"))
+
+    return run
+
+
 def predict_hourly(algorithm: str, **named):
     def run(spark, sf_dir):
         hourly = table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp").alias("_time")).agg(F.sum("value").alias("total"))
@@ -211,6 +243,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "error_producer": error_message,
         "stream_filldown": stream_filldown,
         "stream_transactions": stream_transactions,
+        "stream_spans": _spans_of_batches(False),
+        "stream_late": _spans_of_batches(True),
         "predict_llp5": predict_hourly("LLP5"),
         "predict_llt": predict_hourly("LLT"),
         "predict_llp": predict_hourly("LLP", period=24),
@@ -239,6 +273,19 @@ SELECT user_id, min(d.t) AS start_us, string_agg(m, '>' ORDER BY d.t) AS message
 (EXISTS (SELECT 1 FROM heads h WHERE h.user_id = d.user_id AND h.head < d.g) OR (SELECT t FROM last) < d.g - {span} OR max(d.t) - min(d.t) >= {span}) AS closed, string_agg(event_id::VARCHAR, ',' ORDER BY event_id::VARCHAR) AS ids FROM d GROUP BY user_id, g"""
 
 
+def _stream_span_sql(late: bool) -> str:
+    """Groups from the oldest event on, of events that are not behind the watermark of the batches before theirs."""
+    span, hour = 6 * 3600 * 1_000_000, 3_600_000
+    arrival = f"t + CASE WHEN event_id % 7 = 3 THEN {_LATE_BY} ELSE 0 END" if late else "t"
+    total = " UNION ALL SELECT NULL, NULL, 'late', NULL, count(*) FILTER (NOT ok) FROM o" if late else ""
+    return f"""WITH RECURSIVE {_EVENTS}, a AS (SELECT *, {arrival} AS arrival FROM e), b AS (SELECT *, ((arrival - min(arrival) OVER ()) * {_BATCHES}) // (max(arrival) OVER () - min(arrival) OVER () + 1) AS batch FROM a),
+w AS (SELECT batch, max(max(t // 1000)) OVER (ORDER BY batch) - {hour} AS mark FROM b GROUP BY batch),
+o AS (SELECT b.*, t > coalesce((SELECT max(mark) FROM w WHERE w.batch < b.batch), 0) * 1000 AS ok FROM b), g AS (SELECT * FROM o WHERE ok),
+h AS (SELECT user_id, min(t) AS head FROM g GROUP BY user_id UNION ALL SELECT h.user_id, (SELECT min(t) FROM g WHERE g.user_id = h.user_id AND g.t > h.head + {span}) FROM h WHERE EXISTS (SELECT 1 FROM g WHERE g.user_id = h.user_id AND g.t > h.head + {span})),
+d AS (SELECT g.*, (SELECT max(head) FROM h WHERE h.user_id = g.user_id AND head <= g.t) AS head FROM g)
+SELECT user_id, min(t) AS start_us, string_agg(m, '>' ORDER BY t) AS messages, (max(t) - min(t)) / 1e6 AS duration, count(*) AS events FROM d WHERE head + {span} < (SELECT max(mark) FROM w) * 1000 GROUP BY user_id, head{total}"""
+
+
 def _bracket_sql() -> str:
     """Each user's events, newest first, one step a row: open ends on a stack, else one waiting group."""
     return f"""WITH RECURSIVE {_EVENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC) AS n, contains(m, 'view') AS s, contains(m, 'purchase') AS x FROM e),
@@ -315,6 +362,8 @@ UNION ALL SELECT 2, r_regionkey, ',' || r_name || ',' || r_regionkey FROM region
         "transaction_two_keys": f"WITH {_EVENTS}, p AS (SELECT *, (event_id % 3)::VARCHAR AS part FROM e), n AS (SELECT *, (row_number() OVER (PARTITION BY user_id, part ORDER BY t DESC) - 1) // 4 AS g FROM p) SELECT user_id, part, min(t) AS start_us, string_agg(m, '>' ORDER BY t) AS messages, count(*) AS events, count(*) = 4 AS closed FROM n GROUP BY user_id, part, g",
         "stream_filldown": f"{_GAPPY} SELECT event_id, user_id, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in ("value", "other")) + " FROM g",
         "stream_transactions": f"WITH {_EVENTS}, n AS (SELECT *, sum(CASE WHEN contains(m, 'view') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS g FROM e), l AS (SELECT *, max(g) OVER (PARTITION BY user_id) AS last FROM n) SELECT user_id, min(t) AS start_us, string_agg(m, '>' ORDER BY t) AS messages, (max(t) - min(t)) / 1e6 AS duration, count(*) AS events, max(g) > 0 AS closed FROM l WHERE g < last GROUP BY user_id, g",
+        "stream_spans": _stream_span_sql(False),
+        "stream_late": _stream_span_sql(True),
         "count_column": "SELECT 'total_columns' AS metric, count(*) AS column_count FROM (SELECT unnest(range(0, (SELECT count(*) FROM (DESCRIBE customer)))))",
         "output_csv_status": "SELECT 'completed' AS status, count(*) AS rows_written FROM nation",
         "predict_times": "WITH h AS (SELECT event_type, date_trunc('hour', ts) AS t FROM events GROUP BY ALL), f AS (SELECT event_type, max(t) AS last, (list(t ORDER BY t))[1:2] AS two FROM h GROUP BY event_type) SELECT event_type, epoch_us(last) + i * (epoch_us(two[2]) - epoch_us(two[1])) AS time_us FROM f, range(1, 4) r(i)",
