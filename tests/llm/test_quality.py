@@ -87,3 +87,31 @@ def test_empty_and_unlabelled(spark):
     assert Q.quality_report(empty(spark), labels).count() == 0
     got = Q.quality_report(awkward(spark), labels.limit(0)).collect()
     assert len(got) == awkward(spark).count() and all(r["kept"] != r["base_failed"] for r in got)
+
+
+def test_verdicts_by_brute_force(spark):
+    """The rules applied in Python to counts taken in Python, over rows the rules were not learned from too."""
+    docs, labels = corpus(spark)
+    stats = Q.text_statistics(docs).join(labels.select("doc_id", (1 - labels["quality"]).cast("long").alias("bad")), "doc_id").selectExpr("*", "doc_id % 3 != 0 AS grow")
+    rules = Q.learn_rules(stats.filter("doc_id < 300"))
+    assert rules and all(len({(t.feature, t.above) for t in r.tests}) == len(r.tests) <= Q.MAX_TESTS for r in rules)
+
+    def values(text):
+        w = words(text)
+        n, chars, symbols, dup, repeat = brute(text)
+        lines = [x for x in text.split("\n") if words(x)]
+        share = lambda a, b: a / b if b else 0.0
+        return {"n_words": n, "mean_word": share(chars, n), "symbols_per_word": share(symbols, n), "dup_line_share": share(dup, len(lines)), "repeat_share": share(repeat, n), "distinct_share": share(len(set(w)), n), "upper_share": share(sum("A" <= c <= "Z" for c in text), chars), "digit_share": share(sum("0" <= c <= "9" for c in text), chars), "short_share": share(sum(len(x) <= 3 for x in w), n), "line_words": share(n, len(lines))}
+
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(1000 + i, r[1] or "") for i, r in enumerate(awkward_rows())]
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in Q.with_verdict(Q.text_statistics(spark.createDataFrame(texts, "doc_id long, text string")), rules).collect()}
+    for i, text in texts:
+        x = values(text)
+        bad = any(all(x[t.feature] > t.cut if t.above else x[t.feature] <= t.cut for t in r.tests) for r in rules)
+        failed = x["n_words"] < 50 or 100 * brute(text)[4] > 50 * x["n_words"]
+        assert got[i] == (failed, not failed and not bad)
+
+
+def test_tests_of_one_side_are_merged():
+    t = Q.Test
+    assert Q.merged((t("a", False, 0.5), t("b", True, 1.0), t("a", False, 0.2), t("b", True, 3.0), t("a", True, 0.1))) == (t("a", False, 0.2), t("b", True, 3.0), t("a", True, 0.1))

@@ -12,11 +12,11 @@ from tidemark.llm.common import text_of, words_of
 from tidemark.scratch import written
 
 #: What the rules may test; all are ratios or counts that a reader can check by hand.
-FEATURES = ("n_words", "mean_word", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share", "upper_share", "digit_share", "stop_share", "line_words")
+FEATURES = ("n_words", "mean_word", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share", "upper_share", "digit_share", "short_share", "line_words")
 #: Characters of each count.
 SYMBOLS, UPPER, DIGITS = "[#*$%&|<>]", "[A-Z]", "[0-9]"
-#: Frequent function words of the languages at hand.
-STOP_WORDS = ("the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "de", "la", "le", "et", "les", "des", "un", "une", "que", "en", "el", "los", "y", "se", "der", "die", "das", "und", "den", "von", "zu", "mit")
+#: A word of so many characters is short.
+SHORT = 3
 #: A rule cuts at so many quantiles of the rows that are not covered yet, and of the bad ones among them.
 CUTS, BAD_CUTS = 15, 31
 MAX_RULES = 64
@@ -41,7 +41,6 @@ def text_statistics(docs: DataFrame, keep=("doc_id",), text_column: str = "text"
     x = F.col("_x")
     n = F.size(x)
     windows = F.when(n >= 3, F.transform(F.slice(x, F.lit(1), n - 2), lambda h, i: F.xxhash64(h, F.get(x, i + 1), F.get(x, i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    stop = [F.xxhash64(F.lit(v)) for word in STOP_WORDS for v in (word, word.capitalize())]
     count = lambda kind: F.regexp_count(text, F.lit(kind)).cast("long")
     a = a.select(
         *keep,
@@ -53,7 +52,7 @@ def text_statistics(docs: DataFrame, keep=("doc_id",), text_column: str = "text"
         F.size(F.array_distinct(x)).cast("long").alias("n_distinct"),
         count(UPPER).alias("n_upper"),
         count(DIGITS).alias("n_digits"),
-        F.size(F.filter(x, lambda h: h.isin(stop))).cast("long").alias("n_stop"),
+        F.size(F.filter(w, lambda v: F.length(v) <= SHORT)).cast("long").alias("n_short"),
         windows.alias("_h"),
     )
     stats = [c for c in a.columns if c not in (*keep, "_h")]
@@ -83,7 +82,7 @@ def feature(name: str) -> Column:
         "distinct_share": share("n_distinct", "n_words"),
         "upper_share": share("n_upper", "word_chars"),
         "digit_share": share("n_digits", "word_chars"),
-        "stop_share": share("n_stop", "n_words"),
+        "short_share": share("n_short", "n_words"),
         "line_words": share("n_words", "n_lines"),
     }[name]
 
@@ -117,6 +116,15 @@ class Rule:
         return " and ".join(map(str, self.tests))
 
 
+def merged(tests: tuple[Test, ...]) -> tuple[Test, ...]:
+    """One test for each feature and side, the tightest, where the first of them stands."""
+    out: dict[tuple[str, bool], Test] = {}
+    for t in tests:
+        old = out.get((t.feature, t.above))
+        out[t.feature, t.above] = t if old is None else Test(t.feature, t.above, (max if t.above else min)(old.cut, t.cut))
+    return tuple(out.values())
+
+
 def is_bad(rules: list[Rule], value=feature) -> Column:
     """The ordered list as one conditional expression; the first rule that holds decides."""
     if not rules:
@@ -138,24 +146,23 @@ class _Grower:
     """Grows conjunctions on the rows that no rule covers yet; ``growing`` has the features as columns."""
 
     def __init__(self, growing: DataFrame, cuts: int, bad_cuts: int, max_tests: int):
-        self.growing, self.max_tests = growing, max_tests
+        self.max_tests = max_tests
         share = lambda n: [i / (n + 1) for i in range(1, n + 1)]
         points = growing.agg(*[F.percentile_approx(f, share(cuts), 10000).alias(f"all_{f}") for f in FEATURES], *[F.percentile_approx(F.when(F.col("bad") == 1, F.col(f)), share(bad_cuts), 10000).alias(f"bad_{f}") for f in FEATURES]).first()
-        self.edges = {f: sorted({*(points[f"all_{f}"] or []), *(points[f"bad_{f}"] or [])}) for f in FEATURES}
+        edges = {f: sorted({*(points[f"all_{f}"] or []), *(points[f"bad_{f}"] or [])}) for f in FEATURES}
+
+        def bin_of(f: str) -> Column:
+            return F.size(F.filter(F.lit(edges[f]).cast("array<double>"), lambda cut: cut < F.col(f))).cast("int") if edges[f] else F.lit(0)
+
+        # Bin b of a feature is above b of its cuts. Each step then filters and counts what is here.
+        each = F.array(*[F.struct(F.lit(k).alias("f"), bin_of(f).alias("bin"), F.col(f).alias("value")) for k, f in enumerate(FEATURES)])
+        self.binned = written(growing.select("bad", *FEATURES, each.alias("each")), "binned")
         self.first = self._counts(())
         self.bad = self._totals(self.first)[0]
 
     def _counts(self, tests: tuple[Test, ...]) -> list:
-        """Of the rows that pass the tests: (feature, bin) -> bad rows, rows, least and largest value. Bin b is above b of the cuts."""
-
-        def bin_of(f: str) -> Column:
-            out = F.lit(0)
-            for cut in self.edges[f]:
-                out = out + (F.col(f) > cut).cast("int")
-            return out
-
-        each = F.explode(F.array(*[F.struct(F.lit(k).alias("f"), bin_of(f).alias("bin"), F.col(f).alias("value")) for k, f in enumerate(FEATURES)]))
-        rows = self.growing.filter(Rule(tests).column(F.col)).select("bad", each.alias("x")).groupBy("x.f", "x.bin")
+        """Of the rows that pass the tests: (feature, bin) -> bad rows, rows, least and largest value."""
+        rows = self.binned.filter(Rule(tests).column(F.col)).select("bad", F.explode("each").alias("x")).groupBy("x.f", "x.bin")
         return rows.agg(F.sum("bad").alias("p"), F.count("*").alias("n"), F.min("x.value").alias("low"), F.max("x.value").alias("high")).collect()
 
     @staticmethod
@@ -183,12 +190,14 @@ class _Grower:
     def grow(self, least: float, banned: set) -> tuple[tuple[Test, ...], float]:
         """Tests, and their precision on these rows; no first test is one of the banned (feature, side) pairs."""
         tests, precision, rows = (), 0.0, self.first
-        while len(tests) < self.max_tests:
+        for _ in range(2 * self.max_tests):  # a cut may be tightened later
+            if len(merged(tests)) >= self.max_tests:
+                break
             test, p, n = self._best(rows, least, set() if tests else banned)
             if test is None:
                 break
             tests, precision = (*tests, test), p / (p + n)
-            rows = self._counts(tests) if len(tests) < self.max_tests and n else []
+            rows = self._counts(tests) if len(merged(tests)) < self.max_tests and n else []
         return tests, precision
 
 
@@ -227,7 +236,7 @@ def _pruned(tests: tuple[Test, ...], rows: DataFrame) -> Rule | None:
     held = rows.agg(*[F.count(F.when(c, F.lit(1))).alias(f"n{i}") for i, c in enumerate(passed)], *[F.coalesce(F.sum(F.when(c, F.col("bad"))), F.lit(0)).alias(f"p{i}") for i, c in enumerate(passed)]).first()
     worth = [(held[f"p{i}"] + 1) / (held[f"n{i}"] + 2) for i in range(len(tests))]
     keep = max(range(len(tests)), key=lambda i: (round(worth[i], 3), -i))
-    return Rule(tests[: keep + 1]) if worth[keep] >= MIN_PRECISION else None
+    return Rule(merged(tests[: keep + 1])) if worth[keep] >= MIN_PRECISION else None
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, *, text_column: str = "text") -> DataFrame:
