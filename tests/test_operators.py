@@ -44,26 +44,32 @@ def test_filldown(spark):
     assert [r["v"] for r in call("filldown", texts, order_by=["k"]).orderBy("k").collect()] == [None, "x", "x"]
 
 
-def test_filldown_over_many_stretches(spark, monkeypatch):
+def test_filldown_over_many_ranges(spark, monkeypatch):
     from tidemark.operators import filldown as module
-
-    monkeypatch.setattr(module, "STRETCH_ROWS", 50)
-    df = spark.range(3000).select(F.col("id").cast("int").alias("t"), F.when(F.col("id") % 701 == 5, F.col("id")).alias("v"))
-    got = [r["v"] for r in call("filldown", df, order_by=["t"]).orderBy("t").collect()]
-    last, want = None, []
-    for i in range(3000):
-        last = i if i % 701 == 5 else last
-        want.append(last)
-    assert got == want
-    monkeypatch.setattr(module, "CUTS", 7)  # cuts in lots
-    assert [r["v"] for r in call("filldown", df, order_by=["t"]).orderBy("t").collect()] == want
+    from tidemark.operators import ordered
+
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 50)
+    monkeypatch.setattr(module, "WINDOW_ROWS", 50)
+    monkeypatch.setattr(module, "KEY_ROWS", 50)
+    # Texts as the order, half of them one value; a key that is null for a third of the rows.
+    df = spark.range(1500).select(F.col("id"), F.when(F.col("id") % 2 == 0, "m").otherwise(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 5, "0"))).alias("t"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("key"), F.when(F.col("id") % 101 == 5, F.col("id")).alias("v"), F.when(F.col("id") % 211 == 9, F.array("id")).alias("w"))
+    rows = sorted(((("m" if i % 2 == 0 else f"k{i:05d}"), i) for i in range(1500)))
+    for keys in ([], ["key"]):
+        last, want = {}, {}
+        for _, i in rows:
+            at = (i % 3 or None) if keys else 0
+            v, w = last.get(at, (None, None))
+            last[at] = (i if i % 101 == 5 else v, [i] if i % 211 == 9 else w)
+            want[i] = last[at]
+        got = call("filldown", df, ["v,w"], order_by=["t", "id"], partition_by=keys)
+        assert got.columns == df.columns and {r["id"]: (r["v"], r["w"]) for r in got.collect()} == want
 
 
 def test_columns_of_any_name(spark, monkeypatch):
     from tidemark.operators import filldown as module
 
-    monkeypatch.setattr(module, "STRETCH_ROWS", 50)
-    names = ["_stretch", "_of", "_end_0", "_ahead_0", "_t0", "_k0", "_j0", "_f0", "_lp", "_key", "_freq", "n", "range", "value"]
+    monkeypatch.setattr(module, "WINDOW_ROWS", 50)
+    names = ["_part", "_no", "c0", "f0", "_stretch", "_of", "_end_0", "_ahead_0", "_t0", "_k0", "_j0", "_f0", "_lp", "_key", "_freq", "n", "range", "value"]
     df = spark.range(400).select("id", F.when(F.col("id") % 90 == 5, F.col("id")).alias("v"), *[F.concat(F.lit(c), F.col("id") % 3).alias(c) for c in names])
     got = call("filldown", df, ["v"], order_by=["id"])
     assert got.columns == df.columns and [r["_stretch"] for r in got.orderBy("id").limit(3).collect()] == ["_stretch0", "_stretch1", "_stretch2"]

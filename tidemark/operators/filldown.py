@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.args import names_of
-from tidemark.scratch import fresh
+from tidemark.operators import ordered
 
-#: Stretches of the global order that are filled apart: one per so many rows (longer ones beyond the most).
-STRETCH_ROWS, STRETCHES = 200_000, 20_000
-#: Cuts that are searched by halving in one expression; more are searched in lots of so many.
-CUTS = 128
-_RANGED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)
+#: Rows of one key, or of a table without keys, that are filled in one window.
+WINDOW_ROWS, KEY_ROWS = 200_000, 5_000_000
 
 
 def matching(columns: list[str], wanted: str) -> list[str]:
@@ -24,57 +21,24 @@ def matching(columns: list[str], wanted: str) -> list[str]:
     return [c for c in columns if any(c.startswith(n.rstrip("*")) if n.endswith("*") else c == n for n in names)]
 
 
-def _number_below(value: Column, cuts: list, lo: int, hi: int) -> Column:
-    """How many of the sorted cuts are below the value, by halving."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(value <= F.lit(cuts[mid]), _number_below(value, cuts, lo, mid)).otherwise(_number_below(value, cuts, mid + 1, hi))
-
-
-def _stretch_of(value: Column, cuts: list) -> Column:
-    """How many of the sorted cuts are below the value: its lot by halving, then its place in the lot."""
-    if len(cuts) <= CUTS:
-        return _number_below(value, cuts, 0, len(cuts))
-    size = -(-len(cuts) // CUTS)
-    lots = [cuts[i : i + size] for i in range(0, len(cuts), size)]
-    lot = _number_below(value, [x[-1] for x in lots], 0, len(lots))
-    held = F.element_at(F.array(*[F.array(*map(F.lit, x)) for x in lots]), F.least(lot, F.lit(len(lots) - 1)) + 1)
-    return F.when(lot == len(lots), F.lit(len(cuts))).otherwise(lot * size + F.size(F.filter(held, lambda cut: cut < value)))
-
-
 def filldown(df: DataFrame, columns: str = "", *, order_by: list[str], partition_by: list[str] | None = None) -> DataFrame:
     """Give nulls of the matching columns the last value before them in the order (leading ones stay).
 
-    With ``partition_by`` this is one window. Without, a single window would take all rows to one task:
-    the order is cut into stretches at quantiles of its first column, each stretch is filled apart, and
-    each takes over what the stretches before it end with; only a row per stretch meets in one task.
-    Rows with equal values of that column share a stretch. Columns of any name pass through.
-    First columns of other types than numbers and times go through the single window.
+    Where no key (without ``partition_by``: the table) has too many rows for one task this is one window.
+    Else the rows are laid out in ranges of keys and order, of any types, equal values too; each range is filled apart, and takes
+    over what the ranges before it end with. Columns of any name pass through.
     """
     partition_by = partition_by or []
     fill = [c for c in matching(df.columns, columns) if not isinstance(df.schema[c].dataType, T.NullType) and c not in order_by]
     if not fill:
         return df
     order = [F.col(f"`{c}`").asc_nulls_first() for c in order_by]
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = lambda w: df.columns if w is None else [F.last(f"`{c}`", ignorenulls=True).over(w).alias(c) if c in fill else F.col(f"`{c}`") for c in df.columns]
-    kind = df.schema[order_by[0]].dataType
-    if partition_by or not isinstance(kind, _RANGED):
-        return df.select(*filled(upto(Window.partitionBy(*partition_by).orderBy(*order))))
-    first = F.unix_micros(F.col(f"`{order_by[0]}`").cast("timestamp")) if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.col(f"`{order_by[0]}`").cast("double")
-    stretches = min(STRETCHES, df.count() // STRETCH_ROWS + 1)
-    found = df.agg(F.percentile_approx(first, [i / stretches for i in range(1, stretches)], 10 * stretches)).first()[0] if stretches > 1 else None
-    cuts = sorted(set(found or []))
-    if not cuts:
-        return df.select(*filled(upto(Window.partitionBy().orderBy(*order))))
-    stretch, of = fresh(df, "_stretch", "_of")
-    end, carried = fresh(df, *[f"_end_{i}" for i in range(len(fill))]), fresh(df, *[f"_ahead_{i}" for i in range(len(fill))])
-    cut = df.withColumn(stretch, F.when(first.isNull(), F.lit(-1)).otherwise(_stretch_of(first, cuts)))
-    own = [F.last(f"`{c}`", ignorenulls=True).over(upto(Window.partitionBy(stretch).orderBy(*order))).alias(c) if c in fill else F.col(f"`{c}`") for c in df.columns]
-    place = F.struct(*[F.col(f"`{c}`") for c in order_by])
-    ends = cut.groupBy(stretch).agg(*[F.max_by(f"`{c}`", F.when(F.col(f"`{c}`").isNotNull(), place)).alias(end[i]) for i, c in enumerate(fill)])
-    before = Window.orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = ends.select(F.col(stretch).alias(of), *[F.last(end[i], ignorenulls=True).over(before).alias(carried[i]) for i in range(len(fill))])
-    joined = cut.select(stretch, *own).join(F.broadcast(ahead), F.col(stretch) == F.col(of))  # a row per stretch, 20,000 at most
-    return joined.select(*[F.coalesce(F.col(f"`{c}`"), F.col(carried[fill.index(c)])).alias(c) if c in fill else F.col(f"`{c}`") for c in df.columns])
+    sizes = df.groupBy(*[F.col(f"`{c}`") for c in partition_by]).agg(F.count("*").alias("n")).agg(F.max("n"))
+    if (sizes.first()[0] or 0) <= (KEY_ROWS if partition_by else WINDOW_ROWS):
+        window = Window.partitionBy(*partition_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(*[F.last(f"`{c}`", ignorenulls=True).over(window).alias(c) if c in fill else F.col(f"`{c}`") for c in df.columns])
+    plain = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in plain.items()])
+    laid = ordered.lay(rows, [plain[c] for c in partition_by], [F.col(plain[c]).asc_nulls_first() for c in order_by], [plain[c] for c in order_by], "filldown")
+    filled = laid.lasts({f"f{i}": F.col(plain[c]) for i, c in enumerate(fill)}).rows
+    return filled.select(*[F.col(f"f{fill.index(c)}" if c in fill else n).alias(c) for c, n in plain.items()])

@@ -43,24 +43,34 @@ class Laid:
         out = sums
         for name, value in told.items():
             out = out.withColumn(name, value.over(earlier))
-        return out.filter(F.coalesce(*told).isNotNull()).select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_b{i}") for i, k in enumerate(by)], *told)
+        some = F.lit(False)
+        for n in told:
+            some = some | F.col(n).isNotNull()
+        return out.filter(some).select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_b{i}") for i, k in enumerate(by)], *told)
 
     def _with(self, rows: DataFrame, handed: DataFrame, by: list[str]) -> DataFrame:
         same = F.col("_part") == F.col("_p")
         for i, k in enumerate(by):
-            same = same & (F.col(k) == F.col(f"_b{i}"))
+            same = same & F.col(k).eqNullSafe(F.col(f"_b{i}"))
         return rows.join(handed, same, "left").drop("_p", *[f"_b{i}" for i in range(len(by))])
 
     def last(self, value: Column, name: str, *more: str, inclusive: bool = True) -> Laid:
         """Add the last non-null ``value`` of the rows so far that agree in the keys and in ``more``."""
-        by = [*self.keys, *more]
-        rows = self.rows.withColumn("_value", value)
-        own = rows.withColumn(name, F.last("_value", ignorenulls=True).over(self._own(more, 0 if inclusive else -1)))
+        return self.lasts({name: value}, *more, inclusive=inclusive)
+
+    def lasts(self, values: dict[str, Column], *more: str, inclusive: bool = True) -> Laid:
+        """last() of several values at once, by name."""
+        by, names = [*self.keys, *more], list(values)
+        held, carried = [f"_v{i}" for i in range(len(names))], [f"_h{i}" for i in range(len(names))]
+        rows = self.rows.withColumns(dict(zip(held, values.values(), strict=True)))
+        window = self._own(more, 0 if inclusive else -1)
+        own = rows.withColumns({n: F.last(v, ignorenulls=True).over(window) for n, v in zip(names, held, strict=True)})
         if self.parts == 1:
-            return self.on(own.drop("_value"))
-        sums = rows.groupBy("_part", *by).agg(F.max(F.when(F.col("_value").isNotNull(), F.struct("_no", F.col("_value").alias("v")))).alias("_m"))
-        handed = self._handed(sums, by, _h=F.max("_m"))
-        return self.on(self._with(own, handed, by).withColumn(name, F.coalesce(name, F.col("_h.v"))).drop("_value", "_h"))
+            return self.on(own.drop(*held))
+        sums = rows.groupBy("_part", *by).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("_no"))).alias(f"_m{i}") for i, v in enumerate(held)])
+        handed = self._handed(sums, by, **{h: F.last(f"_m{i}", ignorenulls=True) for i, h in enumerate(carried)})
+        joined = self._with(own, handed, by)
+        return self.on(joined.withColumns({n: F.coalesce(n, h) for n, h in zip(names, carried, strict=True)}).drop(*held, *carried))
 
     def total(self, value: Column, name: str, inclusive: bool = True) -> Laid:
         """Add the sum of ``value``, a whole number, over the key's rows so far."""
@@ -94,7 +104,7 @@ class Laid:
 
 
 def lay(df: DataFrame, keys: list[str], order: list[Column], ties: list[str], name: str = "laid") -> Laid:
-    """``df`` written in order of the keys (none of them null), then of ``order``. Equal rows of the order
+    """``df`` written in order of the keys, then of ``order``. Equal rows of the order
     are told apart by a hash of the columns ``ties``, and rows that agree in those too by their place
     in ``df``, so that many of them do not make one range."""
     parts = max(1, -(-df.count() // RANGE_ROWS))

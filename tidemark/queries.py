@@ -52,6 +52,11 @@ def filldown_by_user(spark, sf_dir):
     return filldown(_gappy(spark, sf_dir), "value, other", order_by=["ts", "event_id"], partition_by=["user_id"])
 
 
+def filldown_by_text(spark, sf_dir):
+    """An order that begins with a text of few values."""
+    return filldown(_gappy(spark, sf_dir).withColumn("kind", F.substring(F.sha2(F.col("user_id").cast("string"), 256), 1, 1)), "value, other", order_by=["kind", "event_id"])
+
+
 def _lists(spark, sf_dir):
     words = F.split("p_name", " ")
     sizes = F.when(F.col("p_size") % 5 == 0, F.array().cast("array<int>")).when(F.col("p_size") % 5 != 1, F.array(F.col("p_size"), F.col("p_size") + 1))
@@ -217,6 +222,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "filldown_all": filldown_all,
         "filldown_prefix": filldown_prefix,
         "filldown_by_user": filldown_by_user,
+        "filldown_by_text": filldown_by_text,
         "flatten_one": flatten_one,
         "flatten_two": flatten_two,
         "flatten_missing": flatten_missing,
@@ -337,6 +343,7 @@ def oracle_sql() -> dict[str, str]:
         "filldown_all": f"{_GAPPY} SELECT event_id, ts, user_id, {_filled('value', '')}, {_filled('value_kind', '')}, {_filled('other', '')} FROM g",
         "filldown_prefix": f"{_GAPPY} SELECT event_id, ts, user_id, {_filled('value', '')}, {_filled('value_kind', '')}, other FROM g",
         "filldown_by_user": f"{_GAPPY} SELECT event_id, ts, user_id, {_filled('value', 'PARTITION BY user_id ')}, value_kind, {_filled('other', 'PARTITION BY user_id ')} FROM g",
+        "filldown_by_text": f"{_GAPPY}, k AS (SELECT *, sha256(user_id::VARCHAR)[1] AS kind FROM g) SELECT event_id, ts, user_id, value_kind, kind, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER (ORDER BY kind, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in ("value", "other")) + " FROM k",
         "flatten_one": "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part",
         "flatten_two": f"SELECT p_partkey, word, unnest(coalesce(size, [NULL])) AS size FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, {size_list} AS size FROM part)",
         "flatten_missing": "SELECT p_partkey, '' AS word FROM part WHERE false",
