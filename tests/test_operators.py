@@ -82,15 +82,45 @@ def test_quantiles_by_ranges(spark, monkeypatch):
     import numpy as np
 
     from tidemark.functions import quantiles as Q
+    from tidemark.operators import ordered
 
     rnd = np.random.default_rng(3)
-    values = np.round(rnd.normal(0, 50, 4000))
-    counts = spark.createDataFrame([(float(v), int(n)) for v, n in zip(*np.unique(values, return_counts=True), strict=True)], "value double, n long")
+    groups = {"a": np.round(rnd.normal(0, 50, 4000)), "b": np.array([7.5]), "c": rnd.random(300)}
+    counts = spark.createDataFrame([(g, float(v), int(n), len(x)) for g, x in groups.items() for v, n in zip(*np.unique(x, return_counts=True), strict=True)], "g string, value double, n long, total long")
     shares = [0.0, 0.01, 0.25, 0.5, 0.77, 1.0]
     for most in (200_000, 20):
-        monkeypatch.setattr(Q, "RANGE_VALUES", most)
-        assert Q.quantiles(counts, 4000, shares) == pytest.approx(np.quantile(values, shares).tolist())
-        assert Q.at_ranks(counts, [0, 3999, 17, 17]) == [np.sort(values)[k] for k in (0, 3999, 17, 17)]
+        monkeypatch.setattr(ordered, "RANGE_ROWS", most)
+        found = Q.values_at_ranks(counts, ["g"], F.col("total"), shares, more=[F.lit(0).cast("bigint")], islands=0.5)
+        for r in found.select("g", "islands", *[Q.quantile(F.col("at"), F.col("total"), p).alias(f"q{k}") for k, p in enumerate(shares)]).collect():
+            x = np.sort(groups[r["g"]])
+            assert list(r[2:]) == pytest.approx(np.quantile(x, shares).tolist())
+            assert r["islands"] == 1 + (np.diff(x) >= 0.5).sum()
+
+
+def test_anomalies_by_scope(spark, monkeypatch):
+    """Each scope gets what a table of its rows alone gets; jobs do not grow with their number."""
+    import random
+
+    from tidemark.operators import ordered
+
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice(["d1", "d2", None]), rnd.choice("xxxxyz"), rnd.choice([None, rnd.gauss(0, 9), float(rnd.randrange(4))]) if i % 7 == 0 else rnd.gauss(5, 2), rnd.randrange(60)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, day string, kind string, value double, many long")
+    text = lambda rs: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rs)
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 60)
+    for kw in ({"action": "annotate", "fields": "kind,value,many"}, {"method": "iqr", "fields": "value", "param": 0.3, "uselower": True}, {"action": "summary", "fields": "value"}):
+        got = anomalydetection(df, partition_by=["day"], **kw)
+        want = []
+        for day in ("d1", "d2", None):
+            alone = anomalydetection(df.filter(F.col("day").eqNullSafe(F.lit(day))), **kw).collect()
+            want += [(day, *r) for r in alone] if kw["action" if "action" in kw else "method"] == "summary" else alone
+        assert text(got.collect()) == text(want), kw
+
+
+def test_nearly_equal_values_are_one(spark):
+    """Fifty numbers closer than the tolerance and another are two distinct ones: no bins."""
+    df = spark.createDataFrame([(1 + k * 1e-12,) for k in range(50)] + [(9.0,)], "value double")
+    assert {round(r["probable_cause_freq"] * 51, 6) for r in anomalydetection(df, action="annotate").collect()} == {1.0}
 
 
 def test_flatten(spark):

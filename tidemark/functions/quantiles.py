@@ -1,53 +1,50 @@
-"""Exact ranks and quantiles from counts of equal values."""
+"""Exact ranks and quantiles of many groups at once, from counts of equal values."""
 
 from __future__ import annotations
 
-import math
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.scratch import written
+from tidemark.operators.ordered import lay
 
-#: Distinct values that are ordered in one task.
-RANGE_VALUES = 200_000
 
+def values_at_ranks(counts: DataFrame, by: list[str], total: Column, shares: list[float], *, more: list[Column] = (), take: list[str] = (), aggs: list[Column] = (), islands: float | None = None, most: int | None = None) -> DataFrame:
+    """A row for each group of ``by``: at, a map from ranks (from 0) to values, total (n in all), ``take`` (columns
+    that agree within a group) and ``aggs`` of its rows.
 
-def at_ranks(counts: DataFrame, ranks: list[int]) -> list[float]:
-    """The values at the given ranks (from 0) of what ``counts`` (value, n) stands for.
-
-    The distinct values are laid out in ranges; sums of the ranges, a row for each RANGE_VALUES values,
-    tell which of them hold the ranks, and running sums are taken within those alone.
+    ``counts`` has value and n, each value of a group once. Ranks are those about the ``shares`` (see quantile()) and ``more``. The
+    values are laid out in ranges of (group, value); running sums of n, carried from range to range,
+    tell which ranks a value has, and only values that are asked for are gathered. With ``islands``
+    also their number: stretches of values that are all less than that from the one before. ``most``
+    bounds the rows of ``counts``, if that is known.
     """
-    counts = written(counts.select("value", "n"), "counts")
-    ranges = max(1, -(-counts.count() // RANGE_VALUES))
-    laid = counts.withColumn("range", F.lit(0)) if ranges == 1 else written(counts.repartitionByRange(ranges, "value").withColumn("range", F.spark_partition_id()), "ranges")
-    sums = [(0, None)] if ranges == 1 else [(r["range"], r["n"]) for r in laid.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect()]
-    wanted: dict[tuple[int, int], None] = {}
-    places = []
-    for rank in ranks:
-        ahead = 0
-        for no, n in sums:
-            if n is None or rank < ahead + n or no == sums[-1][0]:
-                places.append((no, rank - ahead))
-                wanted[places[-1]] = None
-                break
-            ahead += n
-    upto = F.sum("n").over(Window.partitionBy("range").orderBy("value"))
-    hit = F.lit(False)
-    for no, rank in wanted:
-        hit = hit | (F.col("range") == no) & (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
-    rows = laid.filter(F.col("range").isin(sorted({no for no, _ in wanted}))).withColumn("upto", upto).filter(hit).collect()
-    return [next(r["value"] for r in rows if r["range"] == no and r["upto"] - r["n"] <= rank < r["upto"]) for no, rank in places]
-
-
-def quantiles(counts: DataFrame, total: int, shares: list[float]) -> list[float]:
-    """Quantiles with linear interpolation between neighbours; ``total`` is the sum of n, above 0."""
-    at = [p * (total - 1) for p in shares]
-    ranks = sorted({math.floor(x) for x in at} | {math.ceil(x) for x in at})
-    value = dict(zip(ranks, at_ranks(counts, ranks), strict=True))
-    out = []
-    for x in at:
-        lo, hi = math.floor(x), math.ceil(x)
-        out.append(value[lo] if lo == hi or value[lo] == value[hi] else (hi - x) * value[lo] + (x - lo) * value[hi])
-    return out
+    laid = lay(counts.select(*by, "value", "n", total.cast("bigint").alias("total"), *take), by, [F.asc("value")], ["value"], "ranks", most).total(F.col("n"), "_upto")
+    if islands is not None:
+        laid = laid.settled("upto").last(F.col("value"), "_before", inclusive=False)
+        aggs = [*aggs, F.count(F.when(F.col("_before").isNull() | (F.col("value") - F.col("_before") >= islands), F.lit(1))).alias("islands")]
+    n = F.col("total")
+    wanted = [*[r for p in shares for r in (_low(n, p), _high(n, p))], *more]
+    here = lambda r: (r >= F.col("_upto") - F.col("n")) & (r < F.col("_upto"))
+    some = reduce(or_, map(here, wanted))  # few rows are asked for
+    hits = F.transform(F.filter(F.array_distinct(F.array(*wanted)), here), lambda r: F.struct(r.alias("r"), F.col("value").alias("v")))
+    rows = laid.rows.withColumn("_hits", F.when(some, hits))
+    gathered = F.flatten(F.collect_list("_hits"))
+    return rows.groupBy(*by).agg(F.map_from_entries(gathered).alias("at"), F.max("total").alias("total"), *[F.max(c).alias(c) for c in take], *aggs)
+
+
+def _low(total: Column, share: float) -> Column:
+    return F.floor(F.lit(share) * (total - 1)).cast("bigint")
+
+
+def _high(total: Column, share: float) -> Column:
+    return F.ceil(F.lit(share) * (total - 1)).cast("bigint")
+
+
+def quantile(at: Column, total: Column, share: float) -> Column:
+    """The quantile, with linear interpolation between neighbours, from values_at_ranks()."""
+    x, lo, hi = F.lit(share) * (total - 1), _low(total, share), _high(total, share)
+    a, b = F.element_at(at, lo), F.element_at(at, hi)
+    return F.when(a == b, a).otherwise((hi - x) * a + (x - lo) * b)

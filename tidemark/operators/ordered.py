@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tidemark.scratch import written
 
-#: Rows of a range.
-RANGE_ROWS = 200_000
+#: Rows of a range, and ranges at most (beyond, they grow longer).
+RANGE_ROWS, MOST_RANGES = 200_000, 20_000
 
 
 @dataclass
@@ -103,11 +103,12 @@ class Laid:
         return self.on(out.drop("_step", "_walk", "_low", "_h", "_hl"))
 
 
-def lay(df: DataFrame, keys: list[str], order: list[Column], ties: list[str], name: str = "laid") -> Laid:
+def lay(df: DataFrame, keys: list[str], order: list[Column], ties: list[str], name: str = "laid", most: int | None = None) -> Laid:
     """``df`` written in order of the keys, then of ``order``. Equal rows of the order
     are told apart by a hash of the columns ``ties``, and rows that agree in those too by their place
-    in ``df``, so that many of them do not make one range."""
-    parts = max(1, -(-df.count() // RANGE_ROWS))
+    in ``df``, so that many of them do not make one range. ``most``: a bound on the rows, if one is known;
+    else they are counted."""
+    parts = min(MOST_RANGES, max(1, -(-(df.count() if most is None else most) // RANGE_ROWS)))
     by = [*keys, *order, F.xxhash64(*ties), F.asc("_place")]
     ranged = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("_place")
     return Laid(written(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_no", F.monotonically_increasing_id()), name), keys, parts)

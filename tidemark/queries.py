@@ -100,6 +100,13 @@ def anomaly(**kw):
     return run
 
 
+def anomaly_by_day(spark, sf_dir):
+    """Each day's rows against that day's frequencies."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
+    out = anomalydetection(rows, fields="event_type", action="annotate", partition_by=["day"])
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
 def count_columns(spark, sf_dir):
     return call("count_column", table(spark, sf_dir, "customer"))
 
@@ -243,6 +250,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "anomaly_strict": anomaly(columns=("value",), action="annotate", cutoff=False, sensitivity="strict"),
         "anomaly_very_lenient": anomaly(columns=("o_orderstatus",), table="orders", action="annotate", sensitivity="very_lenient"),
         "anomaly_iqr_transform": anomaly(columns=("o_totalprice",), table="orders", method="iqr", action="transform", param=0.2, uselower=True),
+        "anomaly_by_day": anomaly_by_day,
         "count_column": count_columns,
         "output_csv_status": output_csv_status,
         "output_csv_content": output_csv_content,
@@ -363,6 +371,9 @@ def oracle_sql() -> dict[str, str]:
         "anomaly_no_cutoff": _binned("value", "events", "event_id", "q1 - 1.5 * (q3 - q1)") + f" SELECT id, round(value, 6) AS value, lp < th AS is_anomaly, {_TAIL} FROM n, s",
         "anomaly_strict": _binned("value", "events", "event_id", "q1 - 1.5 * (q3 - q1) + CASE WHEN q3 - q1 > 0 THEN -0.3 * (q3 - q1) ELSE -0.5 END") + f" SELECT id, round(value, 6) AS value, lp < th AS is_anomaly, {_TAIL} FROM n, s",
         "anomaly_very_lenient": _categorical(("o_orderstatus",), "orders", "o_orderkey", lenient.replace("0.5 *", "1.0 *").replace("ELSE 1.0", "ELSE 2.0")) + f" SELECT id, o_orderstatus, lp < th AS is_anomaly, {_TAIL} FROM n, s",
+        "anomaly_by_day": """WITH f AS (SELECT event_id AS id, strftime(ts, '%Y-%m-%d') AS day, event_type FROM events), g AS (SELECT *, count(*) OVER (PARTITION BY day, event_type) / (count(*) OVER (PARTITION BY day))::DOUBLE AS f0 FROM f), n AS (SELECT *, ln(greatest(f0, 1e-50)) AS lp FROM g),
+q AS (SELECT day, min(lp) + 0.001 AS th, max(f0) AS mf FROM n GROUP BY day), s AS (SELECT day, th, mf, min(CASE WHEN lp < th THEN lp END) AS low FROM n JOIN q USING (day) GROUP BY day, th, mf)
+SELECT id, day, event_type, lp < th AS is_anomaly, round(CASE WHEN lp < th THEN low ELSE lp END, 6) AS log_event_prob, round(mf, 6) AS max_freq, 'event_type' AS probable_cause, round(f0, 6) AS probable_cause_freq FROM n JOIN s USING (day)""",
         "output_csv_content": '''WITH l AS (SELECT 0 AS part, 0 AS k, 'n_nationkey,name,region' AS line UNION ALL SELECT 1, n_nationkey, n_nationkey || ',"' || n_name || ', ""n""",' || CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey::VARCHAR ELSE '' END FROM nation
 UNION ALL SELECT 2, r_regionkey, ',' || r_name || ',' || r_regionkey FROM region) SELECT row_number() OVER (ORDER BY part, k) AS line_no, line FROM l''',
         "error_producer": "SELECT true AS failed, 'error_producer always fails' AS message",
