@@ -75,3 +75,11 @@ def test_stored_ledger(spark, tmp_path):
     other = (*S.RULES, S.Rule("mark", "X{3}", base=False))
     _, n = S.scan_into(path, df, rules=other)
     assert n == 8 and S.rule_version(other) != S.rule_version()
+
+
+def test_kept_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "password=hunter2xyz", "b", "f", "g")], "doc_id long, text string, blob string, findings string, _blob string")
+    found, _ = S.scan_history(df, keep=("doc_id", "blob", "findings", "_blob"))
+    assert found.columns == ["doc_id", "blob", "findings", "_blob", "blob_", "findings_"]
+    r = found.first()
+    assert (r["blob"], r["findings"], len(r["findings_"])) == ("b", "f", 1)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
-from tidemark.scratch import written
+from tidemark.scratch import fresh, written
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,8 @@ def secret_ledger(versions: DataFrame, ledger: DataFrame | None = None, *, text_
 
 def scan_history(versions: DataFrame, ledger: DataFrame | None = None, *, keep=("doc_id",), text_column: str = "text", rules=RULES, version: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings, new ledger rows). findings: the columns ``keep`` of each version, its blob and its
-    findings array (empty where there are none).
+    findings array (empty where there are none); the last two have underscores behind their names where
+    a kept column is called so.
 
     The new ledger rows are written to the shared folder once and joined back to all paths; append
     them to the ledger table for the next run. Null texts count as empty; an empty text and a text
@@ -105,11 +106,13 @@ def scan_history(versions: DataFrame, ledger: DataFrame | None = None, *, keep=(
 
 
 def _of_paths(versions: DataFrame, ledger: DataFrame, keep, text_column: str) -> DataFrame:
-    some = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
-    paths = versions.select(*keep, F.sha2(text_of(text_column).cast("binary"), 256).alias("blob"))
-    found = paths.join(some, F.col("blob") == F.col("_blob"), "left").drop("_blob")
+    kept = versions.select(*keep)
+    blob, findings, known, told = fresh(kept, "blob", "findings", "_blob", "_findings")
+    some = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias(known), F.col("findings").alias(told))
+    paths = versions.select(*keep, F.sha2(text_of(text_column).cast("binary"), 256).alias(blob))
+    found = paths.join(some, F.col(blob) == F.col(known), "left").drop(known)
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
-    return found.withColumn("findings", F.coalesce("_findings", none)).drop("_findings")
+    return found.withColumn(findings, F.coalesce(told, none)).drop(told)
 
 
 def scan_into(path: str, versions: DataFrame, *, keep=("doc_id",), text_column: str = "text", rules=RULES) -> tuple[DataFrame, int]:
@@ -117,7 +120,8 @@ def scan_into(path: str, versions: DataFrame, *, keep=("doc_id",), text_column:
 
     What the ledger lacks is scanned and appended by Spark's commit protocol; run again over the same
     versions and rules, nothing is. One writer at a time: two that overlap scan some blobs twice, and
-    the ledger's copies of a pair are folded when it is read.
+    the ledger's copies of a pair are folded when it is read. Matches that start together come in the
+    order of the rules; other awkward rows as in scan_history().
     """
     spark, version = versions.sparkSession, rule_version(rules)
     try:
@@ -127,10 +131,10 @@ def scan_into(path: str, versions: DataFrame, *, keep=("doc_id",), text_column:
             raise
         ledger = None
     new = secret_ledger(versions, ledger, text_column=text_column, rules=rules, version=version)
-    fresh = written(new, "ledger")
-    fresh.write.mode("append").parquet(path)
+    added = written(new, "ledger")
+    added.write.mode("append").parquet(path)
     known = spark.read.schema(LEDGER_SCHEMA).parquet(path).filter(F.col("rule_version") == version).dropDuplicates(["blob"])
-    return _of_paths(versions, known, keep, text_column), fresh.count()
+    return _of_paths(versions, known, keep, text_column), added.count()
 
 
 def _of_kind(kind: str):
