@@ -149,3 +149,35 @@ def test_three_nullable_keys_and_many_batches(spark):
         assert len(out) == 32 and all(r["_is_closed"] and r["_message"] == ["start", "end"] for r in out)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_null_keys_equal_the_replay(spark):
+    """Random keys with nulls, equal times, spans and limits, against a scan of all live groups for each event."""
+    import random
+
+    from tidemark.operators import transaction as T
+
+    rnd = random.Random(11)
+    for kw in (dict(), dict(max_events=3), dict(span=40), dict(span=25, max_events=2)):
+        for _ in range(20):
+            n = 120
+            times = sorted((rnd.randrange(300) for _ in range(n)), reverse=True)
+            keys = [k for k in (tuple(rnd.choice([None, None, "a", "b", "c"]) for _ in range(3)) for _ in range(3 * n)) if any(k)][:n]
+            p = Params(["x", "y", "z"], span=kw.get("span"), max_events=kw.get("max_events"))
+            none = [False] * n
+            assert T.replay(p, times, none, keys, times[-1]) == replay(p, times, none, none, keys, times[-1])
+
+
+def test_null_keys_take_time_in_proportion():
+    """Ten times the events and live groups take about ten times as long."""
+    import time
+
+    from tidemark.operators import transaction as T
+
+    took = []
+    for n in (3_000, 30_000):
+        keys = [(str(i), None) if i % 3 else (None, str(i)) for i in range(n)]
+        began = time.process_time()
+        T.replay(Params(["x", "y"]), list(range(n, 0, -1)), [False] * n, keys, 0)
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * took[0]

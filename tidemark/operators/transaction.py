@@ -59,6 +59,69 @@ class Params:
 # -- one key's events ------------------------------------------------------------------------------
 
 
+class _Live:
+    """Live groups by key, found by the parts that two keys both know.
+
+    A key's mask tells which of its parts it has. For each mask, and each of its submasks that has been
+    asked for, keys are held by their values there, in the order in which they were last touched: a lookup is
+    one probe for each mask, whatever the number of groups.
+    """
+
+    def __init__(self):
+        self.group: dict[tuple, int] = {}
+        self.index: dict[int, dict[int, dict[tuple, dict[tuple, None]]]] = {}
+
+    @staticmethod
+    def _mask(key: tuple) -> int:
+        return sum(1 << i for i, a in enumerate(key) if a is not None)
+
+    @staticmethod
+    def _part(key: tuple, mask: int) -> tuple:
+        return tuple(a for i, a in enumerate(key) if mask >> i & 1)
+
+    def get(self, key: tuple) -> int | None:
+        return self.group.get(key)
+
+    def __setitem__(self, key: tuple, group: int) -> None:
+        self.group[key] = group
+        for mask, held in self.index.setdefault(self._mask(key), {0: {}}).items():
+            held.setdefault(self._part(key, mask), {})[key] = None
+
+    def pop(self, key: tuple) -> int:
+        for mask, held in self.index[self._mask(key)].items():
+            same = held[part := self._part(key, mask)]
+            del same[key]
+            if not same:
+                del held[part]
+        return self.group.pop(key)
+
+    def touch(self, key: tuple) -> None:
+        for mask, held in self.index[self._mask(key)].items():
+            same = held[self._part(key, mask)]
+            same[key] = same.pop(key)
+
+    def best(self, key: tuple, time: int, oldest: list[int]) -> tuple | None:
+        """Of the live keys that differ from ``key`` in no part that both know: one with the most such parts, then
+        the oldest event nearest to ``time`` (none is newer than ``time``, so it was touched last), then the least, unknown parts first."""
+        own, found, choice = self._mask(key), None, None
+        for mask, held in self.index.items():
+            both = mask & own
+            if both not in held:
+                held[both] = {}
+                for k in held[0].get((), ()):
+                    held[both].setdefault(self._part(k, both), {})[k] = None
+            last = None
+            for k in reversed(held[both].get(self._part(key, both), ())):
+                at = oldest[self.group[k]]
+                if last is not None and at != last:
+                    break
+                last = at
+                rank = (-both.bit_count(), abs(time - at), tuple((a is not None, a or "") for a in k))
+                if found is None or rank < found:
+                    found, choice = rank, k
+        return choice
+
+
 class _Replay:
     """Deals one key's events, newest first, to groups: ends with limits, and null keys. What comes out are
     numbers only: the group of each event, which groups are closed, and which events lend a full group
@@ -75,7 +138,7 @@ class _Replay:
         self.key_of: dict[int, tuple] = {}
         self.state: list[bool | None] = []  # None while the group is open for events
         self.queue: deque[tuple[int, int]] = deque()
-        self.live: dict[tuple, int] = {}
+        self.live = _Live()
         self.stack: dict[int, None] = {}  # in order of opening; any of them may leave
         self.waiting: list[int] = []  # events of the live group while only ends are told
         self.limit = params.max_events if params.max_events is not None else 1 << 62
@@ -92,6 +155,8 @@ class _Replay:
         self.time_only[i] = self.full(group)
         self.count[group] += not self.time_only[i]
         self.oldest[group] = min(self.oldest[group], time)
+        if group in self.key_of:
+            self.live.touch(self.key_of[group])
 
     def wait(self, group: int, key: tuple = ()) -> int:
         """The group is the live one of the key."""
@@ -107,8 +172,9 @@ class _Replay:
     def freeze(self, group: int, closed: bool | None = None) -> None:
         self.state[group] = self.p.closed(False, self.end[group]) if closed is None else closed
         self.stack.pop(group, None)
-        if self.live.get(key := self.key_of.pop(group, None)) == group:
-            del self.live[key]
+        key = self.key_of.pop(group, None)
+        if key is not None and self.live.get(key) == group:
+            self.live.pop(key)
 
     def expire(self, time: int) -> None:
         while self.p.span is not None and self.queue and time < self.queue[0][1] - self.p.span:
@@ -164,14 +230,11 @@ class _Replay:
         group = self.live.get(key)
         partial = None in key
         if group is None or partial:
-            fits = [k for k in self.live if all(a is None or b is None or a == b for a, b in zip(k, key, strict=True))]
-            if fits:
-                rank = lambda k: (-sum(a is not None and a == b for a, b in zip(k, key, strict=True)), abs(time - self.oldest[self.live[k]]), tuple((a is not None, a or "") for a in k))
-                best = min(fits, key=rank)
-                if partial:
-                    group = self.live[best]
-                elif None in best:
-                    group = self.wait(self.live.pop(best), key)
+            best = self.live.best(key, time, self.oldest)
+            if best is not None and partial:
+                group = self.live.get(best)
+            elif best is not None and None in best:
+                group = self.wait(self.live.pop(best), key)
         if group is None:
             group = self.wait(self.new(time), key)
         self.put(group, i, time)
