@@ -102,3 +102,14 @@ def test_brackets_and_spans_run_without_python(spark):
     for kw in ({**BRACKETS}, {"max_span": "3s"}, {"starts_with": "start", "max_span": "3s"}):
         plan = transaction(df, "k", **kw)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
+def test_empty_tables_and_no_keys(spark, monkeypatch):
+    monkeypatch.setattr(O, "RANGE_ROWS", 7)
+    rows = [(t * SECOND, "k", "start" if t % 5 == 0 else "end" if t % 3 == 0 else "x", str(t)) for t in range(30)]
+    df = spark.createDataFrame(rows, "_time long, k string, _message string, n string")
+    for kw in ({**BRACKETS}, {"max_span": "3s"}, {"starts_with": "start", "max_span": "3s"}):
+        assert transaction(df.limit(0), "k", **kw).count() == 0
+        keys = "" if "starts_with" in kw else "k"
+        p = Params([], starts_with=kw.get("starts_with", ""), ends_with=kw.get("ends_with", ""), span=3 * SECOND if "max_span" in kw else None)
+        assert transaction(df, keys, **kw).count() == len(expected(rows, p))
