@@ -322,3 +322,47 @@ def test_output_csv_lists_only_committed_parts(tmp_path):
     assert (folder / "parts.json").read_text() == '[["a", 1, 2], ["b", 2, 3]]'
     writer.abort([])
     assert not folder.exists()
+
+
+def test_variant_cells(spark, monkeypatch):
+    from tidemark.operators import filldown as module
+    from tidemark.operators import ordered
+
+    texts = ["null", None, "1", "null", '"x"', None, "null", "[2]", "1e3", "true", "12345678901234567890"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string").select("id", F.parse_json("s").alias("v"))
+    want = ["null", None, "1", "1", '"x"', '"x"', '"x"', "[2]", "1000.0", "true", "12345678901234567890"]
+    shown = lambda out: [r[0] for r in out.orderBy("id").select(F.to_json("v")).collect()]
+    assert shown(call("filldown", df, order_by=["id"])) == want
+    totals = [r["total"] for r in call("addtotals", df).orderBy("id").collect()]
+    assert totals == [i + {2: 1.0, 8: 1000.0, 10: 12345678901234567890.0}.get(i, 0.0) for i in range(len(texts))]
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 2)
+    monkeypatch.setattr(module, "WINDOW_ROWS", 2)
+    assert shown(call("filldown", df, order_by=["id"])) == want
+
+
+def test_table_functions_over_batches(spark):
+    from tidemark.batches import register_batches
+
+    df = spark.range(25000).select("id", (F.col("id") % 2).alias("k"), F.when(F.col("id") % 20011 == 7, F.col("id")).alias("v"), F.when(F.col("id") % 9001 == 3, F.array("id")).alias("w"))
+    df.createOrReplaceTempView("batch_rows")
+    register_batches(spark, "fill_rows", "filldown", "batch_rows", columns="v, w")
+    found = spark.sql("SELECT * FROM fill_rows(TABLE(batch_rows) PARTITION BY (k) ORDER BY (id))")  # more than a batch a key
+    assert sorted(map(str, found.collect())) == sorted(map(str, call("filldown", df, ["v, w"], order_by=["id"], partition_by=["k"]).collect()))
+
+    lists = spark.createDataFrame([(1, [1, 2], ["a"]), (2, None, ["b", None]), (3, [], ["c"]), (4, [5], None), (5, [6, 7], ["d", "e"])], "id int, a array<int>, b array<string>")
+    lists.createOrReplaceTempView("batch_lists")
+    register_batches(spark, "flat_rows", "flatten", "batch_lists", columns="a, b")
+    assert spark.sql("SELECT * FROM flat_rows(TABLE(batch_lists))").collect() == call("flatten", lists, ["a, b"]).collect()
+    register_batches(spark, "flat_none", "flatten", "SELECT id, a FROM batch_lists", columns="a, absent")
+    assert spark.sql("SELECT * FROM flat_none(TABLE(SELECT id, a FROM batch_lists))").count() == 0
+
+    numbers = spark.createDataFrame([(1, 2.5, "x"), (None, 1.0, "y")], "a int, b double, c string")
+    numbers.createOrReplaceTempView("batch_numbers")
+    register_batches(spark, "sum_rows", "addtotals", "batch_numbers", total="sum")
+    assert spark.sql("SELECT * FROM sum_rows(TABLE(batch_numbers))").collect() == call("addtotals", numbers, ["sum"]).collect()
+    register_batches(spark, "sum_whole", "addtotals", "SELECT 9223372036854775807L AS a, 1L AS b")
+    with pytest.raises(Exception, match="overflow"):
+        spark.sql("SELECT * FROM sum_whole(TABLE(SELECT 9223372036854775807L AS a, 1L AS b))").collect()
+    with pytest.raises(ArgumentError, match="no function over batches"):
+        register_batches(spark, "x", "transaction", "batch_rows")
+    assert spark.sql("SELECT * FROM fill_rows(TABLE(SELECT * FROM batch_rows WHERE id < 0) PARTITION BY (k) ORDER BY (id))").count() == 0

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.batches import register_batches
 from tidemark.operators.anomalydetection import anomalydetection
 from tidemark.operators.filldown import filldown
 from tidemark.registry import call
@@ -57,6 +58,34 @@ def filldown_by_text(spark, sf_dir):
     return filldown(_gappy(spark, sf_dir).withColumn("kind", F.substring(F.sha2(F.col("user_id").cast("string"), 256), 1, 1)), "value, other", order_by=["kind", "event_id"])
 
 
+def _cells(spark, sf_dir):
+    """Cells that hold a text, a variant null, nothing, a number with a fraction or true."""
+    kind = F.col("event_id") % 5
+    number = F.concat(F.col("event_id").cast("string"), F.lit(".25"))
+    cell = F.when(kind == 0, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).when(kind == 1, "null").when(kind == 3, number).when(kind == 4, "true")
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", F.parse_json(cell).alias("cell"))
+
+
+def filldown_variant(spark, sf_dir):
+    return call("filldown", _cells(spark, sf_dir), ["cell"], order_by=["ts", "event_id"]).withColumn("cell", F.to_json("cell"))
+
+
+def addtotals_variant(spark, sf_dir):
+    return call("addtotals", _cells(spark, sf_dir)).withColumn("cell", F.to_json("cell"))
+
+
+def _batched(function: str, relation: str, of: str = "", **options):
+    """A table function over batches in SQL; ``of``: how its TABLE argument is dealt and sorted."""
+
+    def run(spark, sf_dir):
+        source = {"gappy": _gappy, "lists": _lists, "items": lambda *a: table(*a, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")}[relation](spark, sf_dir)
+        source.createOrReplaceTempView(f"tidemark_{relation}")
+        register_batches(spark, f"tidemark_{function}", function, f"tidemark_{relation}", **options)
+        return spark.sql(f"SELECT * FROM tidemark_{function}(TABLE(tidemark_{relation}) {of})")
+
+    return run
+
+
 def _lists(spark, sf_dir):
     words = F.split("p_name", " ")
     sizes = F.when(F.col("p_size") % 5 == 0, F.array().cast("array<int>")).when(F.col("p_size") % 5 != 1, F.array(F.col("p_size"), F.col("p_size") + 1))
@@ -150,6 +179,25 @@ def transaction_two_keys(spark, sf_dir):
     return out.select("user_id", "part", F.unix_micros("_time").alias("start_us"), F.array_join("_message", ">").alias("messages"), F.col("_event_count").alias("events"), F.col("_is_closed").alias("closed"))
 
 
+def transaction_regex(spark, sf_dir):
+    """Brackets told by patterns."""
+    return _tx(starts_with_regex="^v.*w$", ends_with_regex="purch[a-z]+e", max_events=-1)(spark, sf_dir)
+
+
+def transaction_flags(spark, sf_dir):
+    """Brackets told by columns that hold "true" in any case."""
+    events = _events(spark, sf_dir).withColumn("opens", F.when(F.col("_message") == "view", "TRUE").otherwise("no")).withColumn("shuts", F.col("_message") == "purchase")
+    return _shown(call("transaction", events, ["user_id"], {"starts_if_field": "opens", "ends_if_field": "shuts", "max_events": -1}))
+
+
+def transaction_null_keys(spark, sf_dir):
+    """A second key that two events of five lack: they join what their user did next."""
+    n = F.col("event_id").cast("bigint") % 5
+    events = _events(spark, sf_dir).withColumn("part", F.when(n < 2, "a").when(n == 2, "b"))
+    out = call("transaction", events, ["user_id, part"], {"max_events": -1})
+    return out.select("user_id", "part", F.unix_micros("_time").alias("start_us"), F.array_join("_message", ">").alias("messages"), F.col("_event_count").alias("events"), F.array_join("event_id", ",").alias("ids"))
+
+
 def _streamed(stream: DataFrame) -> DataFrame:
     """What a stream gives over all that its source has now."""
     spark = stream.sparkSession
@@ -230,6 +278,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "filldown_prefix": filldown_prefix,
         "filldown_by_user": filldown_by_user,
         "filldown_by_text": filldown_by_text,
+        "filldown_variant": filldown_variant,
+        "addtotals_variant": addtotals_variant,
+        "sql_addtotals": _batched("addtotals", "items"),
+        "sql_flatten": _batched("flatten", "lists", columns="word, size"),
+        "sql_filldown": _batched("filldown", "gappy", "PARTITION BY (user_id) ORDER BY (ts, event_id)", columns="value, other"),
         "flatten_one": flatten_one,
         "flatten_two": flatten_two,
         "flatten_missing": flatten_missing,
@@ -240,6 +293,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "transaction_starts": _tx(starts_with="view", max_events=-1),
         "transaction_ends": _tx(ends_with="purchase", max_events=-1),
         "transaction_brackets": _tx(starts_with="view", ends_with="purchase", max_events=-1),
+        "transaction_regex": transaction_regex,
+        "transaction_flags": transaction_flags,
+        "transaction_null_keys": transaction_null_keys,
         "anomaly_categorical_annotate": anomaly(columns=("event_type",), action="annotate"),
         "anomaly_filter": anomaly(columns=("o_orderstatus", "o_orderpriority"), table="orders", sensitivity="lenient"),
         "anomaly_summary": anomaly(columns=("o_orderstatus", "o_orderpriority"), table="orders", action="summary"),
@@ -340,20 +396,36 @@ _SHOWN = "CASE WHEN lp < th THEN low ELSE lp END"
 _TAIL = f"round({_SHOWN}, 6) AS log_event_prob, round(mf, 6) AS max_freq, cause AS probable_cause, round(cf, 6) AS probable_cause_freq"
 
 
+_CELLS = """WITH c AS (SELECT event_id, ts, user_id, CASE event_id % 5 WHEN 0 THEN '"' || event_type || '"' WHEN 1 THEN 'null' WHEN 3 THEN event_id || '.25' WHEN 4 THEN 'true' END AS cell FROM events)"""
+
+
 def oracle_sql() -> dict[str, str]:
     status = ("o_orderstatus", "o_orderpriority")
     lenient = "min(lp) + 0.001 + CASE WHEN quantile_cont(lp, 0.75) - quantile_cont(lp, 0.25) > 0 THEN 0.5 * (quantile_cont(lp, 0.75) - quantile_cont(lp, 0.25)) ELSE 1.0 END"
     size_list = "CASE WHEN p_size % 5 = 0 THEN []::INTEGER[] WHEN p_size % 5 <> 1 THEN [p_size, p_size + 1]::INTEGER[] END"
+    totals = "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, 0::DOUBLE + l_orderkey::DOUBLE + l_linenumber::DOUBLE + l_quantity + l_extendedprice + l_discount + l_tax AS total FROM lineitem"
+    two_lists = f"SELECT p_partkey, word, unnest(coalesce(size, [NULL])) AS size FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, {size_list} AS size FROM part)"
+    by_user = f"{_GAPPY} SELECT event_id, ts, user_id, {_filled('value', 'PARTITION BY user_id ')}, value_kind, {_filled('other', 'PARTITION BY user_id ')} FROM g"
     return {
-        "addtotals_lineitem": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, 0::DOUBLE + l_orderkey::DOUBLE + l_linenumber::DOUBLE + l_quantity + l_extendedprice + l_discount + l_tax AS total FROM lineitem",
+        "filldown_variant": f"{_CELLS} SELECT event_id, ts, user_id, coalesce(last_value(CASE WHEN cell <> 'null' THEN cell END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), cell) AS cell FROM c",
+        "addtotals_variant": f"{_CELLS} SELECT *, 0::DOUBLE + event_id::DOUBLE + user_id::DOUBLE + CASE WHEN event_id % 5 = 3 THEN cell::DOUBLE ELSE 0 END AS total FROM c",
+        "sql_addtotals": totals,
+        "sql_flatten": two_lists,
+        "sql_filldown": by_user,
+        "transaction_regex": _bracket_sql(),
+        "transaction_flags": _bracket_sql(),
+        "transaction_null_keys": f"""WITH {_EVENTS}, k AS (SELECT *, CASE WHEN event_id % 5 < 2 THEN 'a' WHEN event_id % 5 = 2 THEN 'b' END AS part FROM e),
+n AS (SELECT *, coalesce(last_value(part IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(part IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS g FROM k)
+SELECT user_id, g AS part, min(t) AS start_us, string_agg(m, '>' ORDER BY t) AS messages, count(*) AS events, string_agg(event_id::VARCHAR, ',' ORDER BY event_id::VARCHAR) AS ids FROM n GROUP BY user_id, g""",
+        "addtotals_lineitem": totals,
         "addtotals_integers": "SELECT p_partkey, p_size, p_brand, 0::BIGINT + p_partkey + p_size::BIGINT AS sum_of_row FROM part",
         "addtotals_no_numbers": "SELECT p_name, p_brand FROM part",
         "filldown_all": f"{_GAPPY} SELECT event_id, ts, user_id, {_filled('value', '')}, {_filled('value_kind', '')}, {_filled('other', '')} FROM g",
         "filldown_prefix": f"{_GAPPY} SELECT event_id, ts, user_id, {_filled('value', '')}, {_filled('value_kind', '')}, other FROM g",
-        "filldown_by_user": f"{_GAPPY} SELECT event_id, ts, user_id, {_filled('value', 'PARTITION BY user_id ')}, value_kind, {_filled('other', 'PARTITION BY user_id ')} FROM g",
+        "filldown_by_user": by_user,
         "filldown_by_text": f"{_GAPPY}, k AS (SELECT *, sha256(user_id::VARCHAR)[1] AS kind FROM g) SELECT event_id, ts, user_id, value_kind, kind, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER (ORDER BY kind, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in ("value", "other")) + " FROM k",
         "flatten_one": "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part",
-        "flatten_two": f"SELECT p_partkey, word, unnest(coalesce(size, [NULL])) AS size FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, {size_list} AS size FROM part)",
+        "flatten_two": two_lists,
         "flatten_missing": "SELECT p_partkey, '' AS word FROM part WHERE false",
         "transaction_grouping": f"WITH {_EVENTS} " + _TX.format(closed="false", source="e", group=""),
         "transaction_max_events": f"WITH {_EVENTS}, n AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY t DESC) - 1) // 7 AS g FROM e) " + _TX.format(closed="count(*) = 7", source="n", group=", g"),
