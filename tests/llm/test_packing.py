@@ -4,7 +4,9 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from helpers import awkward, awkward_rows, empty
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing as P
@@ -51,6 +53,18 @@ def test_word_ids_equal_the_tokenizer():
         assert ids[e - n : e].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_tokenizers_that_keep_white_space_are_refused():
+    with pytest.raises(ValueError, match="white space"):
+        P.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_a_stream_is_a_task(spark):
+    df = spark.range(40, numPartitions=4).selectExpr("id AS doc_id", "repeat('word ', 5) AS text")
+    out = P.pack_documents(df, PATH, stream_docs=5)
+    tasks = out.select(((F.col("sequence_id") - F.lit(1 << 62)) / (1 << 32)).cast("bigint").alias("stream"), F.spark_partition_id().alias("task")).distinct().collect()
+    assert sorted((r["stream"], r["task"]) for r in tasks) == [(k, k) for k in range(8)]
+
+
 def test_level_packer_minimises_squares():
     rnd = random.Random(1)
     packer = P.LevelPacker(16)

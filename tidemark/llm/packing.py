@@ -24,7 +24,7 @@ BATCH_CHARS = 2_000_000
 #: The word cache starts anew beyond so many words or characters.
 CACHE_WORDS, CACHE_CHARS = 900_000, 12_000_000
 #: Documents of a packing stream, about, and streams at most (beyond, they grow longer).
-STREAM_DOCS, MAX_STREAMS = 32_768, 20_000
+STREAM_DOCS, MAX_STREAMS = 4_096, 20_000
 PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 _BLANKS = "\n\t\r\x0b\x0c"
 _MARK = "\x01"
@@ -62,7 +62,11 @@ class WordIds:
         # Where the text is normal already, the same tokenizer without its rules gives the same ids sooner.
         plain = all(r["type"] in ("NFC", "Lowercase") or r["type"] == "Replace" and r["content"] == " " for r in rules)
         self.bare = Tokenizer.from_str(json.dumps(parts | {"normalizer": None})) if plain else self.tokenizer
-        (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        apart = [i for t in ("Re", "ab,", "x") for i in self.tokenizer.encode(t, add_special_tokens=False).ids]
+        marks = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        if len(marks) != 1 or self.tokenizer.encode(" Re  ab,\n\tx ", add_special_tokens=False).ids != apart:
+            raise ValueError(f"{path}: the tokenizer keeps white space in its tokens, or joins text across it")
+        (self.mark,) = marks
         self._clear()
 
     def _clear(self) -> None:
@@ -254,7 +258,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_column: str = "do
 
     Documents are tokenised where they lie; a document's full windows are sequences of their own. Its
     tail, with its ids, goes to one of many long streams of about ``stream_docs`` documents, dealt out
-    in turn, and there to the level that sum-of-squares picks. Where a stream ends, the emptiest of its open
+    in turn (a task a stream), and there to the level that sum-of-squares picks. Where a stream ends, the emptiest of its open
     windows are taken apart to fill the others (see fill_open()), so that no sequence is padded; the
     longer the streams, the smaller that share. A task holds the ids of its stream's open windows.
 
@@ -264,13 +268,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_column: str = "do
     A null or empty text is its end id alone; a very long text is many full windows and one tail; of
     levels that are equally good the fullest is taken; repeated rows are documents of their own; an
     empty table gives no rows; other columns are not read, so none can clash. The id column keeps its
-    type. The tokenizer is read in each task from ``tokenizer_path``, which every executor has.
+    type. The tokenizer is read in each task from ``tokenizer_path``, which every executor has; one that does not
+    drop white space raises (ValueError).
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"), *([] if rank is None else [rank.cast("bigint").alias("rank")]))
     n_docs = docs.count()
     streams = min(MAX_STREAMS, max(1, -(-n_docs // stream_docs)))
     per_stream = None if rank is None else max(1, -(-n_docs // streams))
-    dealt = _encoded(rows, tokenizer_path, streams, window, end_id, per_stream).repartition(streams, "stream").sortWithinPartitions("stream", "number")
+    dealt = _encoded(rows, tokenizer_path, streams, window, end_id, per_stream).repartitionById(streams, F.col("stream")).sortWithinPartitions("stream", "number")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, packer, held, n_seq = None, LevelPacker(window), {}, 0
