@@ -2,49 +2,44 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import lay
 
 
-def values_at_ranks(counts: DataFrame, by: list[str], total: Column, shares: list[float], *, more: list[Column] = (), take: list[str] = (), aggs: list[Column] = (), islands: float | None = None, most: int | None = None) -> DataFrame:
+def values_at_ranks(counts: DataFrame, by: list[str], total: Column, shares: list[float], *, more: list[str] = (), take: list[str] = (), aggs: list[Column] = (), islands: float | None = None, most: int | None = None) -> DataFrame:
     """A row for each group of ``by``: at, a map from ranks (from 0) to values, total (n in all), ``take`` (columns
     that agree within a group) and ``aggs`` of its rows.
 
-    ``counts`` has value and n, each value of a group once. Ranks are those about the ``shares`` (see quantile()) and ``more``. The
+    ``counts`` has value and n, each value of a group once. Ranks are those about the ``shares`` (see quantile()) and ``more``, SQL over ``total`` and ``take``. The
     values are laid out in ranges of (group, value); running sums of n, carried from range to range,
     tell which ranks a value has, and only values that are asked for are gathered. With ``islands``
     also their number: stretches of values that are all less than that from the one before. ``most``
     bounds the rows of ``counts``, if that is known.
     """
-    laid = lay(counts.select(*by, "value", "n", total.cast("bigint").alias("total"), *take), by, [F.asc("value")], ["value"], "ranks", most).total(F.col("n"), "_upto")
+    laid = lay(counts.select(*by, "value", "n", total.cast("bigint").alias("total"), *take), by, [F.asc("value")], ["value"], "ranks", most, distinct=True).total(F.col("n"), "_upto")
     if islands is not None:
         laid = laid.settled("upto").last(F.col("value"), "_before", inclusive=False)
         aggs = [*aggs, F.count(F.when(F.col("_before").isNull() | (F.col("value") - F.col("_before") >= islands), F.lit(1))).alias("islands")]
-    n = F.col("total")
-    wanted = [*[r for p in shares for r in (_low(n, p), _high(n, p))], *more]
-    here = lambda r: (r >= F.col("_upto") - F.col("n")) & (r < F.col("_upto"))
-    some = reduce(or_, map(here, wanted))  # few rows are asked for
-    hits = F.transform(F.filter(F.array_distinct(F.array(*wanted)), here), lambda r: F.struct(r.alias("r"), F.col("value").alias("v")))
-    rows = laid.rows.withColumn("_hits", F.when(some, hits))
+    wanted = [*[r for p in shares for r in (_low(p), _high(p))], *more]
+    some = " OR ".join(f"({r} >= _upto - n AND {r} < _upto)" for r in wanted)  # few rows are asked for
+    hits = f"transform(filter(array_distinct(array({', '.join(wanted)})), r -> r >= _upto - n AND r < _upto), r -> struct(r, value))"
+    rows = laid.rows.withColumn("_hits", F.expr(f"CASE WHEN {some} THEN {hits} END"))
     gathered = F.flatten(F.collect_list("_hits"))
     return rows.groupBy(*by).agg(F.map_from_entries(gathered).alias("at"), F.max("total").alias("total"), *[F.max(c).alias(c) for c in take], *aggs)
 
 
-def _low(total: Column, share: float) -> Column:
-    return F.floor(F.lit(share) * (total - 1)).cast("bigint")
+def _low(share: float) -> str:
+    return f"CAST(FLOOR({share!r}D * (total - 1)) AS BIGINT)"
 
 
-def _high(total: Column, share: float) -> Column:
-    return F.ceil(F.lit(share) * (total - 1)).cast("bigint")
+def _high(share: float) -> str:
+    return f"CAST(CEIL({share!r}D * (total - 1)) AS BIGINT)"
 
 
-def quantile(at: Column, total: Column, share: float) -> Column:
-    """The quantile, with linear interpolation between neighbours, from values_at_ranks()."""
-    x, lo, hi = F.lit(share) * (total - 1), _low(total, share), _high(total, share)
-    a, b = F.element_at(at, lo), F.element_at(at, hi)
-    return F.when(a == b, a).otherwise((hi - x) * a + (x - lo) * b)
+def quantile(share: float) -> Column:
+    """The quantile, with linear interpolation between neighbours, from the columns at and total of values_at_ranks()."""
+    lo, hi = _low(share), _high(share)
+    a, b, x = f"element_at(at, {lo})", f"element_at(at, {hi})", f"({share!r}D * (total - 1))"
+    return F.expr(f"CASE WHEN {a} = {b} THEN {a} ELSE ({hi} - {x}) * {a} + ({x} - {lo}) * {b} END")

@@ -117,7 +117,7 @@ def _models(values: DataFrame, bins: int) -> DataFrame:
     counts = values.filter(known).groupBy("scope", "f", "value").agg(F.sum("n").alias("n")).join(numerical, ["scope", "f"])
     shares = [k / bins for k in range(bins + 1)]
     found = values_at_ranks(counts, ["scope", "f"], F.col("present"), shares, islands=SAME, most=values.count())
-    found = found.withColumn("edges", F.array(*[quantile(F.col("at"), F.col("total"), p) for p in shares]))
+    found = found.withColumn("edges", F.array(*[quantile(p) for p in shares]))
     # An edge less than SAME from the last one kept goes.
     cuts = F.aggregate("edges", F.array().cast("array<double>"), lambda acc, x: F.when((F.size(acc) == 0) | (F.abs(x - F.get(acc, F.size(acc) - 1)) >= SAME), F.concat(acc, F.array(x))).otherwise(acc))
     found = found.select("scope", "f", (F.col("islands") > bins).alias("binned"), F.slice(cuts, F.lit(2), F.size(cuts)).alias("inner"))
@@ -176,14 +176,14 @@ def _thresholds(scored: DataFrame, shapes: DataFrame, method: str, cutoff: bool,
     means = spread.groupBy(F.col("scope").alias("of")).agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("total"), F.min("value").alias("least"))
     counts = spread.join(means, F.col("scope") == F.col("of")).drop("of")
     n = F.col("total")
-    disc = F.floor((n + 1) / 2).cast("bigint") - 1
-    k = F.floor(F.greatest(0.01 * n, F.lit(3.0))).cast("bigint")
-    kth = F.least(k, n) - 1
+    disc = "CAST(FLOOR((total + 1) / 2) AS BIGINT) - 1"
+    k = F.expr("CAST(FLOOR(GREATEST(0.01D * total, 3.0D)) AS BIGINT)")
+    kth = "LEAST(CAST(FLOOR(GREATEST(0.01D * total, 3.0D)) AS BIGINT), total) - 1"
     square = F.sum(F.col("n") * (F.col("value") - F.col("mean")) ** 2)
     found = values_at_ranks(counts, ["scope"], n, [0.25, 0.5, 0.75], more=[disc, kth], take=["mean", "least"], aggs=[square.alias("square"), F.count("*").alias("distinct")], most=scored.count())
     found = found.join(shapes, F.col("scope") == F.col("of")).drop("of")
     at, mean = F.col("at"), F.col("mean")
-    q1, median, q3 = (quantile(at, n, p) for p in (0.25, 0.5, 0.75))
+    q1, median, q3 = (quantile(p) for p in (0.25, 0.5, 0.75))
     std = F.when(F.col("distinct") > 1, F.sqrt(F.col("square") / n)).otherwise(F.lit(0.0))
     iqr = q3 - q1
     base = q1 - 1.5 * iqr
@@ -194,9 +194,9 @@ def _thresholds(scored: DataFrame, shapes: DataFrame, method: str, cutoff: bool,
     elif not cutoff:
         out = base
     else:
-        mad = median - F.element_at(at, disc)  # half the middle gap: the deviations are not sorted before their median is taken
+        mad = median - F.element_at(at, F.expr(disc))  # half the middle gap: the deviations are not sorted before their median is taken
         by_mad = F.when(mad > 0, median - 3 * mad).otherwise(base)
-        mixed = F.greatest(base, by_mad, F.when(k < n, F.element_at(at, kth) + 0.001))
+        mixed = F.greatest(base, by_mad, F.when(k < n, F.element_at(at, F.expr(kth)) + 0.001))
         numbers = F.least(base, by_mad, F.when(std > 0, mean - 3 * std).otherwise(base))
         categorical = F.forall("m", lambda x: x["kind"] == "categorical")
         out = F.when(categorical, F.col("least") + 0.001).when(F.exists("m", lambda x: x["kind"] == "mixed"), mixed).otherwise(numbers)
@@ -211,7 +211,7 @@ def _summary(scored: DataFrame, told: DataFrame, keyed: DataFrame, flag: Column,
     sizes = rows.groupBy(F.col("scope").alias("of")).agg(F.sum("n").alias("total"), F.sum(F.when(flag, F.col("n")).otherwise(F.lit(0))).alias("flagged"), F.max("threshold").alias("threshold"), F.max(shown).alias("high"), F.min(shown).alias("low"))
     counts = rows.groupBy("scope", shown.alias("value")).agg(F.sum("n").alias("n")).join(sizes, F.col("scope") == F.col("of")).drop("of")
     found = values_at_ranks(counts, ["scope"], F.col("total"), [0.25, 0.75], take=["flagged", "threshold", "high", "low"], most=scored.count())
-    q1, q3 = (quantile(F.col("at"), F.col("total"), p) for p in (0.25, 0.75))
+    q1, q3 = (quantile(p) for p in (0.25, 0.75))
     out = [F.col("flagged").alias("num_anomalies"), F.col("threshold").alias("thresh"), F.col("high").alias("max_logprob"), F.col("low").alias("min_logprob"), q1.alias("1st_quartile"), q3.alias("3rd_quartile")]
     if not scopes:  # one row, of an empty table too
         one = found.select(*out)
@@ -231,7 +231,7 @@ def _clamped(rows: DataFrame, base: DataFrame, kinds: dict[str, T.DataType], pla
         counts = written(counts, "numbers")
         sizes = counts.groupBy("scope", "c").agg(F.sum("n").alias("total"))
         found = values_at_ranks(counts.join(sizes, ["scope", "c"]), ["scope", "c"], F.col("total"), [0.25, 0.75], most=counts.count())
-        q1, q3 = (quantile(F.col("at"), F.col("total"), p) for p in (0.25, 0.75))
+        q1, q3 = (quantile(p) for p in (0.25, 0.75))
         ends = F.struct((q1 - param * (q3 - q1)).alias("low"), (q3 + param * (q3 - q1)).alias("high"))
         bounds = found.groupBy(F.col("scope").alias("in")).agg(F.map_from_entries(F.collect_list(F.struct("c", ends.alias("b")))).alias("bounds"))  # a number of each column
         rows = rows.join(bounds, F.col("scope") == F.col("in"), "left")

@@ -103,12 +103,16 @@ class Laid:
         return self.on(out.drop("_step", "_walk", "_low", "_h", "_hl"))
 
 
-def lay(df: DataFrame, keys: list[str], order: list[Column], ties: list[str], name: str = "laid", most: int | None = None) -> Laid:
+def lay(df: DataFrame, keys: list[str], order: list[Column], ties: list[str], name: str = "laid", most: int | None = None, distinct: bool = False) -> Laid:
     """``df`` written in order of the keys, then of ``order``. Equal rows of the order
     are told apart by a hash of the columns ``ties``, and rows that agree in those too by their place
     in ``df``, so that many of them do not make one range. ``most``: a bound on the rows, if one is known;
-    else they are counted."""
+    else they are counted. Where no two rows agree in keys and order (``distinct``), a single range need not be
+    written: it comes out the same each time."""
     parts = min(MOST_RANGES, max(1, -(-(df.count() if most is None else most) // RANGE_ROWS)))
+    if distinct and parts == 1:
+        one = df.repartition(1).sortWithinPartitions(*keys, *order)
+        return Laid(one.withColumn("_part", F.lit(0)).withColumn("_no", F.monotonically_increasing_id()), keys, parts)
     by = [*keys, *order, F.xxhash64(*ties), F.asc("_place")]
     ranged = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("_place")
     return Laid(written(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_no", F.monotonically_increasing_id()), name), keys, parts)
