@@ -69,6 +69,48 @@ def test_late_events_join_nothing_and_state_shrinks(spark, tmp_path):
     assert source.groups() == expected([*first, ("a", 109, "z"), ("a", 300, "end")], 295)
 
 
+def test_state_and_timers_are_kept_by_bucket(spark, tmp_path):
+    """Calls to the state grow with buckets, not with keys, and keys of a bucket stay apart."""
+    rnd = random.Random(5)
+    rows = [(f"k{rnd.randrange(200)}", t, f"m{t}") for t in rnd.sample(range(1, 900), 800)]
+    rows.sort(key=lambda r: r[1] + rnd.random() * 4)
+    source = Source(spark, f"file://{tmp_path}/s", buckets=3)
+    for lo in (0, 400):
+        source.put(rows[lo : lo + 400])
+        _, state = source.run()
+        assert state <= 2 * 3  # a list and a timer for each
+        assert source.groups() == expected(rows[: lo + 400], max(r[1] for r in rows[: lo + 400]) - 5)
+
+
+def test_a_bucket_has_fewer_timers_than_keys(spark, tmp_path):
+    source = Source(spark, f"file://{tmp_path}/s")
+    source.put([(f"k{i}", 100 + i % 3, "m") for i in range(6000)])
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{source.folder}/in")
+    query = transactions_by_span(stream, **source.kw).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.recentProgress[0].stateOperators[0].customMetrics["numRegisteredTimers"] <= 4096
+
+
+@pytest.mark.parametrize("kind,keys", [("double", ["NaN", "0.5", "-0.0", "0.0"]), ("timestamp", ["2024-01-01 00:00:00.000001", "2024-01-01 00:00:00.000002"]), ("decimal(20,2)", ["1.50", "123456789012345678.01"]), ("struct<a:int,b:string>", ["1", "2"])])
+def test_keys_of_other_types(spark, tmp_path, kind, keys):
+    rows = spark.createDataFrame([(k, t * SECOND, "m") for k in keys for t in (100, 101, 200)], SCHEMA)
+    key = "named_struct('a', int(k), 'b', if(k = '1', null, k))" if kind.startswith("struct") else f"cast(k as {kind})"
+    typed = rows.selectExpr(f"{key} AS k", "_time", "_message")
+    typed.write.parquet(f"{tmp_path}/in")
+    groups = transactions_by_span(spark.readStream.schema(typed.schema).parquet(f"{tmp_path}/in"), key="k", max_span="10s", delay="5 seconds", buckets=1)
+    assert groups.schema["k"].dataType == typed.schema["k"].dataType
+    query = groups.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = spark.read.schema(groups.schema).parquet(f"{tmp_path}/out").groupBy("k").agg({"_event_count": "sum"})
+    want = typed.filter(f"_time < {150 * SECOND}").groupBy("k").count()
+    assert sorted(map(str, found.collect())) == sorted(str(r).replace("count", "sum(_event_count)") for r in want.collect())
+
+
 def test_parameters(spark):
     with pytest.raises(ValueError):
         transactions_by_span(spark.createDataFrame([], SCHEMA), key="k", max_span="0s", delay="1 second")
+
+
+def test_no_buckets(spark):
+    with pytest.raises(ValueError):
+        transactions_by_span(spark.createDataFrame([], SCHEMA), key="k", max_span="1s", delay="1 second", buckets=0)
