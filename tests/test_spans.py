@@ -111,6 +111,18 @@ def test_parameters(spark):
         transactions_by_span(spark.createDataFrame([], SCHEMA), key="k", max_span="0s", delay="1 second")
 
 
+def test_a_bucket_of_several_chunks(spark, tmp_path):
+    """Events of a bucket that stay behind are held in chunks and put together again."""
+    source = Source(spark, f"file://{tmp_path}/s", buckets=1)
+    first = [("a", 100, "x"), *((f"k{i}", 200, "m") for i in range(10_500))]
+    source.put(first)
+    _, state = source.run()
+    assert state <= 2 + 1 and source.groups() == [("a", 100, ("x",), 0.0, 1)]
+    source.put([("k1", 205, "n"), ("b", 300, "end")])
+    source.run()
+    assert source.groups() == expected([*first, ("k1", 205, "n"), ("b", 300, "end")], 295)
+
+
 def test_no_buckets(spark):
     with pytest.raises(ValueError):
         transactions_by_span(spark.createDataFrame([], SCHEMA), key="k", max_span="1s", delay="1 second", buckets=0)
